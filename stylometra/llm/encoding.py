@@ -49,18 +49,6 @@ class CachedEncoder:
         return found
 
 
-def grouped(items: list, sizes: list[int], most: int):
-    """Consecutive groups of items of about `most` in size, so that one batch of long rows doesn't multiply in memory."""
-    begin = total = 0
-    for k, n in enumerate(sizes):
-        if total and total + n > most:
-            yield items[begin:k]
-            begin, total = k, 0
-        total += n
-    if begin < len(items):
-        yield items[begin:]
-
-
 _encoders: dict[str, CachedEncoder] = {}
 
 

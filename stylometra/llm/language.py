@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import grouped
-from .shared import prepare, table
+from .shared import grouped, prepare, table
 
 #: words in one chain; hash buckets of features; features of a word; documents and words of a language to learn from, at most
 CHAIN, BUCKETS, FEATURES, PER_LANGUAGE, WORDS = 64, 1 << 16, 28, 240, 24_000

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import encoder, grouped, vocabulary
-from .shared import prepare, table
+from .encoding import encoder, vocabulary
+from .shared import grouped, prepare, table
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 

@@ -21,7 +21,7 @@ IP = rf"{OCTET}(?:\.{OCTET}){{3}}"
 YEAR, MONTH, DAY = r"(?:19|20)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
 DATES = {"yyyy-MM-dd": rf"{YEAR}-{MONTH}-{DAY}", "yyyy/MM/dd": rf"{YEAR}/{MONTH}/{DAY}", "dd.MM.yyyy": rf"{DAY}\.{MONTH}\.{YEAR}", "MM/dd/yyyy": rf"{MONTH}/{DAY}/{YEAR}"}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]?[0-9]{4}"
+PHONE = r"(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 FOUND = rf"(?<![\p{{L}}\p{{N}}])(?:{EMAIL}|{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD})(?![\p{{L}}\p{{N}}])"
 #: days from 1900-01-01 to 2099-12-31, as two symbols
@@ -80,9 +80,11 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     digits = numbers(m)
     last = F.slice(digits, F.size(digits) - 9, 10)
-    leads = lambda j: F.when(j.isin(0, 3), long(2)).otherwise(long(0))
-    fresh = feistel(F.transform(last, lambda x, j: x - leads(j)), F.transform(last, lambda x, j: 10 - leads(j)), "phone", key)
-    return filled(m, F.concat(F.slice(digits, 1, F.size(digits) - 10), F.transform(fresh, lambda x, j: x + leads(j))))
+    # a first digit of area or exchange stays among 0 and 1, or among 2 to 9
+    low = lambda j: F.when(j.isin(0, 3) & (F.get(last, j) >= 2), long(2)).otherwise(long(0))
+    radix = lambda j: F.when(j.isin(0, 3), F.when(F.get(last, j) >= 2, 8).otherwise(2)).otherwise(10).cast("long")
+    fresh = feistel(F.transform(last, lambda x, j: x - low(j)), F.transform(last, lambda x, j: radix(j)), "phone", key)
+    return filled(m, F.concat(F.slice(digits, 1, F.size(digits) - 10), F.transform(fresh, lambda x, j: x + low(j))))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -135,7 +137,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """df with all personal data of text_col replaced, and n_replaced (strings that changed).
 
-    Luhn-valid card numbers keep a valid check digit, phone numbers valid area and exchange codes, dates (1900 to 2099,
+    Luhn-valid card numbers keep a valid check digit, phone numbers keep valid area and exchange codes valid, dates (1900 to 2099,
     four layouts) stay dates, social security numbers and IPv4 addresses stay valid, mail addresses keep their domain
     and the classes of characters. Layout and separators stay. Whole texts of any length are searched; no shuffle.
     Null text: null, 0. Empty text: empty, 0. Repeated rows get equal results. All other columns stay; an own column

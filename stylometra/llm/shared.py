@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -56,17 +57,61 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-class WordHashes(dict):
-    """64-bit hash of each lower-cased word; a cache that starts anew when it is full, so memory is bounded."""
+class HashedWords:
+    """Texts as arrays of 64-bit hashes of their lower-cased words (runs of letters, digits and underscores).
+
+    The hashes of each piece between blanks are kept, in a cache that starts anew when it is full.
+    """
 
     def __init__(self, limit: int = 1_000_000):
-        super().__init__()
-        self.limit = limit
+        self.limit, self.known = limit, {"": b""}
 
-    def __missing__(self, word: str) -> int:
+    @staticmethod
+    def _hashed(piece: str) -> bytes:
         import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+        return b"".join(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for w in WORD.findall(piece.lower()))
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        pieces = [t.split(" ") if t else [""] for t in texts]
+        new = set().union(*pieces) - self.known.keys()
+        if len(self.known) + len(new) > self.limit:
+            self.known = {"": b""}
+            new = set().union(*pieces) - {""}
+        hashed = self._hashed
+        self.known.update((p, hashed(p)) for p in new)
+        found = [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u8") for p in pieces]
+        for p in new:
+            if len(p) > 64:
+                del self.known[p]
+        return found
+
+
+def words(text: str | None) -> list[str]:
+    """The words that HashedWords hashes: of each piece between blanks, in lower case."""
+    return [w for p in (text or "").split(" ") for w in WORD.findall(p.lower())]
+
+
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n consecutive values."""
+    m = len(hashes) - n + 1
+    if m < 1:
+        return np.empty(0, np.uint64)
+    out = np.zeros(m, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ hashes[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def grouped(items: list, sizes: list[int], most: int):
+    """Consecutive groups of items of about `most` in size, so that one batch of long rows doesn't multiply in memory."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > most:
+            yield items[begin:k]
+            begin, total = k, 0
+        total += n
+    if begin < len(items):
+        yield items[begin:]

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import SAFE, grouped, vocabulary
-from .shared import prepare, table
+from .encoding import SAFE, vocabulary
+from .shared import grouped, prepare, table
 
 SPACE = "▁"
 BYTE_PENALTY = 10.0

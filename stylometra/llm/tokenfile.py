@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import encoder, grouped, vocabulary
+from .encoding import encoder, vocabulary
 from .rans import Table, blocks, decode
-from .shared import discard, materialize, partitions, prepare, shared_dir, table
+from .shared import discard, grouped, materialize, partitions, prepare, shared_dir, table
 
 BLOCK = 1 << 17
 SHARD = "shard int, first long, doc_ids array<long>, lengths array<long>, block binary"
