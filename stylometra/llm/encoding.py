@@ -12,6 +12,8 @@ import re
 from array import array
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: what Python, unlike the tokenizers library, takes for white space or lower-cases by context
+UNLIKE = re.compile("[\x1c-\x1f\u0130\u03a3]")
 ODD = re.compile(r" [\s\0]|[^\S ] |\0")
 
 
@@ -24,10 +26,13 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: the vocabulary lower-cases and drops white space, so pieces can be cut at any and shared between cases
+        self.plain = all(x in self.tokenizer.to_str(pretty=False)[:2000] for x in ('"Lowercase"', '"Removed"'))
         self.size, self.limit, self.known = self.tokenizer.get_vocab_size(), limit, {"": b""}
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
+        if self.plain and not UNLIKE.search(text):
+            return text.lower().split()
         if "  " in text or ODD.search(text):
             at = [0, *(m.start() for m in SAFE.finditer(text)), len(text)]
             return [text[a:b] for a, b in zip(at, at[1:])]
@@ -35,12 +40,12 @@ class CachedEncoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; new pieces of all texts are encoded together."""
-        pieces = [self.cut(t) if t else [""] for t in texts]
+        pieces = [self.cut(t) or [""] if t else [""] for t in texts]
         new = [*(set().union(*pieces) - self.known.keys())]
         if len(self.known) + len(new) > self.limit:
             self.known = {"": b""}
             new = [x for x in set().union(*pieces) if x]
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[piece] = array("I", e.ids).tobytes()
         found = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
         for piece in new:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC, VERSION, SCALE, CHECKPOINT, LANES = b"SRNS", 1, 20, 128, 256
+MAGIC, VERSION, SCALE, CHECKPOINT, LANES = b"SRNS", 1, 20, 64, 1024
 LOW = np.uint64(1 << 31)
 #: magic, version, scale, lanes, tokens, words, steps between checkpoints, checkpoints, crc of the table, of the ids, of all that follows
 HEADER = struct.Struct("<4sBBHQQIIIII")
@@ -135,15 +135,15 @@ def decode(block: bytes, table: Table) -> np.ndarray:
     return ids
 
 
-def blocks(documents: Iterator[tuple[int | None, bytes]], table: Table, size: int) -> Iterator[tuple[int, list, list[int], bytes]]:
-    """Blocks of whole documents with at least `size` ids but for the last: first id's place, doc_ids, lengths, block."""
-    first, names, held, total = 0, [], [], 0
+def blocks(documents: Iterator[tuple[int | None, bytes]], table: Table, size: int, kind: str = "<u4") -> Iterator[tuple[int, list, list[int], bytes]]:
+    """kind: the type of the documents' ids. Blocks of whole documents with at least `size` ids but for the last: first id's place, doc_ids, lengths, block."""
+    first, names, held, total, each = 0, [], [], 0, np.dtype(kind).itemsize
     for name, ids in documents:
         names.append(name)
         held.append(ids)
-        total += len(ids) // 4
+        total += len(ids) // each
         if total >= size:
-            yield first, names, [len(x) // 4 for x in held], encode(np.frombuffer(b"".join(held), "<u4"), table)
+            yield first, names, [len(x) // each for x in held], encode(np.frombuffer(b"".join(held), kind), table)
             first, names, held, total = first + total, [], [], 0
     if names:
-        yield first, names, [len(x) // 4 for x in held], encode(np.frombuffer(b"".join(held), "<u4"), table)
+        yield first, names, [len(x) // each for x in held], encode(np.frombuffer(b"".join(held), kind), table)

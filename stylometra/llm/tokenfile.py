@@ -17,8 +17,15 @@ BLOCK = 1 << 17
 SHARD = "shard int, first long, doc_ids array<long>, lengths array<long>, block binary"
 
 
+def width(path: str, end_id: int | None) -> str:
+    """The type that scratch tables keep ids in."""
+    return "<u2" if max(encoder(path).size, end_id or 0) < 1 << 16 else "<u4"
+
+
 def tokenize(df: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary) of each row, and one row per task with the counts of all ids it saw (counts binary, int64)."""
+    """(doc_id, ids in the type of width()) of each row, and one row per task with the counts of all ids it saw (counts binary, int64)."""
+
+    kind = width(path, end_id)
 
     def run(batches):
         import pyarrow as pa
@@ -31,8 +38,10 @@ def tokenize(df: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for group in grouped([*zip(names, texts)], [len(t or "") for t in texts], 4_000_000):
                 found = [x + ending for x in encode.many([t for _, t in group])]
-                counts += np.bincount(np.frombuffer(b"".join(found), "<u4"), minlength=len(counts))
-                yield out([i for i, _ in group], found, [None] * len(group))
+                ids = np.frombuffer(b"".join(found), "<u4")
+                seen = np.bincount(ids, minlength=len(counts))
+                counts = seen + np.pad(counts, (0, len(seen) - len(counts)))
+                yield out([i for i, _ in group], [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found] if kind != "<u4" else found, [None] * len(group))
         yield out([None], [None], [counts.astype("<i8").tobytes()])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
@@ -74,13 +83,15 @@ def write(df: DataFrame, out: str, path: str, end_id: int | None, id_col: str =
     used = np.flatnonzero(counts)
     spark.createDataFrame([(int(i), int(counts[i])) for i in used], "id int, frequency int").coalesce(1).write.parquet(f"{out}/table")
 
+    kind = width(path, end_id)
+
     def code(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         rows = ((i, x) for b in batches for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for first, names, lengths, data in blocks(rows, Table(counts), block):
+        for first, names, lengths, data in blocks(rows, Table(counts), block, kind):
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([first]), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=[x.split()[0] for x in SHARD.split(", ")])
 
     rows = tokens.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
