@@ -9,8 +9,9 @@ from .packing import op2_vector_packing
 from .preferences import OP1_SQL, op1_preference_format
 from .pseudonyms import op7_feistel_pseudonyms
 from .quantization import op9_itq_embedding_links
+from .suffixdedup import op4_suffix_array_dedup
 from .tokencounts import op10_trie_token_counts
 from .tokenfile import op3_rans_token_file
 
-QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vector_packing, op3_rans_token_file, op5_crf_language, op6_cgk_decontamination, op7_feistel_pseudonyms, op8_minhash_forest_join, op9_itq_embedding_links, op10_trie_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_preference_format, op2_vector_packing, op3_rans_token_file, op4_suffix_array_dedup, op5_crf_language, op6_cgk_decontamination, op7_feistel_pseudonyms, op8_minhash_forest_join, op9_itq_embedding_links, op10_trie_token_counts)}
 ORACLE_SQL = {"op1_preference_format": OP1_SQL}
