@@ -194,7 +194,7 @@ def matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int,
         least = distance[np.arange(len(d)), end]
         for r in np.flatnonzero(least <= most):
             place = (int(d[r]), int(k[r]))
-            best[place] = min(best.get(place, (1 << 30, 0, 0)), (int(least[r]), int(begin[r] + end[r]), int(items.lengths[k[r]] + most[k[r]])))
+            best[place] = min(best.get(place, (1 << 30, 0, 0)), (int(least[r]), int(begin[r] + end[r]), int(items.lengths[k[r]] + items.most[k[r]])))
     if not best:
         return []
     d, k = (np.array(x) for x in zip(*best))

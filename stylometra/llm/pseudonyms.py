@@ -146,14 +146,13 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     # without these characters nothing can match
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).when(text.contains("@"), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
-    rows = df.withColumn("_found", found)
-    fresh = F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key)))
-    rows = rows.withColumn("_fresh", fresh)
-    gaps = F.split(text, FOUND, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_fresh", i), F.lit("")))), "")
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_fresh"), lambda x: x["_found"] != x["_fresh"])).cast("long"), F.lit(0).cast("long"))
-    n = F.when(F.col("_fresh").isNotNull(), changed).otherwise(F.lit(0).cast("long"))
-    return rows.withColumns({"n_replaced": n, text_col: F.when(F.col("_fresh").isNotNull(), joined).otherwise(text)}).drop("_found", "_fresh")
+    old, new = (next(x for x in (f"_{name}{'_' * k}" for k in range(len(df.columns) + 1)) if x not in df.columns) for name in ("found", "fresh"))
+    rows = df.withColumn(old, found)
+    rows = rows.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
+    joined = F.array_join(F.transform(F.split(text, FOUND, -1), lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
+    changed = F.aggregate(F.zip_with(old, new, lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    n = F.when(F.col(new).isNotNull(), changed).otherwise(F.lit(0).cast("long"))
+    return rows.withColumns({"n_replaced": n, text_col: F.when(F.col(new).isNotNull(), joined).otherwise(text)}).drop(old, new)
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,8 @@ def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> list
     """For each string the smallest document that each of its windows is in; lowest: each string's smallest document."""
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    text = text + np.uint8(1) if not len(text) or text.max() < 255 else text.astype(np.uint16) + np.uint16(1)
     text[starts + sizes] = 0
     rows, common = sorted_suffixes(text, length)
     group = np.cumsum(np.asarray(common) < length)
