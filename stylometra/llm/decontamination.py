@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SIMILARITY, HashedWords, grouped, prepare, rolling, table
+from .shared import HashedWords, SIMILARITY, grouped, prepare, rolling, table, trimmed
 
 PAD = np.uint64(0)
 #: samples of one LSH key; recall to be reached for an item's worst allowed distance; keys at most
@@ -244,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in schema.split(", ")])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(trimmed(run), schema)
 
     out, block = None, []
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
@@ -276,7 +276,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                     keep[[group[d][0] for d, *_ in matches(shared.value, words)]] = False
                 yield b.filter(pa.array(keep))
 
-        return frame.mapInArrow(run, frame.schema)
+        return frame.mapInArrow(trimmed(run), frame.schema)
 
     out, block = docs, []
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():

@@ -20,7 +20,7 @@ ODD = re.compile(r" [\s\0]|[^\S ] |\0")
 class CachedEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes; special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

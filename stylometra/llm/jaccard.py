@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .links import bucket_links, components
-from .shared import SHINGLE_WORDS, SIMILARITY, HashedWords, discard, grouped, materialize, prepare, rolling, table
+from .shared import HashedWords, SHINGLE_WORDS, SIMILARITY, discard, grouped, materialize, prepare, rolling, table, trimmed
 
 #: tries, their depth, and the recall at the similarity threshold down to which prefixes are shortened
 TREES, DEPTH, RECALL = 16, 8, 0.999
@@ -68,7 +68,7 @@ def signatures(df: DataFrame, similarity: float, id_col: str, text_col: str) ->
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, node long, keys array<long>")
+    return rows.mapInArrow(trimmed(run), "id long, node long, keys array<long>")
 
 
 def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,7 +86,7 @@ def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 nodes = [xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), seed=len(x)) - (1 << 63) if len(x) else None for x in found]
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "data"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "node long, data binary").where("node is not null")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "node long, data binary").where("node is not null")
 
 
 def jaccard_judge(similarity: float):

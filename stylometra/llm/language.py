@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import grouped, prepare, table
+from .shared import grouped, prepare, table, trimmed
 
 #: words in one chain; hash buckets of features; features of a word; documents and words of a language to learn from, at most
 CHAIN, BUCKETS, FEATURES, PER_LANGUAGE, WORDS = 64, 1 << 16, 28, 240, 24_000
@@ -168,7 +168,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             nonlocal known, scores
             split = [t.split() if t else [] for t in texts]
             new = [*(set().union(*split) - known.keys())]
-            if len(known) + len(new) > 600_000:
+            if len(known) + len(new) > 400_000:
                 known = {}
                 new = [*set().union(*split)]
             while len(known) + len(new) > len(scores):
@@ -212,7 +212,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     given = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)), F.col(text_col).alias("t"))
     schema = ", ".join([*(f"c{k} {given.schema[k].dataType.simpleString()}" for k in range(len(kept))), "lang_pred string, score double, words map<string,double>"])
-    return given.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score", "words")
+    return given.mapInArrow(trimmed(run), schema).toDF(*kept, "lang_pred", "score", "words")
 
 
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, partitions, prepare
+from .shared import discard, materialize, partitions, prepare, trimmed
 
 #: members of a bucket that are compared at once; a larger bucket is cut into blocks, and each two blocks are a task's group
 BLOCK = 512
@@ -88,7 +88,7 @@ def bucket_links(members: DataFrame, payload: DataFrame, judge: Callable[[list[b
 
     full = dealt.join(payload, "node").select("place", "key", "i", "j", "own", "node", "copies", "keys", "data")
     order = ["place", "key", "i", "j"]
-    judged = full.repartition(partitions(spark), *order).sortWithinPartitions(*order, "node").mapInArrow(run, "node long, links long, root long")
+    judged = full.repartition(partitions(spark), *order).sortWithinPartitions(*order, "node").mapInArrow(trimmed(run), "node long, links long, root long")
     out, _ = materialize(judged.groupBy("node", "root").agg(F.sum("links").alias("links")), "links")
     discard(spark, scratch)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import encoder, vocabulary
-from .shared import grouped, prepare, table
+from .shared import grouped, prepare, table, trimmed
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
@@ -192,7 +192,7 @@ def pack(df: DataFrame, limits: Limits, path: str, id_col: str = "doc_id", text_
         yield from rows(packer.fill(True), True)
 
     begin = F.lit(1).cast("long") if loss_from is None else loss_from.cast("long")
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), begin.alias("l")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), begin.alias("l")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

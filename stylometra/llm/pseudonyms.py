@@ -15,7 +15,7 @@ from .shared import table
 ROUNDS = 8
 KEY = "stylometra example key"
 # The forms of personal data. Each is validated after it is found.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"{OCTET}(?:\.{OCTET}){{3}}"
 YEAR, MONTH, DAY = r"(?:19|20)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
@@ -23,7 +23,9 @@ DATES = {"yyyy-MM-dd": rf"{YEAR}-{MONTH}-{DAY}", "yyyy/MM/dd": rf"{YEAR}/{MONTH}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+?1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-FOUND = rf"(?<![\p{{L}}\p{{N}}])(?:{EMAIL}|{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD})(?![\p{{L}}\p{{N}}])"
+AFTER, BEFORE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+NUMBERS = rf"(?=[0-9(+]){AFTER}(?:{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD}){BEFORE}"
+FOUND = rf"{AFTER}(?:{EMAIL}|{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD}){BEFORE}"
 #: days from 1900-01-01 to 2099-12-31, as two symbols
 DAYS = (17, 4297)
 
@@ -143,13 +145,14 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Null text: null, 0. Empty text: empty, 0. Repeated rows get equal results. All other columns stay; an own column
     n_replaced is replaced.
     """
-    # without these characters nothing can match
     text = F.col(f"`{text_col}`")
-    found = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).when(text.contains("@"), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)))
+    mail = text.contains("@")
+    # without a sign of mail only numbers can match, which begin at few characters
+    found = F.when(mail, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
     old, new = (next(x for x in (f"_{name}{'_' * k}" for k in range(len(df.columns) + 1)) if x not in df.columns) for name in ("found", "fresh"))
     rows = df.withColumn(old, found)
     rows = rows.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
-    joined = F.array_join(F.transform(F.split(text, FOUND, -1), lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
+    joined = F.array_join(F.transform(F.when(mail, F.split(text, FOUND, -1)).otherwise(F.split(text, NUMBERS, -1)), lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
     changed = F.aggregate(F.zip_with(old, new, lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     n = F.when(F.col(new).isNotNull(), changed).otherwise(F.lit(0).cast("long"))
     return rows.withColumns({"n_replaced": n, text_col: F.when(F.col(new).isNotNull(), joined).otherwise(text)}).drop(old, new)

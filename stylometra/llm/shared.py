@@ -65,13 +65,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def trimmed(run):
+    """run, after which a Python worker gives the memory of its batches back; idle workers would hold it otherwise."""
+
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+
+        gc.collect()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return whole
+
+
 class HashedWords:
     """Texts as arrays of 64-bit hashes of their lower-cased words (runs of letters, digits and underscores).
 
     The hashes of each piece between blanks are kept, in a cache that starts anew when it is full.
     """
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         self.limit, self.known = limit, {"": b""}
 
     @staticmethod

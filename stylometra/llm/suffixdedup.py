@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, grouped, materialize, partitions, prepare, table
+from .shared import discard, grouped, materialize, partitions, prepare, table, trimmed
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
@@ -166,8 +166,8 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
                     x.append(y)
         yield from done()
 
-    dealt = rows.mapInArrow(cut, "bucket int, marks binary, nodes binary, places binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "node long, places binary")
+    dealt = rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary, places binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(meet), "node long, places binary")
 
 
 def candidates(rows: DataFrame, places: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -238,8 +238,8 @@ def candidates(rows: DataFrame, places: DataFrame, buckets: int, length: int, gr
             yield flush()
 
     schema = "node long, doc long, text binary, places binary"
-    all_ = rows.mapInArrow(once, schema).unionByName(places.selectExpr("node", "cast(null as long) doc", "cast(null as binary) text", "places"))
-    return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(join, "kind int, bucket int, node long, doc long, starts binary, sizes binary, data binary")
+    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(places.selectExpr("node", "cast(null as long) doc", "cast(null as binary) text", "places"))
+    return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(join), "kind int, bucket int, node long, doc long, starts binary, sizes binary, data binary")
 
 
 def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -291,7 +291,7 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
         yield from done()
 
     dealt = found.where("kind = 0").select("bucket", "node", "doc", "starts", "sizes", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(sort, "node long, spans binary")
+    return dealt.mapInArrow(trimmed(sort), "node long, spans binary")
 
 
 def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -360,7 +360,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
             yield batch()
 
     both = gone.selectExpr("node", "spans", "cast(null as binary) data").unionByName(found.where("kind = 1").selectExpr("node", "cast(null as binary) spans", "data"))
-    marked = both.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(apply, "node long, spans array<struct<start:bigint,end:bigint>>, kept string")
+    marked = both.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(apply), "node long, spans array<struct<start:bigint,end:bigint>>, kept string")
     marked, fourth = materialize(marked, "marked")
     low = named.groupBy("node").agg(F.min("doc").alias("low"))
     known = low.join(marked, "node", "left")

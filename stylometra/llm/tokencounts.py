@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import SAFE, vocabulary
-from .shared import grouped, prepare, table
+from .shared import grouped, prepare, table, trimmed
 
 SPACE = "▁"
 BYTE_PENALTY = 10.0
@@ -112,7 +112,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                         del known[word]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "n_pretokens", "n_tokens", "log_score"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, log_score double")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_pretokens long, n_tokens long, log_score double")
 
 
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .encoding import encoder, vocabulary
 from .rans import Table, blocks, decode
-from .shared import discard, grouped, materialize, partitions, prepare, shared_dir, table
+from .shared import discard, grouped, materialize, partitions, prepare, shared_dir, table, trimmed
 
 BLOCK = 1 << 17
 SHARD = "shard int, first long, doc_ids array<long>, lengths array<long>, block binary"
@@ -44,7 +44,7 @@ def tokenize(df: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id
                 yield out([i for i, _ in group], [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found] if kind != "<u4" else found, [None] * len(group))
         yield out([None], [None], [counts.astype("<i8").tobytes()])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, ids binary, counts binary")
 
 
 def frequencies(tokens: DataFrame) -> Table:
@@ -63,7 +63,7 @@ def frequencies(tokens: DataFrame) -> Table:
             yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["id", "n"])
             yield pa.record_batch([pa.array([len(total) - 1]), pa.array([0])], names=["id", "n"])
 
-    counted = tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.where("counts is not null").select("counts").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, dtype=np.int64)
     counts[counted["id"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     return Table(counts)
@@ -96,7 +96,7 @@ def write(df: DataFrame, out: str, path: str, end_id: int | None, id_col: str =
 
     rows = tokens.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     dealt = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    dealt.select("doc_id", "ids").mapInArrow(code, SHARD).write.option("compression", "uncompressed").parquet(f"{out}/shards")
+    dealt.select("doc_id", "ids").mapInArrow(trimmed(code), SHARD).write.option("compression", "uncompressed").parquet(f"{out}/shards")
     discard(spark, scratch)
 
 
@@ -126,7 +126,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                 starts = [begins[shard] + first + a for a in at[:-1]]
                 yield pa.record_batch([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([ids[4 * a : 4 * z] for a, z in zip(at, at[1:])], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
