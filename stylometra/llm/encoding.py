@@ -12,6 +12,7 @@ import re
 from array import array
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+SIGNS = ".,;:!?*$%&#"
 #: what Python, unlike the tokenizers library, takes for white space or lower-cases by context
 UNLIKE = re.compile("[\x1c-\x1f\u0130\u03a3]")
 ODD = re.compile(r" [\s\0]|[^\S ] |\0")
@@ -20,7 +21,7 @@ ODD = re.compile(r" [\s\0]|[^\S ] |\0")
 class CachedEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes; special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -29,6 +30,7 @@ class CachedEncoder:
         #: the vocabulary lower-cases and drops white space, so pieces can be cut at any and shared between cases
         self.plain = all(x in self.tokenizer.to_str(pretty=False)[:2000] for x in ('"Lowercase"', '"Removed"'))
         self.size, self.limit, self.known = self.tokenizer.get_vocab_size(), limit, {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         if self.plain and not UNLIKE.search(text):
@@ -41,14 +43,23 @@ class CachedEncoder:
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; new pieces of all texts are encoded together."""
         pieces = [self.cut(t) or [""] if t else [""] for t in texts]
-        new = [*(set().union(*pieces) - self.known.keys())]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = [x for x in set().union(*pieces) if x]
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        new = set().union(*pieces) - self.known.keys()
+        if len(self.known) + len(new) > self.limit // 2:
+            self.before, self.known = self.known, {"": b""}
+            new = set().union(*pieces) - {""}
+        again = new & self.before.keys()
+        self.known.update((p, self.before[p]) for p in again)
+        new -= again
+        # letters and the signs after them are pre-tokens of their own, so words are encoded without signs
+        joint = [(p, x, p[len(x) :]) for p in new if (x := p.rstrip(SIGNS)) != p and x.isalpha()] if self.plain else []
+        whole = new.difference(p for p, _, _ in joint).union(*(t[1:] for t in joint)) - self.known.keys() if joint else new
+        whole = [*whole]
+        for piece, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
             self.known[piece] = array("I", e.ids).tobytes()
+        for piece, letters, signs in joint:
+            self.known[piece] = self.known[letters] + self.known[signs]
         found = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for piece in new:
+        for piece in new.union(whole):
             if len(piece) > 64:
                 del self.known[piece]
         return found
