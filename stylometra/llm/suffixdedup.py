@@ -85,8 +85,11 @@ def mark_of(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
 
-def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string the smallest document that each of its windows is in; lowest: each string's smallest document."""
+def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document that each window of each string is in, one string after the other, and where each begins.
+
+    lowest: each string's smallest document.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
@@ -104,7 +107,7 @@ def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> list
     first = np.cumsum(counts) - counts
     flat = np.empty(int(counts.sum()), np.int64)
     flat[first[of] + inside] = least[group]
-    return np.split(flat, first[1:]) if len(strings) else []
+    return flat, first
 
 
 def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -267,15 +270,15 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
                     elif doc < lowest[k]:
                         lowest[k] = doc
                     owners.append((node, doc, k, start))
-            least = equal_windows(strings, np.array(lowest, np.int64), length)
-            plain = [(int(x.min()), int(x.max())) for x in least]
+            least, first = equal_windows(strings, np.array(lowest, np.int64), length)
+            plain = [*zip(np.minimum.reduceat(least, first).tolist(), np.maximum.reduceat(least, first).tolist())]
             spans: dict[int, list[int]] = {}
             for node, doc, k, start in owners:
                 low, high = plain[k]
                 if high < doc:
                     spans.setdefault(node, []).extend((start, start + len(strings[k])))
                 elif low < doc:
-                    gone = np.concatenate([[False], least[k] < doc, [False]])
+                    gone = np.concatenate([[False], least[first[k] : first[k] + len(strings[k]) - length + 1] < doc, [False]])
                     edge = np.flatnonzero(gone[1:] != gone[:-1])
                     for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
                         spans.setdefault(node, []).extend((start + a, start + z + length - 1))
