@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: rows and bytes of one Arrow batch: texts are long, and the JVM and the worker each hold whole batches
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 WORD = re.compile(r"\w+")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started; small Arrow batches, unless the application's settings name others."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    given = spark.sparkContext.getConf()
+    for key, most in BATCH.items():
+        if not given.contains(key) and spark.conf.get(key) != most:
+            spark.conf.set(key, most)
     return spark
 
 
