@@ -59,6 +59,14 @@ def ids_of(name, text, end=None):
     return t.encode(text or "", add_special_tokens=False).ids + ([] if end is None else [end])
 
 
+def _whole(name, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    t.encode_special_tokens = True
+    return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     cases = [t for _, t in TEXTS] + ["a  b", " a", "a ", "a\n b", "a \nb", "a\0b c", "Σας ΣΑΣ İx", "it's o'clock 's", "x́ y", "\x1c a\x1d b", "<|endoftext|> z"]
@@ -66,6 +74,15 @@ def test_encoder_equals_the_library(name):
     assert [array("I", x).tolist() for x in found] == [ids_of(name, t) for t in cases]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_random_texts(name):
+    rng = np.random.default_rng(8)
+    cases = ["İ. ' 'c", "ǅ ꟲ 𝔘𝔫 ﷺ", *("".join(rng.choice([*"ab cé's.,1\n İΣ日\u0301 "], 40)) for _ in range(400))]
+    encode = CachedEncoder(vocabulary(name), limit=300)
+    found = [x for k in range(0, len(cases), 50) for x in encode.many(cases[k : k + 50])]
+    assert [array("I", x).tolist() for x in found] == _whole(name, cases)
+
+
 # 1
 def turns(spark, rows):
     return spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, differ string, n long")
