@@ -29,11 +29,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id; rows without id stay."""
-    classes = jaccard_join(docs)
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.select(*COLUMNS)
+    """One row of each class of near-duplicate texts: the one with the smallest id, a null id last.
+
+    Rows are told apart by a number of their own, not by doc_id: of repeated rows one stays, rows of one id with texts of
+    different classes are judged apart, and rows without id take part. Among rows of one id in a class the smallest hash
+    of the text decides, then the other columns. Null texts and texts without words stay.
+    """
+    ids = docs.select(*COLUMNS).withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64("text")})
+    rows, _ = materialize(ids, "rows")  # the numbers hold only once they are written
+    linked = jaccard_join(rows, id_col="_row").where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "lang", "source", "n_chars", "_row")
+    first = rows.drop("text").join(linked, "_row").groupBy("class_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = linked.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_stages(spark, sf, tmp_path):
     assert not {m for t in texts["decontamination"].values() for m in mail.findall(t)} & {m for t in texts["personal data"].values() for m in mail.findall(t)}
     packed = kept["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == set(texts["personal data"]) and all(r["n"] == r["m"] for r in packed)
+
+
+def test_near_duplicates_are_rows(spark):
+    """Repeated rows, one id with two texts, and null ids: one row of each class stays, and no row of another class goes."""
+    a, b, c, d, e, f = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcdef")
+    rows = [(7, a), (7, a), (7, a), (3, c), (8, c), (8, b), (None, d), (None, d), (None, e), (5, e), (None, f), (9, "One two three."), (9, "one two THREE"), (4, None), (4, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect()]
+    variants = [x for x in got if x[0] == 9]
+    assert len(variants) == 1
+    assert sorted(map(str, set(got))) == sorted(map(str, [(7, a), (3, c), (8, b), (None, d), (5, e), (None, f), (4, None), (6, ""), *variants]))
+    assert len(got) == 11
