@@ -26,6 +26,12 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 AFTER, BEFORE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 NUMBERS = rf"(?=[0-9(+]){AFTER}(?:{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD}){BEFORE}"
 FOUND = rf"{AFTER}(?:{EMAIL}|{'|'.join(DATES.values())}|{IP}|{SSN}|{PHONE}|{CARD}){BEFORE}"
+#: what may begin at one place besides mail, in this order; a card's digits from most to fewest
+KINDS = (rf"(?:{'|'.join(DATES.values())})", IP, SSN, rf"(?:{PHONE})", *(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)))
+#: characters of the longest number and of what follows it
+WINDOW = 48
+#: after a character that no kind contains
+CUT = r"(?<=[^\p{L}\p{N}._%+@() /-])"
 #: days from 1900-01-01 to 2099-12-31, as two symbols
 DAYS = (17, 4297)
 
@@ -128,12 +134,45 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one found string; what validation rejects stays as it is."""
+    """The pseudonym of one found string; null where validation rejects it."""
     is_ = lambda pattern: m.rlike(rf"^(?:{pattern})$")
     out = F.when(is_(EMAIL), _email(m, key))
     for layout, pattern in DATES.items():
         out = out.when(is_(pattern), _date(m, layout, key))
-    return F.coalesce(out.when(is_(IP), _ip(m, key)).when(is_(SSN), _ssn(m, key)).when(is_(PHONE), _phone(m, key)).when(is_(CARD), _card(m, key)), m)
+    return out.when(is_(IP), _ip(m, key)).when(is_(SSN), _ssn(m, key)).when(is_(PHONE), _phone(m, key)).when(is_(CARD), _card(m, key))
+
+
+def searched(text: Column, key: str) -> Column:
+    """text with its pseudonyms and how many strings changed (struct of out and n), searched place by place.
+
+    At each place where a string may begin, the first kind that validation accepts is taken, a card with as many digits
+    as it can have; else the search goes on at the next place, inside of what was rejected.
+    """
+    begins = rf"(?={FOUND})"
+    pieces = F.split(text, begins, -1)
+    mails, windows = (F.regexp_extract_all(text, F.lit(rf"{begins}(?=({EMAIL}{BEFORE})?)(?=([\s\S]{{1,{WINDOW}}}))"), F.lit(k)) for k in (1, 2))
+
+    def accepted(mail: Column, window: Column) -> Column:
+        tried = F.filter(F.array(mail, *(F.regexp_extract(window, rf"^({kind}){BEFORE}", 1) for kind in KINDS)), lambda m: m != "")
+        return F.get(F.filter(F.transform(tried, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))), lambda x: x["new"].isNotNull()), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        piece, best = x["piece"], x["best"]
+        taken = (s["left"] == 0) & best.isNotNull()
+        skip = F.when(taken, F.length(best["old"])).otherwise(s["left"])
+        rest = F.substring(piece, skip + 1, F.length(piece))
+        return F.struct(
+            F.concat(s["out"], F.when(taken, best["new"]).otherwise(F.lit("")), rest).alias("out"),
+            F.greatest(skip - F.length(piece), F.lit(0)).alias("left"),
+            (s["n"] + F.when(taken & (best["old"] != best["new"]), 1).otherwise(0)).alias("n"),
+        )
+
+    # the text before the first place is a piece of its own, unless it is empty
+    found = F.zip_with(mails, windows, lambda mail, window: F.struct(mail.alias("mail"), window.alias("window")))
+    lead = F.array_repeat(F.struct(F.lit("").alias("mail"), F.lit("").alias("window")), F.size(pieces) - F.size(windows))
+    places = F.zip_with(pieces, F.concat(lead, found), lambda piece, x: F.struct(piece.alias("piece"), F.when(x["window"] != "", accepted(x["mail"], x["window"])).alias("best")))
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("left"), long(0).alias("n"))
+    return F.aggregate(places, begin, step, lambda s: F.struct(s["out"], s["n"]))
 
 
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -141,7 +180,8 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     Luhn-valid card numbers keep a valid check digit, phone numbers keep valid area and exchange codes valid, dates (1900 to 2099,
     four layouts) stay dates, social security numbers and IPv4 addresses stay valid, mail addresses keep their domain
-    and the classes of characters. Layout and separators stay. Whole texts of any length are searched; no shuffle.
+    and the classes of characters. Layout and separators stay. Whole texts of any length are searched; no shuffle. A text
+    in which validation rejects a string is searched again place by place, also inside of that string.
     Null text: null, 0. Empty text: empty, 0. Repeated rows get equal results. All other columns stay; an own column
     n_replaced is replaced.
     """
@@ -149,13 +189,15 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mail = text.contains("@")
     # without a sign of mail only numbers can match, which begin at few characters
     found = F.when(mail, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
-    old, new = (next(x for x in (f"_{name}{'_' * k}" for k in range(len(df.columns) + 1)) if x not in df.columns) for name in ("found", "fresh"))
+    old, new, again = (next(x for x in (f"_{name}{'_' * k}" for k in range(len(df.columns) + 1)) if x not in df.columns) for name in ("found", "fresh", "again"))
     rows = df.withColumn(old, found)
     rows = rows.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
+    rows = rows.withColumn(again, F.when(F.exists(new, lambda m: m.isNull()), F.transform(F.split(text, CUT, -1), lambda t: F.when(t.rlike(FOUND), searched(t, key)).otherwise(F.struct(t.alias("out"), long(0).alias("n"))))))
     joined = F.array_join(F.transform(F.when(mail, F.split(text, FOUND, -1)).otherwise(F.split(text, NUMBERS, -1)), lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
     changed = F.aggregate(F.zip_with(old, new, lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    n = F.when(F.col(new).isNotNull(), changed).otherwise(F.lit(0).cast("long"))
-    return rows.withColumns({"n_replaced": n, text_col: F.when(F.col(new).isNotNull(), joined).otherwise(text)}).drop(old, new)
+    retold, recount = F.array_join(F.transform(again, lambda x: x["out"]), ""), F.aggregate(again, long(0), lambda s, x: s + x["n"])
+    n = F.when(F.col(again).isNotNull(), recount).when(F.col(new).isNotNull(), changed).otherwise(F.lit(0).cast("long"))
+    return rows.withColumns({"n_replaced": n, text_col: F.when(F.col(again).isNotNull(), retold).when(F.col(new).isNotNull(), joined).otherwise(text)}).drop(old, new, again)
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

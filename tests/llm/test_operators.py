@@ -358,6 +358,29 @@ def test_pseudonyms(spark, edge, empty):
     assert pseudonyms.pseudonymize(empty, key).count() == 0
 
 
+def test_pseudonyms_inside_of_rejected_strings(spark):
+    """Digits beside a value don't hide it: what validation rejects is searched again, with its surroundings."""
+    card = "4111 1111 1111 1111"
+    cases = [
+        (f"{card} 12/27", [card]), (f"{card} 123", [card]), ("7 4111111111111111", ["4111111111111111"]), ("order 2024 456-555-2186", ["456-555-2186"]),
+        ("id 2024 078-05-1120", ["078-05-1120"]), ("12345 2024-02-29", ["2024-02-29"]), (f"1234567 {card}", [card]), (f"666-05-{card}", [card]),
+        (f"{card} 456-555-2186", [card, "456-555-2186"]), ("12345 67890 abc12@mail.com", ["abc12@mail.com"]), ("12345 67890 123456@mail.com", ["123456@mail.com"]),
+        ("1234 5678 9012 3456", []), (f"é 1234 5678 9012 3456, 2023-02-29 and\n{card} 99; {card}", [card, card]), ("1 2 3 4 5 6 7 8 9 1 2 3 4 10.0.0.255", ["10.0.0.255"]),
+    ]
+    plain = sorted({v for _, values in cases for v in values})
+    rows = [(k, t) for k, t in enumerate([*plain, *(t for t, _ in cases)])]
+    got = [r for r in sorted(pseudonyms.pseudonymize(spark.createDataFrame(rows, "k int, text string"), "k").collect(), key=lambda r: r["k"])]
+    fresh = {v: got[k]["text"] for k, v in enumerate(plain)}
+    assert all(v != x for v, x in fresh.items())
+    for (text, values), r in zip(cases, got[len(plain) :]):
+        at = 0
+        for v in values:
+            at = text.index(v, at)
+            text = text[:at] + fresh[v] + text[at + len(v) :]
+            at += len(fresh[v])
+        assert (r["text"], r["n_replaced"]) == (text, len(values))
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(2000).select(F.array((F.col("id") / 100).cast("long"), F.col("id") % 100).alias("s"))
     out = rows.select(pseudonyms.feistel(F.col("s"), F.array(F.lit(20).cast("long"), F.lit(100).cast("long")), "x", "k").alias("o")).collect()
