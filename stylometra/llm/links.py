@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, partitions, prepare, trimmed
 
-#: members of a bucket that are compared at once; a larger bucket is cut into blocks, and each two blocks are a task's group
-BLOCK = 512
+#: members of a group that are compared at once; a larger group is cut into blocks, and each two blocks are a task's group
+BLOCK = 1024
+#: place of a group that is a whole component of what meets
+WHOLE = -1
+Judge = Callable[[list[bytes], list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def local_roots(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -26,22 +29,42 @@ def local_roots(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
     return root
 
 
-def bucket_links(members: DataFrame, payload: DataFrame, judge: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
-    """Per group and node with links there: node, links (sum of the copies of linked nodes), root (smallest node it reaches there).
+def plan_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Who is compared with whom. rows: node, place, key, own (false: the node looks into a neighbour's bucket).
 
-    members: node long, copies long, keys array<long>. Two nodes meet if any of their keys at the same place are equal;
-    every such pair is judged once, where its first equal key is. payload: node long, data binary. Buckets with the same
-    members as another are left out, since they hold the same pairs. Only counts and roots leave a group, at most a row
-    for each member.
+    Returns (met, member, plan, scratch): met has the rows of buckets with company, member the component of each node
+    in the graph of meetings, plan a row per component: root, c (nodes), x (hash of its nodes), whole. A component is
+    one group if it fits in a block or if that ships less than its buckets would, one by one; so each node of a group
+    of near copies, which meet in many buckets, is sent once for each block and not once for each bucket.
     """
-    spark = prepare(members.sparkSession)
-    rows = members.select("node", "copies", "keys", F.posexplode("keys").alias("place", "key"))
-    name = F.xxhash64("node", F.lit(11))
-    sizes = rows.groupBy("place", "key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(name).alias("y")).where("n > 1")
-    buckets = sizes.groupBy("n", "low", "x", "y").agg(F.min(F.struct("place", "key")).alias("b")).select("b.place", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = rows.join(buckets, ["place", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt, scratch = materialize(dealt.select("place", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "keys"), "members")
+    buckets = rows.groupBy("place", "key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bool_or("own").alias("owned")).where("n > 1 and owned").drop("owned")
+    met, first = materialize(rows.join(buckets, ["place", "key"]), "met")
+    member, second = components_of(met.select("node", F.col("low").alias("root")))
+    shipped = F.col("n") * F.ceil(F.col("n") / BLOCK)
+    work = met.where("node = low").groupBy("place", "key", "node").agg(F.max(shipped).alias("w")).join(member, "node").groupBy("root").agg(F.sum("w").alias("work"))
+    sizes = member.groupBy("root").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    whole = (F.col("c") <= BLOCK) | (F.col("c") * F.ceil(F.col("c") / BLOCK) <= F.coalesce("work", F.lit(0)))
+    plan, third = materialize(sizes.join(work, "root", "left").select("root", "c", "x", whole.alias("whole")), "plan")
+    return met, member, plan, [first, second, third]
+
+
+def judged_links(met: DataFrame, member: DataFrame, plan: DataFrame, nodes: DataFrame, payload: DataFrame, judge: Judge, chances: Sequence[Callable[[np.ndarray], np.ndarray]] = ()) -> DataFrame:
+    """Per node and root with links: node, root (smallest node it reaches in a group), links (sum of the copies of
+    linked nodes), pairs (linked nodes) and w0, w1, ... for each of `chances`: 1 / the chance that buckets show a pair
+    of that likeness, summed over the linked nodes (w0: over those that these buckets do show).
+
+    nodes: node, copies, parts array<long>, reach int (bits in which parts of one place may differ and still meet).
+    payload: node, data binary. In a component that is compared bucket by bucket every pair is judged once, at the
+    first place where it meets. Only counts and roots leave a group, at most a row for each member of a block.
+    """
+    spark, weights = prepare(plan.sparkSession), [f"w{k}" for k in range(len(chances))]
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias("blocks")
+    whole = member.join(plan.where("whole"), "root").select("node", F.lit(WHOLE).alias("place"), F.col("root").alias("key"), F.lit(True).alias("own"), blocks("c"))
+    apart = met.join(member.join(plan.where("not whole").select("root"), "root", "left_semi").select("node"), "node", "left_semi").select("node", "place", "key", "own", blocks("n"))
+    rows = whole.unionByName(apart)
+    block = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("place", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "node")
 
     def run(batches):
         import pyarrow as pa
@@ -56,66 +79,79 @@ def bucket_links(members: DataFrame, payload: DataFrame, judge: Callable[[list[b
             right = left if i == j else [r for r in held if r[0] == j]
             if not left or not right:
                 return
-            ka, kb = (np.array([r[3] for r in side], dtype=np.int64) for side in (left, right))
-            fresh = np.ones((len(left), len(right)), bool)
-            for t in range(place):
-                fresh &= ka[:, t][:, None] != kb[:, t][None, :]
-            na, nb = (np.array([r[1] for r in side], dtype=np.int64) for side in (left, right))
-            fresh &= na[:, None] != nb[None, :]
+            na, nb = (np.array([r[2] for r in side], dtype=np.int64) for side in (left, right))
+            fresh = na[:, None] != nb[None, :]
+            met = np.zeros_like(fresh)
+            if chances or place != WHOLE:
+                xa, xb = (np.array([r[4] for r in side], dtype=np.int64) for side in (left, right))
+                for t in range(xa.shape[1] if place == WHOLE else place):
+                    met |= np.bitwise_count(xa[:, t][:, None] ^ xb[:, t][None, :]) <= left[0][5]
+            if place != WHOLE:
+                oa, ob = (np.array([r[1] for r in side]) for side in (left, right))
+                fresh &= ~met & (oa[:, None] | ob[None, :])
             if not fresh.any():
                 return
-            linked = judge([r[4] for r in left], [r[4] for r in right]) & fresh
+            linked, like = judge([r[6] for r in left], [r[6] for r in right])
+            linked &= fresh
             if not linked.any():
                 return
-            ca, cb = (np.array([r[2] for r in side], dtype=np.int64) for side in (left, right))
+            ca, cb = (np.array([r[3] for r in side], dtype=np.int64) for side in (left, right))
+            shown = linked & met if place == WHOLE else linked
+            shares = []
+            for k, chance in enumerate(chances):
+                shares.append(np.zeros(linked.shape))
+                use = shown if k == 0 else linked
+                shares[-1][use] = 1 / chance(like[use])
             if i == j:
                 names, links, both = na, linked @ ca, linked
+                sums = [x.sum(axis=1) for x in (linked, *shares)]
             else:
                 names, links = np.concatenate([na, nb]), np.concatenate([linked @ cb, linked.T @ ca])
+                sums = [np.concatenate([x.sum(axis=1), x.sum(axis=0)]) for x in (linked, *shares)]
                 both = np.zeros((len(names), len(names)), bool)
                 both[: len(na), len(na) :], both[len(na) :, : len(na)] = linked, linked.T
             root, some = local_roots(both, names), links > 0
-            yield pa.record_batch([pa.array(names[some]), pa.array(links[some]), pa.array(root[some])], names=["node", "links", "root"])
+            yield pa.record_batch([pa.array(x[some]) for x in (names, root, links, *sums)], names=["node", "root", "links", "pairs", *weights])
 
         for b in batches:
-            columns = {n: b.column(k).to_pylist() for k, n in enumerate(b.schema.names)}
-            for group, row in zip(zip(columns["place"], columns["key"], columns["i"], columns["j"]), zip(columns["own"], columns["node"], columns["copies"], columns["keys"], columns["data"])):
+            columns = [b.column(k).to_pylist() for k in range(b.num_columns)]
+            for place, key, i, j, *row in zip(*columns):
+                group = (place, key, i, j)
                 if group != at:
                     yield from done()
                     held, at = [], group
                 held.append(row)
         yield from done()
 
-    full = dealt.join(payload, "node").select("place", "key", "i", "j", "own", "node", "copies", "keys", "data")
+    full = dealt.join(nodes.select("node", "copies", "parts", "reach").join(payload, "node"), "node").select("place", "key", "i", "j", "block", "own", "node", "copies", "parts", "reach", "data")
     order = ["place", "key", "i", "j"]
-    judged = full.repartition(partitions(spark), *order).sortWithinPartitions(*order, "node").mapInArrow(trimmed(run), "node long, links long, root long")
-    out, _ = materialize(judged.groupBy("node", "root").agg(F.sum("links").alias("links")), "links")
-    discard(spark, scratch)
-    return out
+    judged = full.repartition(partitions(spark), *order).sortWithinPartitions(*order, "node").mapInArrow(trimmed(run), "node long, root long, links long, pairs long" + "".join(f", {w} double" for w in weights))
+    return judged.groupBy("node", "root").agg(*(F.sum(x).alias(x) for x in ("links", "pairs", *weights)))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of edges (node, root) reaches.
+def components_of(edges: DataFrame) -> tuple[DataFrame, str]:
+    """node, root (the smallest node that each node of edges (node, root) reaches) and the path of that table.
 
     Rounds of neighbours' minima and pointer jumping until nothing changes, each written to the shared folder; nothing
-    but the number of changes comes to the driver.
+    but the number of changes comes to the driver. A node alone in its edges is its own root.
     """
     spark = edges.sparkSession
-    pairs = edges.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b")
+    pairs = edges.select(F.col("node").alias("a"), F.col("root").alias("b"))
     both, kept = materialize(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     labels, last = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
         moved = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("via"))
         jumped = moved.join(labels.select(F.col("node").alias("via"), F.col("root").alias("far")), "via", "left").select("node", "was", F.least("via", F.coalesce("far", "via")).alias("root"))
-        fresh, path = materialize(jumped, "labels")
-        changed = fresh.where("was != root").limit(1).count()
+        moves = Observation()
+        fresh, path = materialize(jumped.observe(moves, F.count_if(F.col("was") != F.col("root")).alias("n")), "labels")
+        changed = moves.get["n"]
         discard(spark, last)
         labels, last = fresh.select("node", "root"), path
         if not changed:
             discard(spark, kept)
-            return labels
+            return labels, last
 
 
-def nothing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "node long, root long")
+def components(edges: DataFrame) -> DataFrame:
+    return components_of(edges)[0]

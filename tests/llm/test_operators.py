@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stylometra.llm import pseudonyms, rans
 from stylometra.llm.decontamination import clean, contaminated
 from stylometra.llm.encoding import CachedEncoder, vocabulary
-from stylometra.llm.jaccard import jaccard_join, prefix_depth
+from stylometra.llm.jaccard import jaccard_join, meeting_chance, shortest_prefix
 from stylometra.llm.language import learn, predict, sample
 from stylometra.llm.packing import Limits, pack
 from stylometra.llm.preferences import OP1_SQL, assemble, format_preferences, op1_preference_format
@@ -426,8 +426,8 @@ def test_jaccard_large_group(spark):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    assert prefix_depth(0.99) > prefix_depth(0.8) > prefix_depth(0.5) >= 1
-    assert 1 - (1 - 0.8 ** prefix_depth(0.8)) ** 16 >= 0.999
+    assert shortest_prefix(0.99) > shortest_prefix(0.8) > shortest_prefix(0.5) >= 1
+    assert 0.9997 < meeting_chance(shortest_prefix(0.8))(0.8) < 1
 
 
 # 9
