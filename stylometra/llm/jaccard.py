@@ -210,3 +210,18 @@ def jaccard_join(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
 def op8_minhash_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and link counts of all documents."""
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k : k + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT s, min(doc_id) AS set_id, count(*) AS copies FROM s GROUP BY s),
+u AS (SELECT set_id, len(s) AS n, unnest(s) AS x FROM n),
+j AS (SELECT a.set_id AS x, b.set_id AS y, count(*) AS c, any_value(a.n) AS p, any_value(b.n) AS q FROM u a JOIN u b ON a.x = b.x AND a.set_id <> b.set_id GROUP BY a.set_id, b.set_id),
+l AS (SELECT x, y FROM j WHERE c >= 0.8 * (p + q - c) - 1e-9),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+k AS (SELECT l.x, CAST(sum(copies) AS BIGINT) AS links FROM l JOIN n ON n.set_id = l.y GROUP BY l.x)
+SELECT d.doc_id, coalesce(least(n.set_id, c.low), n.set_id, d.doc_id) AS class_id, coalesce(k.links, 0) + coalesce(n.copies, 1) - 1 AS n_links, coalesce(n.set_id, d.doc_id) AS set_id
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN n ON n.s = s.s LEFT JOIN c ON c.x = n.set_id LEFT JOIN k ON k.x = n.set_id
+"""

@@ -21,6 +21,8 @@ from .shared import discard, grouped, materialize, partitions, prepare, table, t
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
+#: bytes of the input files for one bucket
+BUCKET = 64 << 20
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -111,7 +113,7 @@ def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tupl
 
 
 def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(node, places binary) of the anchors that two texts or more have. rows: node long, text binary."""
+    """(node, marks binary) of the anchors that two texts or more have. rows: node long, text binary."""
 
     def cut(batches):
         import pyarrow as pa
@@ -129,124 +131,133 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
                     seen = set()
                 if not fresh:
                     continue
-                text, _, _, place, hashes = anchors([t for _, t in fresh], length, gram)
+                text, _, _, _, hashes = anchors([t for _, t in fresh], length, gram)
                 bucket = bucket_of(hashes, buckets)
                 order = np.argsort(bucket.astype(np.uint16), kind="stable")
                 name = np.array([n for n, _ in fresh], np.int64)[text[order]]
-                mark, place, bucket = mark_of(hashes)[order], place[order].astype("<u4"), bucket[order]
+                mark, bucket = mark_of(hashes)[order], bucket[order]
                 heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-                pieces = [(int(bucket[a]), mark[a:z].tobytes(), name[a:z].tobytes(), place[a:z].tobytes()) for a, z in zip(heads, [*heads[1:], len(bucket)])]
+                pieces = [(int(bucket[a]), mark[a:z].tobytes(), name[a:z].tobytes()) for a, z in zip(heads, [*heads[1:], len(bucket)])]
                 if pieces:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*pieces), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "marks", "nodes", "places"])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*pieces), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "marks", "nodes"])
 
     def meet(batches):
         import pyarrow as pa
 
-        held, at = ([], [], []), None
+        held, at = ([], []), None
 
         def done():
             if at is None:
                 return
-            mark, node, place = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8", "<u4")))
+            mark, node = (np.frombuffer(b"".join(x), t) for x, t in zip(held, ("<u4", "<i8")))
             order = np.argsort(mark, kind="stable")
-            mark, node, place = mark[order], node[order], place[order]
+            mark, node = mark[order], node[order]
             heads = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
             several = np.minimum.reduceat(node, heads) != np.maximum.reduceat(node, heads)
             keep = np.repeat(several, np.diff(np.append(heads, len(mark))))
-            node, place = node[keep], place[keep]
+            node, mark = node[keep], mark[keep]
             order = np.argsort(node, kind="stable")
-            node, place = node[order], place[order]
+            node, mark = node[order], mark[order]
             if len(node):
                 heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                yield pa.record_batch([pa.array(node[heads]), pa.array([p.tobytes() for p in np.split(place, heads[1:])], pa.binary())], names=["node", "places"])
+                yield pa.record_batch([pa.array(node[heads]), pa.array([p.tobytes() for p in np.split(mark, heads[1:])], pa.binary())], names=["node", "marks"])
 
         for b in batches:
-            for bucket, *blobs in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for bucket, *blobs in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if bucket != at:
                     yield from done()
-                    held, at = ([], [], []), bucket
+                    held, at = ([], []), bucket
                 for x, y in zip(held, blobs):
                     x.append(y)
         yield from done()
 
-    dealt = rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary, places binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(meet), "node long, places binary")
+    dealt = rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(meet), "node long, marks binary")
 
 
-def candidates(rows: DataFrame, places: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """kind 0: windows around shared anchors by bucket (node, doc, starts, sizes, data); kind 1: each such text once.
+def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """kind 0: windows around shared anchors by bucket (node, twin, doc, starts, sizes, marks, data); kind 1: each text
+    that has any, once.
 
-    rows: node, doc, text. A task that meets a text again sends its document's number only.
+    rows: node, twin, doc, text; two hashes name a text. A task that meets a text again sends its document's number only.
     """
 
     def once(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            nodes, docs, texts = (b.column(k).to_pylist() for k in range(3))
+            nodes, twins, texts = (b.column(k).to_pylist() for k in (0, 1, 3))
             sent = []
-            for node, text in zip(nodes, texts):
-                sent.append(None if node in seen else text)
-                seen.add(node)
+            for name, text in zip(zip(nodes, twins), texts):
+                sent.append(None if name in seen else text)
+                seen.add(name)
             if len(seen) > 500_000:
                 seen = set()
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(sent, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["node", "doc", "text", "places"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(sent, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["node", "twin", "doc", "text", "marks"])
 
     def join(batches):
         import pyarrow as pa
 
         ready: list[tuple] = []
-        held, at, size = [[], None, None], None, 0
+        held, shared, at, size = {}, [], None, 0
 
         def flush():
-            text, first, count, place, hashes = anchors([t for _, _, t, _ in ready], length, gram)
-            bucket = bucket_of(hashes, buckets)
+            text, first, count, _, hashes = anchors([x[3] for x in ready], length, gram)
+            bucket, mark = bucket_of(hashes, buckets), mark_of(hashes)
             out = []
             bounds = np.searchsorted(text, np.arange(len(ready) + 1))
-            for k, (node, doc, data, shared) in enumerate(ready):
+            for k, (node, twin, doc, data, known) in enumerate(ready):
                 a, z = bounds[k], bounds[k + 1]
-                use = a + np.flatnonzero(np.isin(place[a:z], shared))
+                use = a + np.flatnonzero(np.isin(mark[a:z], known))
                 use = use[np.argsort(bucket[use], kind="stable")]
                 here = bucket[use]
                 heads = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else []
                 for x, y in zip(heads, [*heads[1:], len(here)]):
                     begin, n = first[use[x:y]], count[use[x:y]] + length - 1
-                    out.append((0, int(here[x]), node, doc, begin.astype("<u4").tobytes(), n.astype("<u4").tobytes(), b"".join(data[p : p + q] for p, q in zip(begin.tolist(), n.tolist()))))
-                out.append((1, None, node, doc, None, None, data))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "bucket", "node", "doc", "starts", "sizes", "data"])
+                    pieces = b"".join(data[p : p + q] for p, q in zip(begin.tolist(), n.tolist()))
+                    out.append((0, int(here[x]), node, twin, doc, begin.astype("<u4").tobytes(), n.astype("<u4").tobytes(), mark[use[x:y]].tobytes(), pieces))
+                if len(here):
+                    out.append((1, None, node, twin, doc, None, None, None, data))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "bucket", "node", "twin", "doc", "starts", "sizes", "marks", "data"])
 
         def add():
             nonlocal size
-            if at is not None and held[0] and held[2] is not None:
-                ready.append((at, held[1], held[2], np.frombuffer(b"".join(held[0]), "<u4")))
-                size += len(held[2])
+            for (node, twin), (doc, text) in held.items() if shared else ():
+                ready.append((node, twin, doc, text, np.frombuffer(b"".join(shared), "<u4")))
+                size += len(text)
 
         for b in batches:
-            for node, doc, text, found in zip(*(b.column(k).to_pylist() for k in range(4))):
+            for node, twin, doc, text, found in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if node != at:
                     add()
                     if size > 4_000_000:
-                        yield flush()
+                        yield from flush()
                         ready, size = [], 0
-                    held, at = [[], None, None], node
+                    held, shared, at = {}, [], node
                 if found is not None:
-                    held[0].append(found)
+                    shared.append(found)
                 else:
-                    held[1] = doc if held[1] is None else min(held[1], doc)
-                    held[2] = text if held[2] is None else held[2]
+                    low, kept = held.get((node, twin), (doc, text))
+                    held[node, twin] = (min(low, doc), kept if kept is not None else text)
         add()
         if ready:
-            yield flush()
+            yield from flush()
 
-    schema = "node long, doc long, text binary, places binary"
-    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(places.selectExpr("node", "cast(null as long) doc", "cast(null as binary) text", "places"))
-    return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(join), "kind int, bucket int, node long, doc long, starts binary, sizes binary, data binary")
+    schema = "node long, twin long, doc long, text binary, marks binary"
+    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(marks.selectExpr("node", "cast(null as long) twin", "cast(null as long) doc", "cast(null as binary) text", "marks"))
+    return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(join), "kind int, bucket int, node long, twin long, doc long, starts binary, sizes binary, marks binary, data binary")
 
 
 def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(node, spans binary: pairs of start and end): what windows of smaller documents cover, from kind 0 of candidates."""
+    """What windows of smaller documents cover, from kind 0 of candidates, packed: target (part of the texts), nodes,
+    twins, counts and spans (pairs of start and end), a row for each bucket and target and not for each text.
+
+    Equal strings of a bucket are one; one whose anchor no other string has can share windows with nothing else, so that
+    all of its windows are in the same documents. All others are sorted.
+    """
 
     def sort(batches):
         import pyarrow as pa
@@ -257,44 +268,55 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
             if at is None:
                 return
             index: dict[bytes, int] = {}
-            strings, lowest, owners = [], [], []
-            for node, doc, starts, sizes, data in held:
+            strings, lowest, anchor, owners = [], [], [], []
+            for number, (_, _, doc, starts, sizes, marks, data) in enumerate(held):
                 begin = 0
-                for start, n in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(sizes, "<u4").tolist()):
+                for start, n, mark in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(marks, "<u4").tolist()):
                     piece = data[begin : begin + n]
                     begin += n
                     k = index.setdefault(piece, len(strings))
                     if k == len(strings):
                         strings.append(piece)
                         lowest.append(doc)
+                        anchor.append(mark)
                     elif doc < lowest[k]:
                         lowest[k] = doc
-                    owners.append((node, doc, k, start))
-            least, first = equal_windows(strings, np.array(lowest, np.int64), length)
-            plain = [*zip(np.minimum.reduceat(least, first).tolist(), np.maximum.reduceat(least, first).tolist())]
+                    owners.append((number, doc, k, start))
+            lowest = np.array(lowest, np.int64)
+            _, group, size = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
+            several = np.flatnonzero(size[group] > 1)
+            low, high, first = lowest.copy(), lowest.copy(), np.full(len(strings), -1)
+            if len(several):
+                least, begin = equal_windows([strings[k] for k in several], lowest[several], length)
+                low[several], high[several], first[several] = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin), begin
+            low, high, first = low.tolist(), high.tolist(), first.tolist()
             spans: dict[int, list[int]] = {}
-            for node, doc, k, start in owners:
-                low, high = plain[k]
-                if high < doc:
-                    spans.setdefault(node, []).extend((start, start + len(strings[k])))
-                elif low < doc:
+            for number, doc, k, start in owners:
+                if high[k] < doc:
+                    spans.setdefault(number, []).extend((start, start + len(strings[k])))
+                elif low[k] < doc:
                     gone = np.concatenate([[False], least[first[k] : first[k] + len(strings[k]) - length + 1] < doc, [False]])
                     edge = np.flatnonzero(gone[1:] != gone[:-1])
                     for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        spans.setdefault(node, []).extend((start + a, start + z + length - 1))
-            if spans:
-                yield pa.record_batch([pa.array([*spans], pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in spans.values()], pa.binary())], names=["node", "spans"])
+                        spans.setdefault(number, []).extend((start + a, start + z + length - 1))
+            targets: dict[int, list[int]] = {}
+            for number in spans:
+                targets.setdefault(held[number][0] % buckets, []).append(number)
+            if targets:
+                blob = lambda values, kind: np.array(values, kind).tobytes()
+                out = [(t, blob([held[x][0] for x in some], "<i8"), blob([held[x][1] for x in some], "<i8"), blob([len(spans[x]) for x in some], "<u4"), blob([y for x in some for y in spans[x]], "<u4")) for t, some in targets.items()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["target", "nodes", "twins", "counts", "spans"])
 
         for b in batches:
-            for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(8))):
                 if bucket != at:
                     yield from done()
                     held, at = [], bucket
                 held.append(row)
         yield from done()
 
-    dealt = found.where("kind = 0").select("bucket", "node", "doc", "starts", "sizes", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(sort), "node long, spans binary")
+    dealt = found.where("kind = 0").select("bucket", "node", "twin", "doc", "starts", "sizes", "marks", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(sort), "target int, nodes binary, twins binary, counts binary, spans binary")
 
 
 def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -308,67 +330,69 @@ def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of about BUCKET bytes of what the files hold, at least as many as shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(max(partitions(df.sparkSession), -(-size // BUCKET) if size < 1 << 60 else 0), 60_000))
+
+
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (array<struct<start, end>>: maximal removed runs of bytes) and
     kept_sha256 (of the bytes that stay, in lowercase hex).
 
     A byte is removed if a string of `length` bytes that covers it also starts in a document with a smaller id; matches
-    never cross documents and all are judged on the input. Null text: empty. A null id: nothing is removed, and the row
+    never cross documents and all are judged on the input. Two 64-bit hashes name a text. Null text: empty. A null id: nothing is removed, and the row
     is no reason to remove anything. Equal ids: not smaller than one another, so neither removes from the other; equal
     texts are told apart by id. Other columns are ignored. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
-    buckets = min(partitions(spark), 1 << 15)
+    buckets = bucket_count(df)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
-    named = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).withColumn("node", F.xxhash64("text"))
-    places, first = materialize(shared_anchors(named.select("node", "text"), buckets, length, gram), "anchors")
-    found, second = materialize(candidates(named.select("node", "doc", "text"), places, buckets, length, gram), "windows")
+    names = {"node": F.xxhash64("text"), "twin": F.xxhash64(F.lit(1), F.octet_length("text"), "text")}
+    named = docs.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).withColumns(names)
+    marks, first = materialize(shared_anchors(named.select("node", "text"), buckets, length, gram), "anchors")
+    found, second = materialize(candidates(named.select("node", "twin", "doc", "text"), marks, buckets, length, gram), "windows")
     gone, third = materialize(removals(found, buckets, length), "spans")
 
     def apply(batches):
         import pyarrow as pa
 
-        held, at = [None, []], None
-        out: list[tuple] = []
-
-        def done():
-            if at is None or held[0] is None or not held[1]:
-                return
-            spans, data, begin = kept_spans(np.frombuffer(b"".join(held[1]), "<u4"), len(held[0])), hashlib.sha256(), 0
-            for a, z in spans:
-                data.update(memoryview(held[0])[begin:a])
-                begin = z
-            data.update(memoryview(held[0])[begin:])
-            out.append((at, [{"start": a, "end": z} for a, z in spans], data.hexdigest()))
-
-        def batch():
-            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["node", "spans", "kept"])
-
+        spans, at = {}, None
         for b in batches:
-            for node, spans, data in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if node != at:
-                    done()
-                    held, at = [None, []], node
-                if data is not None:
-                    held[0] = data
-                else:
-                    held[1].append(spans)
-            if len(out) > 5_000:
-                yield batch()
-                out = []
-        done()
-        if out:
-            yield batch()
-
-    both = gone.selectExpr("node", "spans", "cast(null as binary) data").unionByName(found.where("kind = 1").selectExpr("node", "cast(null as binary) spans", "data"))
-    marked = both.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(apply), "node long, spans array<struct<start:bigint,end:bigint>>, kept string")
+            out: list[tuple] = []
+            for target, node, twin, data, *packed in zip(*(b.column(k).to_pylist() for k in range(8))):
+                if target != at:
+                    spans, at = {}, target
+                if data is None:
+                    nodes, twins, counts, values = (np.frombuffer(x, t) for x, t in zip(packed, ("<i8", "<i8", "<u4", "<u4")))
+                    for name, part in zip(zip(nodes.tolist(), twins.tolist()), np.split(values, np.cumsum(counts)[:-1])):
+                        spans.setdefault(name, []).append(part)
+                    continue
+                mine = spans.pop((node, twin), None)
+                if mine is None:
+                    continue
+                kept, digest, begin = kept_spans(np.concatenate(mine), len(data)), hashlib.sha256(), 0
+                for a, z in kept:
+                    digest.update(memoryview(data)[begin:a])
+                    begin = z
+                digest.update(memoryview(data)[begin:])
+                out.append((node, twin, [{"start": a, "end": z} for a, z in kept], digest.hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["node", "twin", "spans", "kept"])
+
+    packed = ("nodes", "twins", "counts", "spans")
+    none = [F.lit(None).cast("binary").alias(x) for x in packed]
+    text_rows = found.where("kind = 1").select(F.pmod("node", F.lit(buckets)).cast("int").alias("target"), "node", "twin", "data", *none)
+    span_rows = gone.selectExpr("target", "cast(null as long) node", "cast(null as long) twin", "cast(null as binary) data", *packed)
+    both = span_rows.unionByName(text_rows).repartition(buckets, "target").sortWithinPartitions("target", F.col("node").isNotNull())
+    marked = both.mapInArrow(trimmed(apply), "node long, twin long, spans array<struct<start:bigint,end:bigint>>, kept string")
     marked, fourth = materialize(marked, "marked")
-    low = named.groupBy("node").agg(F.min("doc").alias("low"))
-    known = low.join(marked, "node", "left")
-    digest = docs.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), F.xxhash64("text").alias("node"))
-    joined = digest.join(known, "node", "left")
+    low = named.groupBy("node", "twin").agg(F.min("doc").alias("low"))
+    known = low.join(marked, ["node", "twin"], "left")
+    digest = docs.withColumns(names).select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), "node", "twin")
+    joined = digest.join(known, ["node", "twin"], "left")
     copy = F.col("doc").isNotNull() & (F.col("n_bytes") >= length) & (F.col("doc") > F.col("low"))
     own = F.col("doc").isNotNull() & (F.col("doc") == F.col("low")) & F.col("spans").isNotNull()
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -387,3 +411,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of all documents when 50-byte strings of smaller documents go."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+g AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE low < doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM g)) GROUP BY doc_id, k),
+p AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS runs FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, n, h, coalesce(gone, 0) AS gone, coalesce(runs, 0) AS runs, list_concat([0], coalesce(z, [])) AS b, list_concat(coalesce(a, []), [n]) AS e FROM d LEFT JOIN p USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, gone AS n_removed, runs AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(b) + 1), lambda x: substr(h, 2 * b[x] + 1, 2 * (e[x] - b[x]))), ''))) AS kept_sha256
+FROM k
+"""

@@ -5,7 +5,8 @@ queues of the buckets are ranges of one array, filled in order, so that taking t
 MEMORY bytes are files, mapped into memory, in Spark's own spill folders, and are gone with their last use. The scan
 takes as many rows at once as can't be followed by a suffix that they themselves induce, so each step is a vector
 operation. With every suffix goes the length of its common prefix with the one before it, cut at `cap` and at separators:
-an induced pair has one more than the least value between its two inducers.
+an induced pair has one more than the least value between its two inducers. The recursion carries these lengths too, so
+that two leftmost S-type suffixes are compared only beyond the names they share.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def sorted_suffixes(text: np.ndarray, cap: int = 0) -> tuple[np.ndarray, np.ndar
     ends = np.cumsum(np.bincount(text, minlength=sigma))
     begins = np.concatenate([[0], ends[:-1]])
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = lms
+    order, carried = lms, None
     if len(lms) > 1:
         rows = _induced(text, small, begins, ends, lms[np.argsort(text[lms], kind="stable")])[0][::-1]
         star = np.zeros(n, bool)
@@ -162,11 +163,27 @@ def sorted_suffixes(text: np.ndarray, cap: int = 0) -> tuple[np.ndarray, np.ndar
         order = np.concatenate([r[star[r]] for r in (np.asarray(rows[a : a + (1 << 22)]) for a in range(0, n, 1 << 22))])
         names, count = _named(text, small, order, lms)
         if count < len(lms):
-            order = lms[sorted_suffixes(names)[0][::-1]]
-    return _induced(text, small, begins, ends, order, cap)
+            # names are at least two symbols apart; 1 is added as 0 would part them
+            below, shared = sorted_suffixes(names + 1, min(cap, NONE - 1) // 2 + 1 if cap else 0)
+            order = lms[below[::-1]]
+            if cap:
+                carried = _carried(text, lms, np.asarray(below)[::-1], np.asarray(shared)[::-1], cap)
+    return _induced(text, small, begins, ends, order, cap, carried)
+
+
+def _carried(text: np.ndarray, lms: np.ndarray, rank: np.ndarray, shared: np.ndarray, cap: int) -> np.ndarray:
+    """Symbols that each leftmost S-type suffix, in ascending order, shares with the one before at least: those of the
+    names that the recursion found in common, cut at separators and at cap."""
+    out = np.zeros(len(rank), np.uint8)
+    common = np.minimum(shared[:-1].astype(np.int64), np.minimum(len(lms) - 1 - rank[1:], len(lms) - 1 - rank[:-1]))
+    width = lms[rank[1:] + common] - lms[rank[1:]]
+    zeros = np.append(np.flatnonzero(text == 0), len(text))
+    room_left = zeros[np.searchsorted(zeros, lms[rank[1:]])] - lms[rank[1:]]
+    out[1:] = np.minimum(np.minimum(width, room_left), cap)
+    return out
 
 
-def _induced(text, small, begins, ends, order, cap: int = 0):
+def _induced(text, small, begins, ends, order, cap: int = 0, carried=None):
     """Place leftmost S-type suffixes in this order, induce all others; rows come out descending."""
     n = len(text)
     rows = room(n, np.int64, -1)
@@ -178,13 +195,15 @@ def _induced(text, small, begins, ends, order, cap: int = 0):
     rows[place] = order
     seams = None
     if cap:
-        value = np.zeros(len(order), np.uint8)
+        value = np.zeros(len(order), np.uint8) if carried is None else carried
         left = np.flatnonzero((head[1:] == head[:-1]) & (head[1:] > 0)) + 1
-        for k in range(cap):
-            i, j = order[left] + k, order[left - 1] + k
+        left = left[value[left] < cap]
+        while len(left):
+            i, j = order[left] + value[left], order[left - 1] + value[left]
             equal = (text[np.minimum(i, n - 1)] == text[np.minimum(j, n - 1)]) & (text[np.minimum(i, n - 1)] > 0) & (i < n) & (j < n)
             left = left[equal]
             value[left] += 1
+            left = left[value[left] < cap]
         common[place] = value
         seams = [(int(place[f]), int(head[f])) for f in first]
     free = begins.copy()

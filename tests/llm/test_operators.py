@@ -218,10 +218,24 @@ def test_repeated_spans_documents(docs, texts):
     assert spans_digest(repeated_spans(docs.where(F.length("text") < 6000))) == without_repeats(list(some.items()), 50)
 
 
+def test_sorted_suffixes_on_disk(monkeypatch):
+    """With room for a few bytes only, every queue is a mapped file; the order is the same."""
+    from stylometra.llm import suffixes
+
+    rng = np.random.default_rng(3)
+    text = np.concatenate([np.append(rng.integers(1, 4, 3000), 0) for _ in range(20)])
+    rows, common = sorted_suffixes(text, 50)
+    monkeypatch.setattr(suffixes, "MEMORY", 1000)
+    mapped, shared = sorted_suffixes(text, 50)
+    assert isinstance(mapped.base, np.memmap) or isinstance(mapped, np.memmap)
+    assert (mapped == rows).all() and (shared == common).all()
+
+
 def test_sorted_suffixes():
     rng = np.random.default_rng(1)
-    for _ in range(400):
-        parts = [np.append(rng.integers(1, rng.integers(2, 5), rng.integers(1, 15)), 0) for _ in range(rng.integers(1, 6))]
+    for k in range(400):
+        long = 200 if k % 20 == 0 else 15
+        parts = [np.append(rng.integers(1, rng.integers(2, 5), rng.integers(1, long)), 0) for _ in range(rng.integers(1, 6))]
         text, cap = np.concatenate(parts), int(rng.integers(2, 12))
         t = text.tolist()
         order = sorted(range(len(t)), key=lambda i: t[i:] + [-1], reverse=True)
