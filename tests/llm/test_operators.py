@@ -18,7 +18,7 @@ from stylometra.llm.encoding import CachedEncoder, vocabulary
 from stylometra.llm.jaccard import jaccard_join, meeting_chance, shortest_prefix
 from stylometra.llm.language import learn, predict, sample
 from stylometra.llm.packing import Limits, pack
-from stylometra.llm.preferences import OP1_SQL, assemble, format_preferences, op1_preference_format
+from stylometra.llm.preferences import OP1_SQL, format_preferences, op1_preference_format
 from stylometra.llm.quantization import embedding_links
 from stylometra.llm.shared import words
 from stylometra.llm.suffixdedup import repeated_spans
@@ -90,9 +90,10 @@ def turns(spark, rows):
 
 def test_preferences(spark):
     common = [("system", "s"), ("user", "hi")]
-    rows = [(1, side, k, r, t, "x", 0) for side, tail in (("chosen", [("assistant", "yes"), ("user", "more")]), ("rejected", [("assistant", "no")])) for k, (r, t) in enumerate(common + tail)]
+    # the rejected side's turns are numbered from 5: places count
+    rows = [(1, side, k + first, r, t, "x", 0) for side, first, tail in (("chosen", 0, [("assistant", "yes"), ("user", "more")]), ("rejected", 5, [("assistant", "no")])) for k, (r, t) in enumerate(common + tail)]
     rows += [(2, side, 0, "user", "same", "x", 0) for side in ("chosen", "rejected")] + [(3, "chosen", 0, "assistant", None, "x", 0), (None, "chosen", 0, "user", "?", "x", 0), (4, "other", 0, "user", "?", "x", 0), (5, "rejected", None, None, "r", "x", 0)]
-    got = {r["pair_id"]: r for r in assemble(format_preferences(turns(spark, rows))).collect()}
+    got = {r["pair_id"]: r for r in format_preferences(turns(spark, rows)).collect()}
     assert sorted(got) == [1, 2, 3, 5]
     one = got[1]
     assert one["prompt"] == "<|system|>\ns<|end|>\n<|user|>\nhi<|end|>\n"
@@ -103,13 +104,31 @@ def test_preferences(spark):
     assert format_preferences(turns(spark, [])).count() == 0
 
 
+def test_long_preferences_go_on_in_further_rows(spark):
+    """A pair beyond the limit gives the same strings and spans, in parts."""
+    rng = np.random.default_rng(3)
+    rows = [(p, side, k, ["user", "assistant"][k % 2], f"t{k}" if k < 13 * p or side == "chosen" else f"u{k}", "x", 0) for p in (1, 2, 3) for side, n in (("chosen", 40), ("rejected", 33)) for k in rng.permutation(n).tolist()]
+    whole = {r["pair_id"]: r for r in format_preferences(turns(spark, rows)).collect()}
+    parts = defaultdict(list)
+    for r in format_preferences(turns(spark, rows), most=10).collect():
+        parts[r["pair_id"]].append(r)
+    for p, some in parts.items():
+        some.sort(key=lambda r: r["part_no"])
+        assert [r["part_no"] for r in some] == list(range(8))
+        for name in ("prompt", "chosen", "rejected"):
+            assert "".join(r[name] for r in some) == whole[p][name]
+        for name in ("chosen", "rejected"):
+            cut = lambda r: [r[name][s["start"] : s["start"] + s["length"]] for s in r[f"{name}_loss"]]  # noqa: B023, E731
+            assert [x for r in some for x in cut(r)] == cut(whole[p])
+
+
 def test_preferences_sql(spark, sf):
     got = op1_preference_format(spark, sf).toPandas()
     c = duckdb.connect()
     c.execute(f"create view conversations as select * from read_parquet('{sf}/conversations.parquet')")
     want = c.execute(OP1_SQL).fetchdf()[list(got.columns)]
     assert len(got) and sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values))
-    assert {"prompt", "chosen", "rejected"} == set(got["part"])
+    assert got["prompt"].str.len().min() > 0 and got["chosen_loss"].str.len().max() > 0
 
 
 # 2
