@@ -30,8 +30,8 @@ class Packer:
     An example is a range [start, end) of its document; tokens at loss_from and later bear loss. Examples of equal
     demand (tokens, loss-bearing tokens) form one class. The class that fits and has the largest dot product of its
     demand with the sequence's free capacity, both relative to the limits, goes next; ties: the class seen first.
-    If none fits whole, the longest is cut to what fits. Only the last sequence of all stays short;
-    it is split at powers of two, which need no padding.
+    If none fits whole, the longest is cut to what fits. Short stay the last sequence of all and those that another
+    limit closes; these are split at powers of two, which need no padding.
     """
 
     def __init__(self, limits: Limits):
@@ -157,11 +157,11 @@ def pack(df: DataFrame, limits: Limits, path: str, id_col: str = "doc_id", text_
         base, count = TaskContext.get().partitionId() << 32, 0
         packer, docs, names, from_, held, key = Packer(limits), {}, {}, {}, 0, 0
 
-        def rows(sequences, last=False):
+        def rows(sequences):
             nonlocal count
             out = []
             for sequence in sequences:
-                for short in powers(sequence, limits.tokens) if last else (sequence,):
+                for short in powers(sequence, limits.tokens):
                     for doc, start, end, offset in short:
                         out.append((names[doc], start, end - start, len(docs[doc]) // 4, base + count, offset, max(0, end - max(start, from_[doc])), docs[doc][4 * start : 4 * end]))
                     count += 1
@@ -189,7 +189,7 @@ def pack(df: DataFrame, limits: Limits, path: str, id_col: str = "doc_id", text_
                     packer.reopen(from_)
                     docs, names, from_ = ({k: x[k] for k in open_} for x in (docs, names, from_))
                     held = sum(len(x) // 4 for x in docs.values())
-        yield from rows(packer.fill(True), True)
+        yield from rows(packer.fill(True))
 
     begin = F.lit(1).cast("long") if loss_from is None else loss_from.cast("long")
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), begin.alias("l")).mapInArrow(trimmed(run), SCHEMA)
