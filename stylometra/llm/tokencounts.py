@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .shared import grouped, prepare, table, trimmed
 
 SPACE = "▁"
 BYTE_PENALTY = 10.0
+#: characters of a pre-token that get nodes; beyond them only the scores within the longest piece's reach are kept
+DEEPEST = 4096
 
 
 def pieces(path: str) -> dict[str, float]:
@@ -27,13 +30,14 @@ def pieces(path: str) -> dict[str, float]:
 class Trie:
     """Nodes of all prefixes seen; node k holds the best score and token count of its prefix.
 
-    The best segmentation has the highest sum of scores, among equals the fewest tokens. A character that no piece
+    A pre-token takes at most DEEPEST nodes. The best segmentation has the highest sum of scores, among equals the fewest tokens. A character that no piece
     covers costs one token per UTF-8 byte. Emptied when full, which changes no result.
     """
 
     def __init__(self, vocab: dict[str, float], limit: int = 700_000):
         self.vocab, self.limit = vocab, limit
         self.tails = {x[k:] for x in vocab for k in range(len(x))}
+        self.reach = max(map(len, vocab), default=1)
         self.byte = min(vocab.values(), default=0.0) - BYTE_PENALTY
         self.clear()
 
@@ -46,6 +50,8 @@ class Trie:
             self.clear()
         children, score, tokens, vocab, tails = self.children, self.score, self.tokens, self.vocab, self.tails
         path, node = [0], 0
+        if len(word) > DEEPEST:
+            return self._beyond(word)
         for d, c in enumerate(word, 1):
             step = node * 0x110000 + ord(c)
             child = children.get(step)
@@ -71,6 +77,26 @@ class Trie:
         return tokens[node], score[node]
 
 
+    def _beyond(self, word: str) -> tuple[int, float]:
+        """The same for a word too long for the trie: its first part through the trie, the rest with a window of scores."""
+        ends = [self.insert(word[:d]) for d in range(DEEPEST - self.reach + 1, DEEPEST + 1)]
+        window = deque(((score, tokens) for tokens, score in ends), maxlen=self.reach)
+        for d in range(DEEPEST + 1, len(word) + 1):
+            n = len(word[d - 1].encode("utf-8", "surrogatepass"))
+            best, count = window[-1][0] + n * self.byte, window[-1][1] + n
+            for begin in range(d - 1, d - 1 - len(window), -1):
+                piece = word[begin:d]
+                if piece not in self.tails:
+                    break
+                own = self.vocab.get(piece)
+                if own is not None:
+                    score, tokens = window[begin - d]
+                    if score + own > best or (score + own == best and tokens + 1 < count):
+                        best, count = score + own, tokens + 1
+            window.append((best, count))
+        return window[-1][1], window[-1][0]
+
+
 def pretokens(text: str) -> list[str]:
     """Pieces between single blanks, each with the mark of a blank before it."""
     if "  " in text or SPACE in text:
