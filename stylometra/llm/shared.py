@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. A temporary one where it is unset and all
+    runs on this machine; an error on a cluster, where executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stylometra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -167,6 +167,17 @@ def test_packing(edge, docs, texts, limits):
         assert all(n & (n - 1) == 0 for n in total.values())
 
 
+def test_packing_short_texts_need_no_padding(spark):
+    """Sequences that the limit on segments closes are split at powers of two in every pool."""
+    df = spark.createDataFrame([(k, "a b") for k in range(4000)], "doc_id long, text string").coalesce(1)
+    rows = pack(df, Limits(), vocabulary("byte_bpe_50k.json"), pool_tokens=3000).collect()
+    total, seen = Counter(), Counter()
+    for r in rows:
+        total[r["sequence_id"]] += r["length"]
+        seen[r["doc_id"]] += r["length"]
+    assert all(n & (n - 1) == 0 for n in total.values()) and len(seen) == 4000 and len(set(seen.values())) == 1
+
+
 def test_packing_empty(empty):
     assert pack(empty, Limits(), vocabulary("byte_bpe_50k.json")).count() == 0
 
@@ -506,7 +517,7 @@ def unigram(word, vocab, byte):
     for d in range(1, len(word) + 1):
         n = len(word[d - 1].encode())
         ways = [(best[d - 1][0] + n * byte, -(best[d - 1][1] + n))]
-        ways += [(best[b][0] + vocab[word[b:d]], -(best[b][1] + 1)) for b in range(d) if word[b:d] in vocab]
+        ways += [(best[b][0] + vocab[word[b:d]], -(best[b][1] + 1)) for b in range(max(0, d - 64), d) if word[b:d] in vocab]
         score, count = max(ways)
         best.append((score, -count))
     return best[-1][1], best[-1][0]
@@ -522,6 +533,8 @@ def test_token_counts(edge, empty, docs, texts):
         want = unigram(w, vocab, whole.byte)
         assert trie.insert(w) == whole.insert(w) and whole.insert(w)[0] == want[0] and abs(whole.insert(w)[1] - want[1]) < 1e-9
     assert len(whole.score) < sum(map(len, some))
+    long = "".join(np.random.default_rng(2).choice([*"abcdeé.  ".replace(" ", "")], 9000))
+    assert whole.insert(long)[0] == unigram(long, vocab, whole.byte)[0] and len(whole.score) < 9000 + sum(map(len, some))
     got = count_tokens(edge, path).collect()
     assert len(got) == len(TEXTS)
     for r, (i, t) in zip(sorted(got, key=lambda r: (r["doc_id"] or -1, r["n_tokens"])), sorted(TEXTS, key=lambda x: (x[0] or -1))):
