@@ -14,7 +14,7 @@ from stylometra.llm.encoding import vocabulary
 from stylometra.llm.jaccard import jaccard_join
 from stylometra.llm.language import UNKNOWN, learn, predict, sample
 from stylometra.llm.packing import Limits, pack
-from stylometra.llm.pseudonyms import KEY, pseudonymize
+from stylometra.llm.pseudonyms import pseudonymize, secret
 from stylometra.llm.shared import materialize, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms; n_chars counts the new text."""
-    return pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pseudonymize(docs, secret(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
