@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .shared import HashedWords, SIMILARITY, grouped, prepare, rolling, table, trimmed
 
 PAD = np.uint64(0)
-#: samples of one LSH key; recall to be reached for an item's worst allowed distance; keys at most
-SAMPLES, RECALL, KEYS = 3, 0.995, 64
-#: items that one pass over the documents compares
-ITEMS = 20_000
+#: samples of one LSH key; recall to be reached for an item's worst allowed distance; how many keys are tried for it
+SAMPLES, RECALL, KEYS = 3, 0.995, (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+#: items and their words that one pass over the documents compares; values of an array of windows
+ITEMS, WORDS, CELLS = 20_000, 4_000_000, 4_000_000
 
 
 class Walk:
@@ -58,14 +58,14 @@ def edit(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, free: bool)
 
 @dataclass
 class Items:
-    """Benchmark items: ids, word hashes (padded), lengths, allowed distances, LSH keys, and seeds by their length."""
+    """Benchmark items of like length: ids, word hashes (padded), lengths, allowed distances, the tables of the LSH
+    (hash of a key, item; sorted), and seeds by their length. No tables: every window near a seed is verified."""
 
     ids: list[int]
     rows: np.ndarray
     lengths: np.ndarray
     most: np.ndarray
-    places: np.ndarray
-    keys: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @property
@@ -73,8 +73,15 @@ class Items:
         return 3 * self.rows.shape[1]
 
 
+def sampled(key: int, rows: np.ndarray, lengths: np.ndarray, steps: int, samples: int = SAMPLES) -> np.ndarray:
+    """A hash of the symbols of the rows' embeddings at the places that this key samples, and of the lengths."""
+    at = np.floor(np.random.default_rng([3, key]).random(samples)[None, :] * (3 * lengths)[:, None]).astype(np.int64)
+    found = np.take_along_axis(Walk(steps, key)(rows, lengths, steps), at, axis=1)
+    return rolling(np.concatenate([found, lengths[:, None].astype(np.uint64)], axis=1).T.copy(), samples + 1)[0]
+
+
 def keys_needed(rows: np.ndarray, lengths: np.ndarray, most: np.ndarray, samples: int, recall: float, trials: int = 400) -> int:
-    """LSH keys that reach the recall, as measured on random edits of the items at the largest distance allowed."""
+    """LSH keys that reach the recall, as measured on random edits of the items at the largest distance allowed; 0 if none do."""
     rng = np.random.default_rng(5)
     pick = rng.integers(0, len(rows), trials)
     pairs = []
@@ -96,17 +103,23 @@ def keys_needed(rows: np.ndarray, lengths: np.ndarray, most: np.ndarray, samples
         inside = np.arange(walk.odd.size) < 3 * lengths[pick][:, None]
         same += ((equal & inside).sum(axis=1) / (3 * lengths[pick])) ** samples / 8
     missed = lambda keys: float(np.mean((1 - np.minimum(same, 1)) ** keys))
-    return next((k for k in (4, 8, 12, 16, 24, 32, 48, KEYS) if missed(k) <= 1 - recall), KEYS)
+    return next((k for k in KEYS if missed(k) <= 1 - recall), 0)
 
 
-def prepare_items(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, samples: int = SAMPLES, recall: float = RECALL) -> Items | None:
-    """None if no item has a word. An item of n words allows floor((1 - similarity) n) edits of words.
+def prepare_items(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, samples: int = SAMPLES, recall: float = RECALL) -> list[Items]:
+    """Items with words, in classes in which the longest has at most twice the words of the shortest.
 
-    Cut into one part more than these edits, an item leaves at least one part whole in any match: these are its seeds.
+    An item of n words allows floor((1 - similarity) n) edits of words. Cut into one part more than these edits, it
+    leaves at least one part whole in any match: these parts are its seeds.
     """
     found = [(i, w) for i, w in zip([i for i, _ in items], HashedWords().many([t for _, t in items])) if len(w)]
-    if not found:
-        return None
+    classes: dict[int, list] = {}
+    for x in found:
+        classes.setdefault(len(x[1]).bit_length(), []).append(x)
+    return [_class_of(some, similarity, samples, recall) for _, some in sorted(classes.items())]
+
+
+def _class_of(found: list[tuple[int, np.ndarray]], similarity: float, samples: int, recall: float) -> Items:
     lengths = np.array([len(w) for _, w in found])
     rows = np.zeros((len(found), int(lengths.max())), np.uint64)
     for r, (_, w) in zip(rows, found):
@@ -121,16 +134,16 @@ def prepare_items(items: list[tuple[int, str | None]], similarity: float = SIMIL
     for q, s in seeds.items():
         s.sort()
         arrays[q] = (np.array([x[0] for x in s], np.uint64), np.array([x[1] for x in s]), np.array([x[2] for x in s]))
-    n_keys = keys_needed(rows, lengths, most, samples, recall)
-    places = np.floor(np.random.default_rng(3).random((n_keys, 1, samples)) * (3 * lengths)[None, :, None]).astype(np.int64)
-    out = Items([i for i, _ in found], rows, lengths, most, places, np.empty((n_keys, len(found), samples), np.uint64), arrays)
-    for key in range(n_keys):
-        out.keys[key] = np.take_along_axis(Walk(out.steps, key)(rows, lengths, out.steps), places[key], axis=1)
+    out = Items([i for i, _ in found], rows, lengths, most, [], arrays)
+    for key in range(keys_needed(rows, lengths, most, samples, recall)):
+        hashes = np.concatenate([sampled(key, rows[a : a + 4096], lengths[a : a + 4096], out.steps, samples) for a in range(0, len(rows), 4096)])
+        order = np.argsort(hashes, kind="stable")
+        out.tables.append((hashes[order], order))
     return out
 
 
-def candidates(items: Items, hashes: np.ndarray) -> np.ndarray:
-    """(item, start) of the windows that a seed of the item puts near an allowed match, distinct; a row each."""
+def near_seeds(items: Items, hashes: np.ndarray) -> np.ndarray:
+    """(item, start) of the windows in which a seed says that a match may be, distinct; a row each."""
     found = []
     for q, (seed, item, offset) in items.seeds.items():
         here = rolling(hashes, q)
@@ -153,6 +166,30 @@ def candidates(items: Items, hashes: np.ndarray) -> np.ndarray:
     return np.unique(out, axis=0)
 
 
+def retrieved(items: Items, hashes: list[np.ndarray], each: list[np.ndarray]) -> np.ndarray:
+    """(document, item, start) that share a key of the LSH, in order. Text without any seed can hold no match; of all
+    other text each window of an item's length is embedded and looked up, whichever item the seed was of."""
+    doc = np.repeat(np.arange(len(hashes)), [len(c) for c in each])
+    item, start = np.concatenate(each).T
+    if not items.tables:
+        return np.unique(np.stack([doc, item, start], axis=1), axis=0)
+    place = np.unique(np.stack([doc, start, items.lengths[item]], axis=1), axis=0)
+    out, rows = [np.empty((0, 3), np.int64)], max(1, CELLS // items.steps)
+    for a in range(0, len(place), rows):
+        d, s, n = place[a : a + rows].T
+        text = windows(hashes, d, s, n, items.rows.shape[1])
+        for key, (table, which) in enumerate(items.tables):
+            mine = sampled(key, text, n, items.steps)
+            left = np.searchsorted(table, mine, "left")
+            count = np.searchsorted(table, mine, "right") - left
+            hit = np.flatnonzero(count)
+            count = count[hit]
+            at = np.repeat(left[hit], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            row = np.repeat(hit, count)
+            out.append(np.unique(np.stack([d[row], which[at], s[row]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
 def windows(hashes: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Rows of `width` words from start, PAD beyond length or the text's end."""
     flat = np.concatenate([*hashes, np.zeros(1, np.uint64)])
@@ -162,61 +199,79 @@ def windows(hashes: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length
     return np.where(there, flat[np.where(there, at, len(flat) - 1)], PAD)
 
 
-def matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, distance, first word, words) of the best match of each document and item within the distance."""
-    each = [candidates(items, h) for h in hashes]
-    doc = np.repeat(np.arange(len(hashes)), [len(c) for c in each])
+def matches(classes: list[Items], hashes: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+    """(document, item's id, item's words, distance, first word, words) of the best match of each document and item
+    within the distance."""
+    out = []
+    for items in classes:
+        out += _matches(items, hashes)
+    return out
+
+
+def _matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+    each = [near_seeds(items, h) for h in hashes]
+    if not any(map(len, each)):
+        return []
+    doc, item, start = retrieved(items, hashes, each).T
     if not len(doc):
         return []
-    item, start = np.concatenate(each).T
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for a in range(0, len(doc), 16_384):
-        d, k, s = doc[a : a + 16_384], item[a : a + 16_384], start[a : a + 16_384]
-        rows = windows(hashes, d, s, items.lengths[k], items.rows.shape[1])
-        hit = np.zeros(len(d), bool)
-        for key in range(len(items.keys)):
-            todo = np.flatnonzero(~hit)
-            if not len(todo):
-                break
-            embedded = Walk(items.steps, key)(rows[todo], items.lengths[k[todo]], items.steps)
-            hit[todo] = (np.take_along_axis(embedded, items.places[key][k[todo]], axis=1) == items.keys[key][k[todo]]).all(axis=1)
-        d, k, s = d[hit], k[hit], s[hit]
-        if not len(d):
-            continue
-        most = items.most[k]
-        begin = np.maximum(0, s - most)
-        width = int((items.lengths[k] + 3 * most).max())
-        text = windows(hashes, d, begin, items.lengths[k] + 3 * most, width)
-        distance = edit(items.rows[k], items.lengths[k], text, True)
-        room = np.minimum(items.lengths[k] + 3 * most, np.array([len(h) for h in hashes])[d] - begin)
-        distance[np.arange(width + 1) > room[:, None]] = 1 << 20
+    # windows of one item that overlap are one region, verified at once
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.lengths[item[1:]])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    d, k, most, n = doc[first], item[first], items.most[item[first]], items.lengths[item[first]]
+    begin = np.maximum(0, start[first] - most)
+    reach = np.minimum(start[last] + n + 2 * most, np.array([len(h) for h in hashes])[d]) - begin
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    order = np.argsort(reach, kind="stable")
+    while len(order):
+        some = order[: max(1, CELLS // (8 * int(reach[order[min(len(order), 4096) - 1]])))][:4096]
+        order = order[len(some) :]
+        text = windows(hashes, d[some], begin[some], reach[some], int(reach[some].max()))
+        distance = edit(items.rows[k[some]], n[some], text, True)
+        distance[np.arange(distance.shape[1]) > reach[some][:, None]] = 1 << 20
         end = distance.argmin(axis=1)
-        least = distance[np.arange(len(d)), end]
-        for r in np.flatnonzero(least <= most):
-            place = (int(d[r]), int(k[r]))
-            best[place] = min(best.get(place, (1 << 30, 0, 0)), (int(least[r]), int(begin[r] + end[r]), int(items.lengths[k[r]] + items.most[k[r]])))
-    if not best:
-        return []
-    d, k = (np.array(x) for x in zip(*best))
-    least, end, reach = (np.array(x) for x in zip(*best.values()))
-    reach = np.minimum(reach, end)
-    text = windows(hashes, d, end - reach, reach, int(reach.max()))
-    back, turned = np.zeros_like(text), np.zeros_like(items.rows[k])
-    for r in range(len(d)):
-        back[r, : reach[r]] = text[r, : reach[r]][::-1]
-        turned[r, : items.lengths[k[r]]] = items.rows[k[r], : items.lengths[k[r]]][::-1]
-    distance = edit(turned, items.lengths[k], back, False)
-    distance[np.arange(distance.shape[1]) > reach[:, None]] = 1 << 20
-    n = distance.argmin(axis=1)
-    return [(int(a), int(b), int(x), int(e - m), int(m)) for a, b, x, e, m in zip(d, k, least, end, n)]
+        for r, e, x in zip(some, end.tolist(), distance[np.arange(len(some)), end].tolist()):
+            if x <= most[r]:
+                place = (int(d[r]), int(k[r]))
+                best[place] = min(best.get(place, (1 << 30, 0)), (x, int(begin[r]) + e))
+    out = []
+    found = sorted(best)
+    for a in range(0, len(found), 1024):
+        d, k = np.array(found[a : a + 1024]).T
+        least, end = np.array([best[x] for x in found[a : a + 1024]]).T
+        reach = np.minimum(items.lengths[k] + items.most[k], end)
+        text = windows(hashes, d, end - reach, reach, max(1, int(reach.max())))
+        back, turned = np.zeros_like(text), np.zeros_like(items.rows[k])
+        for r in range(len(d)):
+            back[r, : reach[r]] = text[r, : reach[r]][::-1]
+            turned[r, : items.lengths[k[r]]] = items.rows[k[r], : items.lengths[k[r]]][::-1]
+        distance = edit(turned, items.lengths[k], back, False)
+        distance[np.arange(distance.shape[1]) > reach[:, None]] = 1 << 20
+        n = distance.argmin(axis=1)
+        out += [(int(x), items.ids[y], int(items.lengths[y]), int(v), int(e - m), int(m)) for x, y, v, e, m in zip(d, k, least, end, n)]
+    return out
+
+
+def blocks(benchmark: DataFrame, item_col: str, item_text_col: str):
+    """Lists of (item, text) of at most ITEMS items and about WORDS words, so that what is broadcast is bounded."""
+    block, size = [], 0
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
+        block.append((r["i"], r["t"]))
+        size += len(r["t"] or "") // 6
+        if len(block) == ITEMS or size >= WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, similarity, start_word, n_words: the best match of each document and benchmark item.
 
     A match is a run of words whose edit distance (in words, without regard to case and punctuation) to the whole item
-    is at most (1 - similarity) of the item's words. Items go to the tasks in blocks of at most ITEMS, one pass over
-    the documents for each block, so what is broadcast is bounded; documents aren't shuffled.
+    is at most (1 - similarity) of the item's words. Items go to the tasks in blocks of at most ITEMS items
+    and WORDS words, one pass over the documents for each block; documents aren't shuffled.
 
     Null or empty texts match nothing, and so do items without words. Repeated documents and items each give rows of
     their own; null ids stay null. Empty tables: no rows. Other columns are ignored.
@@ -233,27 +288,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
             hashed = HashedWords()
             for b in batches:
-                if items.value is None:
-                    continue
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 out = []
                 for group in grouped([*zip(ids, texts)], [len(t or "") for t in texts], 16_000_000):
                     words = [h for some in grouped([t for _, t in group], [len(t or "") for _, t in group], 4_000_000) for h in hashed.many(some)]
-                    for d, k, distance, first, n in matches(items.value, words):
-                        out.append((group[d][0], items.value.ids[k], distance, 1 - distance / int(items.value.lengths[k]), first, n))
+                    for d, item, size, distance, first, n in matches(items.value, words):
+                        out.append((group[d][0], item, distance, 1 - distance / size, first, n))
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in schema.split(", ")])
 
         return rows.mapInArrow(trimmed(run), schema)
 
-    out, block = None, []
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == ITEMS:
-            out, block = (part(block) if out is None else out.unionByName(part(block))), []
-    if block or out is None:
+    out = None
+    for block in blocks(benchmark, item_col, item_text_col):
         out = part(block) if out is None else out.unionByName(part(block))
-    return out
+    return part([]) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -278,12 +327,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         return frame.mapInArrow(trimmed(run), frame.schema)
 
-    out, block = docs, []
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).orderBy("i", "t").toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == ITEMS:
-            out, block = without(block, out), []
-    return without(block, out) if block else out
+    out = docs
+    for block in blocks(benchmark, item_col, item_text_col):
+        out = without(block, out)
+    return out
 
 
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

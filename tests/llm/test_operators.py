@@ -360,6 +360,23 @@ def test_contaminated(spark, sf, docs, texts, edge, empty):
     assert left.columns == edge.columns and left.count() == len(TEXTS) - 3
 
 
+def test_contaminated_long_items(spark):
+    """Items of very different lengths, one of 1500 words, edited up to what is allowed."""
+    rng = np.random.default_rng(18)
+    items = {1: [f"a{k}" for k in range(1500)], 2: [f"b{k}" for k in range(12)], 3: ["c"], 4: [f"d{k % 7}" for k in range(210)]}
+    rows = []
+    for k, w in items.items():
+        for n in (0, int(0.2 * len(w)) if k != 4 else 20):
+            edited = list(w)
+            for p in rng.permutation(len(w))[:n].tolist():
+                edited[p] = "zz"
+            rows.append((len(rows), "before it " + " ".join(edited) + " after it", k, n))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string, k int, n int"), bench).collect()}
+    want = {(i, k): edit_match(w, words(t)) for i, t, _, _ in rows for k, w in items.items() if k != 1 or t.startswith("before it a0") or len(t) > 8000}
+    assert got == {x: d for x, d in want.items() if d <= int(0.2 * len(items[x[1]]) + 1e-9)} and {(r[0], r[2]) for r in rows} <= set(got)
+
+
 # 7
 def feistel(symbols, radices, kind, key):
     half = len(symbols) // 2
