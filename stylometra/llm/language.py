@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .shared import grouped, prepare, table, trimmed
 
-#: words in one chain; hash buckets of features; features of a word; documents and words of a language to learn from, at most
-CHAIN, BUCKETS, FEATURES, PER_LANGUAGE, WORDS = 64, 1 << 16, 28, 240, 24_000
+#: words of a block of a chain; hash buckets of features
+BLOCK, BUCKETS = 64, 1 << 16
+#: the sample to learn from: languages (those with most documents), documents and words of each, characters of a document
+LANGUAGES, PER_LANGUAGE, WORDS, CHARACTERS = 100, 240, 24_000, 50_000
 UNKNOWN = "und"
 
 
@@ -21,21 +23,25 @@ def letters(piece: str) -> str:
 
 
 def features(word: str) -> list[int]:
-    """Hashed affixes of 1 to 4 letters, n-grams of 2 and 3 letters with borders, and the word itself (lexicon)."""
+    """Hashed affixes of 1 to 4 letters, all n-grams of 2 and 3 letters with borders, and the word itself (lexicon)."""
     from zlib import crc32
 
     n, w = len(word), f"^{word}$"
     found = [f"w{word}", f"n{min(n, 12)}"]
     found += [f"p{word[:k]}" for k in range(1, min(4, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]
-    grams = [w[i : i + k] for k in (3, 2) for i in range(len(w) - k + 1)]
-    step = max(1, -(-len(grams) // (FEATURES - len(found))))
-    found += grams[::step]
-    return [1 + crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for x in found[:FEATURES]]
+    found += [w[i : i + k] for k in (3, 2) for i in range(len(w) - k + 1)]
+    return [crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in found]
+
+
+def flat_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words, one after the other, and how many each has (at least two)."""
+    each = [features(w) for w in words]
+    return np.fromiter((x for f in each for x in f), np.int64), np.fromiter(map(len, each), np.int64, len(each))
 
 
 @dataclass
 class Model:
-    """labels; weights of features (row 0 stays 0: padding), of a chain's first label and of transitions."""
+    """labels; weights of features, of a chain's first label and of transitions."""
 
     labels: list[str]
     weights: np.ndarray
@@ -43,43 +49,83 @@ class Model:
     move: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        at = np.zeros((len(words), FEATURES), dtype=np.int64)
-        for k, word in enumerate(words):
-            f = features(word)
-            at[k, : len(f)] = f
-        return self.weights[at].sum(axis=1, dtype=np.float64)
-
-    def marginals(self, emissions: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over chains [n, time, label]; there: which words exist (a prefix of each chain).
-
-        Marginals, log normalisers, and for learning the scaled forward and backward messages.
+        """The sum of the weights of each word's features."""
+        if not words:
+            return np.zeros((0, self.weights.shape[1]))
+        flat, sizes = flat_features(words)
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+
+    def marginals(self, emissions: np.ndarray, there: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward-backward over blocks of chains [n, time, label]; there: which words exist (a prefix of each block);
+        first: which blocks begin a chain (default: all), those after it go on with it.
+
+        Marginals, log normalisers (of chains of one block), and for learning the scaled forward and backward messages.
+        The messages that enter blocks come from the products of the blocks' transfer matrices, so a chain of any length
+        is one chain, while the steps of all blocks are taken together.
         """
         n, steps, k = emissions.shape
         top = emissions.max(axis=2, keepdims=True)
         e = np.exp(emissions - top)
-        move = np.exp(self.move)
+        begin, move = np.exp(self.begin - self.begin.max()), np.exp(self.move)
+        entering, leaving = np.ones((n, k)), np.ones((n, k))
+        first = np.ones(n, bool) if first is None else first
+        if not first.all():
+            self._messages(e, there, first, begin, move, entering, leaving)
         forward = np.empty((steps, n, k))
         scale = np.ones((steps, n))
-        x = np.exp(self.begin) * e[:, 0]
+        x = np.where(first[:, None], begin, entering @ move) * e[:, 0]
         for t in range(steps):
             if t:
                 x = np.where(there[:, t, None], (forward[t - 1] @ move) * e[:, t], forward[t - 1])
             scale[t] = np.where(there[:, t], x.sum(axis=1), 1.0)
             forward[t] = x / scale[t][:, None]
-        backward = np.ones((steps, n, k))
+        backward = np.empty((steps, n, k))
+        backward[-1] = leaving
         for t in range(steps - 2, -1, -1):
             y = ((backward[t + 1] * e[:, t + 1]) @ move.T) / scale[t + 1][:, None]
-            backward[t] = np.where(there[:, t + 1, None], y, 1.0)
-        logs = np.log(scale).sum(axis=0) + (top[..., 0] * there).sum(axis=1)
-        return forward * backward, logs, forward, (backward * e.transpose(1, 0, 2)) / scale[:, :, None]
-
-
-def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each document's words in chains of CHAIN words: row and column of every word."""
-    per = -(-lengths // CHAIN)
-    first = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64) if len(per) else per
-    inside = np.arange(int(lengths.sum())) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64), lengths) if len(lengths) else np.empty(0, np.int64)
-    return np.repeat(first, lengths) + inside // CHAIN, inside % CHAIN
+            backward[t] = np.where(there[:, t + 1, None], y, leaving)
+        logs = np.log(scale).sum(axis=0) + (top[..., 0] * there).sum(axis=1) + self.begin.max()
+        both = forward * backward
+        if not first.all():
+            both /= both.sum(axis=2, keepdims=True)
+        return both, logs, forward, (backward * e.transpose(1, 0, 2)) / scale[:, :, None]
+
+    @staticmethod
+    def _messages(e, there, first, begin, move, entering, leaving) -> None:
+        """What enters each block from the left and from the right, up to a factor."""
+        n, steps, k = e.shape
+        through = np.where(first[:, None, None], np.eye(k), move) * e[:, 0][:, None, :]
+        for t in range(1, steps):
+            live = np.flatnonzero(there[:, t])
+            if not len(live):
+                break
+            through[live] = (through[live] @ move) * e[live, t][:, None, :]
+            if t % 8 == 0:
+                through[live] /= through[live].max(axis=(1, 2), keepdims=True)
+        through /= through.max(axis=(1, 2), keepdims=True)
+        begins = np.flatnonzero(first)
+        place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+        order = np.argsort(place, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(place[order])) + 1)
+        out = np.empty((n, k))
+        for rows in levels:
+            if place[rows[0]]:
+                entering[rows] = out[rows - 1]
+            x = np.einsum("nk,nkj->nj", entering[rows] if place[rows[0]] else np.tile(begin, (len(rows), 1)), through[rows])
+            out[rows] = x / x.sum(axis=1, keepdims=True)
+        for rows in levels[:0:-1]:
+            x = np.einsum("nkj,nj->nk", through[rows], leaving[rows])
+            leaving[rows - 1] = x / x.sum(axis=1, keepdims=True)
+
+
+def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block and the place in it of every word of documents of these lengths, and which blocks begin a document."""
+    per = -(-lengths // BLOCK)
+    base = np.cumsum(per) - per
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = np.zeros(int(per.sum()), bool)
+    first[base[per > 0]] = True
+    return np.repeat(base, lengths) + inside // BLOCK, inside % BLOCK, first
 
 
 def learn(texts: list[tuple[str, str]], epochs: int = 8, rate: float = 0.15, ridge: float = 1e-6, seed: int = 7) -> Model:
@@ -93,7 +139,7 @@ def learn(texts: list[tuple[str, str]], epochs: int = 8, rate: float = 0.15, rid
         room[lang] -= len(words)
         at = 0
         while at < len(words):
-            n = int(rng.integers(1, 9)) if rng.random() < 0.4 else int(rng.integers(8, CHAIN + 1))
+            n = int(rng.integers(1, 9)) if rng.random() < 0.4 else int(rng.integers(8, BLOCK + 1))
             runs.append((labels.index(lang), words[at : at + n]))
             at += n
     k = len(labels)
@@ -103,29 +149,30 @@ def learn(texts: list[tuple[str, str]], epochs: int = 8, rate: float = 0.15, rid
     runs = [runs[i] for i in rng.permutation(len(runs))]
     flat = [(w, lang) for lang, words in runs for w in words]
     known = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in flat))}
-    at = np.zeros((len(known), FEATURES), dtype=np.int64)
-    for w, i in known.items():
-        f = features(w)
-        at[i, : len(f)] = f
-    pad = -len(flat) % CHAIN
-    word = np.array([known[w] for w, _ in flat] + [0] * pad).reshape(-1, CHAIN)
-    gold = np.array([y for _, y in flat] + [0] * pad).reshape(-1, CHAIN)
-    there = (np.arange(len(flat) + pad) < len(flat)).reshape(-1, CHAIN)
+    every, sizes = flat_features([*known])
+    starts = np.cumsum(sizes) - sizes
+    pad = -len(flat) % BLOCK
+    word = np.array([known[w] for w, _ in flat] + [0] * pad).reshape(-1, BLOCK)
+    gold = np.array([y for _, y in flat] + [0] * pad).reshape(-1, BLOCK)
+    there = (np.arange(len(flat) + pad) < len(flat)).reshape(-1, BLOCK)
     squares = [np.full_like(x, 1e-8) for x in (model.weights, model.begin, model.move)]
     for _ in range(epochs):
         order = rng.permutation(len(word))
         for rows in np.array_split(order, max(1, len(order) // 64)):
-            f, y, here = at[word[rows]], gold[rows], there[rows]
-            marginal, _, forward, after = model.marginals(model.weights[f].sum(axis=2), here)
+            y, here, which = gold[rows], there[rows], word[rows].ravel()
+            count = sizes[which]
+            ends = np.cumsum(count)
+            f = every[np.arange(int(ends[-1])) + np.repeat(starts[which] - (ends - count), count)]
+            summed = np.add.reduceat(model.weights[f], ends - count, axis=0).reshape(*y.shape, k)
+            marginal, _, forward, after = model.marginals(summed, here)
             error = marginal.transpose(1, 0, 2).copy()
-            error[np.arange(len(rows))[:, None], np.arange(CHAIN), y] -= 1
+            error[np.arange(len(rows))[:, None], np.arange(BLOCK), y] -= 1
             error *= here[..., None]
-            grad = np.stack([np.bincount(f.ravel(), np.repeat(error[..., j].ravel(), FEATURES), BUCKETS) for j in range(k)], axis=1)
-            grad[0] = 0
+            grad = np.stack([np.bincount(f, np.repeat(error[..., j].ravel(), count), BUCKETS) for j in range(k)], axis=1)
             pair = np.exp(model.move) * np.einsum("tni,tnj,nt->ij", forward[:-1], after[1:], here[:, 1:].astype(float))
             np.add.at(pair, (y[:, :-1][here[:, 1:]], y[:, 1:][here[:, 1:]]), -1)
-            first = error[:, 0].sum(axis=0)
-            for value, g, square in zip((model.weights, model.begin, model.move), (grad, first, pair), squares):
+            start = error[:, 0].sum(axis=0)
+            for value, g, square in zip((model.weights, model.begin, model.move), (grad, start, pair), squares):
                 g = g / len(rows) + ridge * value
                 square += g * g
                 value -= rate * g / np.sqrt(square)
@@ -136,20 +183,23 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
     """At most per_language labelled texts of each language whose ids' crc32 is no multiple of 5.
 
     A language's ids are hashed into per_language classes and the smallest hash of each is taken, with partial
-    aggregates only; then the texts of those ids are read. At most WORDS words of a language are used.
+    aggregates only; then the texts of those ids are read. Only the model is learned from these, at most LANGUAGES
+    languages (those with most documents), and of each at most WORDS words in the first CHARACTERS of its texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(f"t is not null and l is not null and pmod(crc32(cast(cast(i as string) as binary)), 5) != 0").withColumn("h", F.xxhash64("i"))  # noqa: F541
+    names = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    rows = rows.where(F.col("l").isin(names))
     chosen = rows.groupBy("l", F.pmod("h", F.lit(per_language)).alias("c")).agg(F.min("h").alias("h")).select("l", "h")
-    found = rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h").collect()
+    found = rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.left("t", F.lit(CHARACTERS))).alias("t")).orderBy("l", "h").collect()
     return [(r["t"], r["l"]) for r in found]
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred and score for each row, and the words of each language (marginal sums) as `words` map; df's other columns stay.
 
-    Words are what white space separates, without what isn't a letter; every word of the text is labelled. The
-    document's language has the largest sum of marginals (ties: the first in order); score is its share.
+    Words are what white space separates, without what isn't a letter; every word of the text is labelled, and
+    a text is one chain. The document's language has the largest sum of marginals (ties: the first in order); score is its share.
     Null text, no letters or nothing learned: `und`, score 0, no words. Repeated rows get equal answers. Columns of df
     named lang_pred, score or words are replaced.
     """
@@ -187,11 +237,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             flat = np.fromiter((i for x in at for i in x), dtype=np.int64, count=int(lengths.sum()))
             sums = np.zeros((len(texts), len(m.labels)))
             if len(flat) and len(m.labels):
-                row, column = chains(lengths)
-                e = np.zeros((int(row[-1]) + 1, CHAIN, len(m.labels)))
+                row, column, first = chains(lengths)
+                e = np.zeros((int(row[-1]) + 1, BLOCK, len(m.labels)))
                 there = np.zeros(e.shape[:2], dtype=bool)
                 e[row, column], there[row, column] = scores[flat], True
-                marginal = m.marginals(e, there)[0][column, row]
+                marginal = m.marginals(e, there, first)[0][column, row]
                 doc = np.repeat(np.arange(len(texts)), lengths)
                 for j in range(len(m.labels)):
                     sums[:, j] = np.bincount(doc, marginal[:, j], len(texts))
@@ -205,7 +255,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             out = ([], [], [])
-            for group in grouped(texts, [len(t or "") for t in texts], 2_000_000):
+            for group in grouped(texts, [len(t or "") for t in texts], max(50_000, 8_000_000 // max(4, len(m.labels)))):
                 for x, y in zip(out, batch(group)):
                     x += y
             yield pa.record_batch([*b.columns[:-1], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.map_(pa.string(), pa.float64()))], names=[*(f"c{k}" for k in range(b.num_columns - 1)), "lang_pred", "score", "words"])
@@ -219,5 +269,5 @@ def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = learn(sample(docs))
-    held = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")

@@ -315,6 +315,13 @@ def test_forward_backward():
     want = [[sum(w for y, w in weight.items() if y[t] == k) / total for k in range(3)] for t in range(5)]
     got, logs, *_ = m.marginals(e, np.ones((1, 5), bool))
     assert np.allclose(got[:, 0], want) and np.isclose(logs[0], np.log(total))
+    # a chain cut into blocks of two words, beside another chain: the same marginals
+    blocks = np.zeros((4, 2, 3))
+    blocks[0], blocks[1], blocks[2, 0], blocks[3] = e[0, :2], e[0, 2:4], e[0, 4], e[0, :2]
+    there = np.array([[True, True], [True, True], [True, False], [True, True]])
+    cut = m.marginals(blocks, there, np.array([True, False, False, True]))[0]
+    alone = m.marginals(e[:, :2], np.ones((1, 2), bool))[0]
+    assert np.allclose([cut[0, 0], cut[1, 0], cut[0, 1], cut[1, 1], cut[0, 2]], want) and np.allclose(cut[:, 3], alone[:, 0])
 
 
 # 6
