@@ -15,7 +15,7 @@ PAD = np.uint64(0)
 #: samples of one LSH key; recall to be reached for an item's worst allowed distance; how many keys are tried for it
 SAMPLES, RECALL, KEYS = 3, 0.995, (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: items and their words that one pass over the documents compares; values of an array of windows
-ITEMS, WORDS, CELLS = 20_000, 4_000_000, 4_000_000
+ITEMS, WORDS, CELLS = 20_000, 4_000_000, 1_000_000
 
 
 class Walk:

@@ -25,7 +25,7 @@ JOINED, STRINGS = 512, 40
 class CachedEncoder:
     """Text to ids as little-endian unsigned 32-bit bytes; special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

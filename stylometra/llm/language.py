@@ -94,14 +94,21 @@ class Model:
     def _messages(e, there, first, begin, move, entering, leaving) -> None:
         """What enters each block from the left and from the right, up to a factor."""
         n, steps, k = e.shape
-        through = np.where(first[:, None, None], np.eye(k), move) * e[:, 0][:, None, :]
+        # full blocks first, so that those that go on at a step are a view
+        order = np.argsort(-there.sum(axis=1), kind="stable")
+        live = there.sum(axis=0)
+        sorted_e = np.ascontiguousarray(e[order].transpose(1, 0, 2)[:, :, None, :], dtype=np.float32)
+        step = move.astype(np.float32)
+        product = (np.where(first[order, None, None], np.eye(k), move) * sorted_e[0]).astype(np.float32)
         for t in range(1, steps):
-            live = np.flatnonzero(there[:, t])
-            if not len(live):
+            m = int(live[t])
+            if not m:
                 break
-            through[live] = (through[live] @ move) * e[live, t][:, None, :]
+            product[:m] = (product[:m].reshape(m * k, k) @ step).reshape(m, k, k) * sorted_e[t, :m]
             if t % 8 == 0:
-                through[live] /= through[live].max(axis=(1, 2), keepdims=True)
+                product[:m] /= product[:m].max(axis=(1, 2), keepdims=True)
+        through = np.empty((n, k, k))
+        through[order] = product
         through /= through.max(axis=(1, 2), keepdims=True)
         begins = np.flatnonzero(first)
         place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
