@@ -27,50 +27,85 @@ def sentence_spread(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("sizes").cast("long").alias("n_sentences"), mean.alias("mean_words"), cv.alias("cv"))
 
 
-def diversity(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Moving-average type-token ratio; null below `window` words.
+def moving_ratio(words: Column, window: int = 50) -> Column:
+    """Moving-average type-token ratio of an array of words; null below `window` words.
 
     A word counts in a window unless the same word stands before it there, so each word adds to as many windows as lie
-    between its last occurrence and itself: one pass with a window function per word, no window is built.
+    between its last occurrence and itself; only the window before a word is looked at, and no window is built.
     """
-    tokens = docs.select("doc_id", F.posexplode(F.transform(T.words(F.col("text")), F.lower)).alias("pos", "word"))
-    last = F.lag("pos").over(W.partitionBy("doc_id", "word").orderBy("pos"))
-    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = F.greatest(F.coalesce(F.col("last") + 1, F.lit(0)), F.col("pos") - (window - 1), F.lit(0))
-    end = F.least(F.col("pos"), F.col("n") - window)
-    per = tokens.withColumn("last", last).join(sizes, "doc_id").where(F.col("n") >= window)
-    summed = per.groupBy("doc_id", "n").agg(F.sum(F.greatest(F.lit(0), end - first + 1)).alias("types"))
-    return summed.select("doc_id", F.col("n").cast("long").alias("n_words"), T.rounded(F.col("types") / (F.lit(window) * (F.col("n") - window + 1)), 6).alias("mattr"))
+    n = F.size(words)
+
+    def added(x: Column, i: Column) -> Column:
+        back = F.least(i, F.lit(window - 1))
+        found = F.array_position(F.reverse(F.slice(words, i - back + 1, back)), x)
+        first = F.greatest(F.when(found > 0, i - found + 1).otherwise(0), i - (window - 1), F.lit(0))
+        return F.greatest(F.lit(0), F.least(i, n - window) - first + 1).cast("long")
+
+    types = F.aggregate(F.transform(words, added), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(n >= window, T.rounded(types / (window * (n - window + 1)), 6))
+
+
+def diversity(docs: DataFrame, window: int = 50) -> DataFrame:
+    """doc_id, n_words and moving-average type-token ratio of every row; the ratio is null below `window` words."""
+    rows = docs.select("doc_id", F.transform(T.words(F.col("text")), F.lower).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), moving_ratio(F.col("w"), window).alias("mattr"))
+
 
+def runs(keys: Column, least: int) -> Column:
+    """Runs of at least `least` equal keys in an array of strings, in the row: array of key, first_pos, n. Null ends a run."""
+    begin = F.struct(
+        F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("n"),
+        F.array().cast("array<struct<key:string,first_pos:bigint,n:bigint>>").alias("out"),
+    )
+    closed = lambda s: F.when(s["n"] >= least, F.concat(s["out"], F.array(F.struct(s["key"].alias("key"), s["first"].alias("first_pos"), s["n"].alias("n"))))).otherwise(s["out"])
 
-def runs(flagged: DataFrame, keys: list[str], position: str, flag: str, least: int) -> DataFrame:
-    """Islands of at least `least` consecutive rows with the flag: keys, first position, length."""
-    within = W.partitionBy(*keys).orderBy(position)
-    island = F.col(position) - F.row_number().over(within)
-    kept = flagged.where(flag).withColumn("island", island)
-    return kept.groupBy(*keys, "island").agg(F.min(position).cast("long").alias("first_pos"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(s["key"] == x["k"], F.lit(False))
+        fresh = F.when(x["k"].isNotNull(), 1).otherwise(0).cast("long")
+        return F.struct(
+            x["k"].alias("key"), F.when(same, s["first"]).otherwise(x["i"]).alias("first"),
+            F.when(same, s["n"] + 1).otherwise(fresh).alias("n"), F.when(same, s["out"]).otherwise(closed(s)).alias("out"),
+        )
+
+    numbered = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.cast("long").alias("i")))
+    return F.aggregate(numbered, begin, step, closed)
+
+
+def run_rows(docs: DataFrame, keys: Column, least: int, key: str | None = None) -> DataFrame:
+    """A row per run: doc_id, first_pos, n, and the key under a name if one is given. No shuffle; repeated ids stay apart."""
+    each = docs.select("doc_id", F.explode(runs(keys, least)).alias("r"))
+    return each.select("doc_id", *([F.col("r.key").alias(key)] if key else []), "r.first_pos", "r.n")
+
+
+def where(flag: Column) -> Column:
+    """A run's key for what has a flag."""
+    return F.when(flag, F.lit("x"))
 
 
 def staccato(docs: DataFrame, least: int = 3, most_words: int = 4) -> DataFrame:
     """Runs of short sentences that neither ask nor announce."""
-    rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    flagged = rows.withColumn("short", (F.size(T.words(F.col("s"))) <= most_words) & ~F.col("s").rlike("[?:]$"))
-    return runs(flagged, ["doc_id"], "pos", "short", least)
+    return run_rows(docs, F.transform(T.sentences(F.col("text")), lambda s: where((F.size(T.words(s)) <= most_words) & ~s.rlike("[?:]$"))), least)
 
 
 def same_opener(docs: DataFrame, least: int = 3) -> DataFrame:
     """Runs of sentences that begin with the same word of two letters or more."""
-    rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).withColumn("opener", F.lower(F.get(T.words(F.col("s")), F.lit(0))))
-    flagged = rows.withColumn("ok", F.length("opener") > 1)
-    return runs(flagged, ["doc_id", "opener"], "pos", "ok", least)
+    opener = lambda s: F.lower(F.get(T.words(s), F.lit(0)))
+    return run_rows(docs, F.transform(T.sentences(F.col("text")), lambda s: F.when(F.length(opener(s)) > 1, opener(s))), least, "opener")
+
+
+def score(raw: Column, n_words: Column) -> Column:
+    """0 to 100 from the weights of distinct findings and the words of the text."""
+    # What the scale begins with, and the words it begins at.
+    scale = 8 * F.greatest(F.lit(1.0), F.log2(F.greatest(n_words, F.lit(1)) / 50))
+    return F.floor(100 * (1 - F.exp(-raw / scale)) + 0.5).cast("long")
 
 
-def scored(findings: DataFrame, sizes: DataFrame) -> DataFrame:
-    """0 to 100 from the weights of distinct findings (doc_id, kind, text, weight) and the document's words."""
-    raw = findings.groupBy("doc_id", "kind", F.lower("text").alias("t")).agg(F.max("weight").alias("weight")).groupBy("doc_id").agg(F.sum("weight").alias("raw"))
-    scale = 8 * F.greatest(F.lit(1.0), F.log2(F.col("n_words") / 50))
-    score = F.floor(100 * (1 - F.exp(-F.col("raw") / scale)) + 0.5).cast("long")
-    return sizes.join(raw, "doc_id").select("doc_id", score.alias("score"), T.label(score).alias("label"))
+def scored(docs: DataFrame, found: Column) -> DataFrame:
+    """doc_id, score and label of every row; found: array of kind, text, weight. A text without findings has score 0."""
+    rows = docs.select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.array_distinct(F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["text"]).alias("text"), x["weight"].alias("weight")))).alias("f"))
+    raw = F.aggregate("f", F.lit(0.0), lambda s, x: s + x["weight"])
+    value = rows.select("doc_id", score(raw, F.col("n_words")).alias("score"))
+    return value.select("doc_id", "score", T.label(F.col("score")).alias("label"))
 
 
 def longest_of_equal(findings: DataFrame) -> DataFrame:

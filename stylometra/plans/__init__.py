@@ -1,0 +1,7 @@
+"""The registered queries of the library itself, and their DuckDB SQL."""
+
+from . import evaluations, queries, rules
+
+_PLANS = (queries, rules, evaluations)
+CORE_QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+CORE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -127,8 +127,10 @@ def issues_distinct(spark, sf_dir):
 
 
 def doc_score(spark, sf_dir):
-    sizes = _documents(spark, sf_dir).select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
-    return style.scored(_findings(spark, sf_dir), sizes)
+    long = F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 5)
+    kind = lambda x: F.when(F.lower(x).rlike("ing$|ung$"), "process").when(F.lower(x).rlike("tion$|ción$"), "abstract")
+    found = F.transform(long, lambda x: F.struct(kind(x).alias("kind"), x.alias("text"), F.when(kind(x) == "process", 1.5).otherwise(0.5).alias("weight")))
+    return style.scored(_documents(spark, sf_dir), F.filter(found, lambda x: x["kind"].isNotNull()))
 
 
 def fail_above(spark, sf_dir):
@@ -174,9 +176,8 @@ QUERIES = {f.__name__: f for f in (sentence_cv, word_tokens, lang_filter, system
 
 _SIZES = f"list_transform({SENTENCES}, lambda q: len({WORDS.replace('text,', 'q,')}))"
 _ROWS = f"SELECT doc_id, s, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)"
-_SCORE = rf"""SELECT doc_id, CAST(floor(100 * (1 - exp(-raw / (8 * greatest(1.0, log2(n_words / 50))))) + 0.5) AS BIGINT) AS score FROM (
-  SELECT doc_id, sum(weight) AS raw FROM (SELECT doc_id, kind, lower(text) AS t, max(CAST(weight AS DOUBLE)) AS weight FROM ({FINDINGS_SQL}) GROUP BY ALL) GROUP BY doc_id)
-  JOIN (SELECT doc_id, len({WORDS}) AS n_words FROM documents) USING (doc_id)"""
+_SCORE = rf"""SELECT doc_id, CAST(floor(100 * (1 - exp(-coalesce(raw, 0) / (8 * greatest(1.0, log2(greatest(n_words, 1) / 50))))) + 0.5) AS BIGINT) AS score FROM (SELECT doc_id, len({WORDS}) AS n_words FROM documents)
+  LEFT JOIN (SELECT doc_id, sum(weight) AS raw FROM (SELECT doc_id, kind, lower(text) AS t, max(CAST(weight AS DOUBLE)) AS weight FROM ({FINDINGS_SQL}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"""
 _ANSWERS = "SELECT doc_id, run, CAST(floor(n_chars / (run + 1)) AS BIGINT) % 4 AS level FROM documents, unnest([1, 2, 3]) AS r(run)"
 _P = HALF_UP("1 / (1 + exp(-z))", 6)
 ORACLE_SQL = {
@@ -196,8 +197,9 @@ ORACLE_SQL = {
     "plural_forms": "SELECT doc_id, CASE WHEN n_chars % 100 BETWEEN 11 AND 14 THEN 'знаков' WHEN n_chars % 10 = 1 THEN 'знак' WHEN n_chars % 10 BETWEEN 2 AND 4 THEN 'знака' ELSE 'знаков' END AS form FROM documents",
     "sentences": f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, s[pos + 1] AS sentence, CAST(len({WORDS.replace('text,', 's[pos + 1],')}) AS BIGINT) AS n_words FROM ({_ROWS})",
     "token_windows": f"SELECT doc_id, CAST(start AS BIGINT) AS start, array_to_string(w[start + 1 : start + 100], ' ') AS tokens FROM (SELECT doc_id, w, unnest(range(0, len(w), 100)) AS start FROM (SELECT doc_id, {WORDS} AS w FROM documents))",
-    "mattr": f"""SELECT doc_id, CAST(n AS BIGINT) AS n_words, {HALF_UP("sum(u) / (50 * (n - 49))", 6)} AS mattr FROM (
-      SELECT doc_id, len(w) AS n, len(list_distinct(w[k : k + 49])) AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM (SELECT doc_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM documents))) GROUP BY doc_id, n""",
+    "mattr": f"""WITH w AS (SELECT doc_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM documents)
+      SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, {HALF_UP("u / (50 * (len(w) - 49))", 6)} AS mattr FROM w LEFT JOIN (
+      SELECT doc_id, sum(len(list_distinct(w[k : k + 49]))) AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w) GROUP BY doc_id) USING (doc_id)""",
     "staccato": f"""SELECT doc_id, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (
       SELECT doc_id, pos, s[pos + 1] AS q FROM ({_ROWS})) WHERE len({WORDS.replace('text,', 'q,')}) <= 4 AND NOT regexp_matches(q, '[?:]$')) GROUP BY doc_id, g HAVING count(*) >= 2""",
     "same_opener": f"""SELECT doc_id, opener, CAST(min(pos) AS BIGINT) AS first_pos, count(*) AS n FROM (SELECT doc_id, opener, pos, pos - row_number() OVER (PARTITION BY doc_id, opener ORDER BY pos) AS g FROM (

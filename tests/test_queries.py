@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stylometra.functions import text as T
-from stylometra.plans import queries, rules
+from stylometra.plans import CORE_QUERIES as QUERIES
+from stylometra.plans import CORE_SQL as ORACLE_SQL
 from stylometra.streaming import scan
 
 TABLES = "documents labels events".split()
-QUERIES, ORACLE_SQL = queries.QUERIES | rules.QUERIES, queries.ORACLE_SQL | rules.ORACLE_SQL
 
 
 def rows(names, values):
