@@ -154,14 +154,14 @@ MARKED_SQL = f"SELECT doc_id, [{', '.join(map(_lit, PASSAGES))}][doc_id % {len(P
 EDITED_SQL = f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN regexp_replace(text, {_re(URL)}, '', 'g') WHEN 1 THEN replace(text, '1', '7') WHEN 2 THEN replace(text, '# ', '## ') ELSE text END AS text FROM ({MARKED_SQL})"
 
 
-def _findings_sql(source: str) -> str:
-    cut = " UNION ALL ".join(f"SELECT doc_id, text AS t, {_lit(r.name)} AS rule, {_lit(r.kind)} AS kind, {_lit(r.severity)} AS severity, string_split_regex(text, {_re(r.pattern)}) AS gaps, regexp_extract_all(text, {_re(r.pattern)}) AS hits FROM m" for r in RULES)
+def findings_sql(source: str, some: list[Rule] = RULES) -> str:
+    cut = " UNION ALL ".join(f"SELECT doc_id, text AS t, {_lit(r.name)} AS rule, {_lit(r.kind)} AS kind, {_lit(r.severity)} AS severity, string_split_regex(text, {_re(r.pattern)}) AS gaps, regexp_extract_all(text, {_re(r.pattern)}) AS hits FROM m" for r in some)
     return f"""WITH m AS ({source}), c AS ({cut}), e AS (SELECT doc_id, t, rule, kind, severity, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM c),
       p AS (SELECT doc_id, t, rule, kind, severity, hits[i] AS hit, CAST(length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS BIGINT) AS start FROM e)
       SELECT doc_id, rule, kind, severity, start, CAST(length(regexp_replace(left(t, start), '[^\\n]', '', 'g')) + 1 AS BIGINT) AS line, CAST(length(regexp_extract(left(t, start), '[^\\n]*$')) + 1 AS BIGINT) AS col, left(hit, 160) AS text FROM p"""
 
 
-_FOUND, _AFTER = _findings_sql(MARKED_SQL), _findings_sql(EDITED_SQL)
+_FOUND, _AFTER = findings_sql(MARKED_SQL), findings_sql(EDITED_SQL)
 _IN = lambda names: ", ".join(map(_lit, names))
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(s, {_lit(p)}) THEN {_lit(k)}" for k, p in rules.LINES.items()) + " ELSE 'prose' END"
 
