@@ -140,9 +140,9 @@ def jaccard_judge(similarity: float):
     return judge
 
 
-def forest_links(nodes: DataFrame, payload: DataFrame, similarity: float, recall: float = RECALL) -> tuple[DataFrame, DataFrame, float, int]:
+def forest_links(nodes: DataFrame, payload: DataFrame, similarity: float, recall: float = RECALL) -> tuple[DataFrame, list[str], float, int]:
     """Links of nodes (node, copies, paths), found in the forest: per node and root as judged_links has them, the
-    components of what meets, the recall measured, and the level at which the search ended.
+    scratch tables to discard later, the recall measured, and the level at which the search ended.
 
     All tries begin with whole paths: what shares one is compared exactly. Then matched prefixes are shortened by a level,
     and the components that grew are compared anew, until the recall is reached: the links seen so far, each divided by
@@ -169,7 +169,7 @@ def forest_links(nodes: DataFrame, payload: DataFrame, similarity: float, recall
         share = min(1.0, (seen["pairs"] or 0) / seen["weight"]) if seen["weight"] else 1.0
         if share >= recall and (seen["pairs"] or meeting_chance(level)(similarity) >= recall):
             break
-    return found, member, share, level
+    return found, reached, share, level
 
 
 def jaccard_join(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +192,7 @@ def jaccard_join(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     wanted = nodes.join(company, "node", "left_semi")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
     payload, fourth = materialize(sets(texts, "text").join(wanted.select("hi", "lo", "node"), ["hi", "lo"]).dropDuplicates(["node"]).select("node", "data"), "sets")
-    found, _, _, _ = forest_links(wanted, payload, similarity)
+    found, scratch, _, _ = forest_links(wanted, payload, similarity)
     roots = components(found.select("node", "root"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "hi", "lo", F.col("id").alias("set_id"), "copies").join(links, "node", "left").join(roots, "node", "left")
@@ -203,7 +203,7 @@ def jaccard_join(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     classed = there.join(per, ["hi", "lo"]).select(F.col("id").alias("doc_id"), "class_id", F.col("n_links").cast("long").alias("n_links"), "set_id")
     alone = signed.where("id is null or hi is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_id"))
     out, _ = materialize(classed.unionByName(alone), "classes")
-    discard(spark, first, second, third, fourth, fifth)
+    discard(spark, first, second, third, fourth, fifth, *scratch)
     return out
 
 

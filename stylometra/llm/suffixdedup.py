@@ -22,7 +22,7 @@ from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
 #: bytes of the input files for one bucket
-BUCKET = 64 << 20
+BUCKET = 20 << 20
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -251,6 +251,43 @@ def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gra
     return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(join), "kind int, bucket int, node long, twin long, doc long, starts binary, sizes binary, marks binary, data binary")
 
 
+def bucket_spans(held: list, length: int) -> dict[int, list[int]]:
+    """What smaller documents' windows cover of each row of a bucket (node, twin, doc, starts, sizes, marks, data)."""
+    index: dict[bytes, int] = {}
+    strings, lowest, anchor, owners = [], [], [], []
+    for number, (_, _, doc, starts, sizes, marks, data) in enumerate(held):
+        begin = 0
+        for start, n, mark in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(marks, "<u4").tolist()):
+            piece = data[begin : begin + n]
+            begin += n
+            k = index.setdefault(piece, len(strings))
+            if k == len(strings):
+                strings.append(piece)
+                lowest.append(doc)
+                anchor.append(mark)
+            elif doc < lowest[k]:
+                lowest[k] = doc
+            owners.append((number, doc, k, start))
+    lowest = np.array(lowest, np.int64)
+    _, group, size = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(size[group] > 1)
+    low, high, first = lowest.copy(), lowest.copy(), np.full(len(strings), -1)
+    if len(several):
+        least, begin = equal_windows([strings[k] for k in several], lowest[several], length)
+        low[several], high[several], first[several] = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin), begin
+    low, high, first = low.tolist(), high.tolist(), first.tolist()
+    spans: dict[int, list[int]] = {}
+    for number, doc, k, start in owners:
+        if high[k] < doc:
+            spans.setdefault(number, []).extend((start, start + len(strings[k])))
+        elif low[k] < doc:
+            gone = np.concatenate([[False], least[first[k] : first[k] + len(strings[k]) - length + 1] < doc, [False]])
+            edge = np.flatnonzero(gone[1:] != gone[:-1])
+            for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                spans.setdefault(number, []).extend((start + a, start + z + length - 1))
+    return spans
+
+
 def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
     """What windows of smaller documents cover, from kind 0 of candidates, packed: target (part of the texts), nodes,
     twins, counts and spans (pairs of start and end), a row for each bucket and target and not for each text.
@@ -267,38 +304,7 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
         def done():
             if at is None:
                 return
-            index: dict[bytes, int] = {}
-            strings, lowest, anchor, owners = [], [], [], []
-            for number, (_, _, doc, starts, sizes, marks, data) in enumerate(held):
-                begin = 0
-                for start, n, mark in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(marks, "<u4").tolist()):
-                    piece = data[begin : begin + n]
-                    begin += n
-                    k = index.setdefault(piece, len(strings))
-                    if k == len(strings):
-                        strings.append(piece)
-                        lowest.append(doc)
-                        anchor.append(mark)
-                    elif doc < lowest[k]:
-                        lowest[k] = doc
-                    owners.append((number, doc, k, start))
-            lowest = np.array(lowest, np.int64)
-            _, group, size = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
-            several = np.flatnonzero(size[group] > 1)
-            low, high, first = lowest.copy(), lowest.copy(), np.full(len(strings), -1)
-            if len(several):
-                least, begin = equal_windows([strings[k] for k in several], lowest[several], length)
-                low[several], high[several], first[several] = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin), begin
-            low, high, first = low.tolist(), high.tolist(), first.tolist()
-            spans: dict[int, list[int]] = {}
-            for number, doc, k, start in owners:
-                if high[k] < doc:
-                    spans.setdefault(number, []).extend((start, start + len(strings[k])))
-                elif low[k] < doc:
-                    gone = np.concatenate([[False], least[first[k] : first[k] + len(strings[k]) - length + 1] < doc, [False]])
-                    edge = np.flatnonzero(gone[1:] != gone[:-1])
-                    for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        spans.setdefault(number, []).extend((start + a, start + z + length - 1))
+            spans = bucket_spans(held, length)
             targets: dict[int, list[int]] = {}
             for number in spans:
                 targets.setdefault(held[number][0] % buckets, []).append(number)
@@ -331,9 +337,9 @@ def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets of about BUCKET bytes of what the files hold, at least as many as shuffle partitions."""
+    """Buckets of about BUCKET bytes of what the files hold; small ones cost more, as induction goes by steps."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(max(partitions(df.sparkSession), -(-size // BUCKET) if size < 1 << 60 else 0), 60_000))
+    return max(4, min(-(-size // BUCKET) if size < 1 << 60 else partitions(df.sparkSession), 60_000))
 
 
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
