@@ -43,3 +43,33 @@ def test_stream(spark, sf, tmp_path):
     docs.repartition(3).write.parquet(f"{tmp_path}/in")
     scan.run_once(spark, f"{tmp_path}/in", docs.schema, f"{tmp_path}/out", f"{tmp_path}/cp")
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, scan.scanned(docs).collect()))
+
+
+def test_sources(spark, tmp_path):
+    from stylometra.sources import tables as S
+
+    (tmp_path / "a.md").write_text("\ufeffone\n\ntwo", encoding="utf-8")
+    assert [r["text"] for r in S.text_files(spark, str(tmp_path / "a.md")).collect()] == ["one\n\ntwo"]
+    (tmp_path / "b.jsonl").write_text('{"id": "1", "text": "x"}\n{"id": "2", "text": "y"}\n')
+    assert sorted((r["id"], r["text"]) for r in S.json_documents(spark, str(tmp_path / "b.jsonl")).collect()) == [("1", "x"), ("2", "y")]
+    (tmp_path / "c.jsonl").write_text('{"id": "1", "text": "x"}\nnot json\n')
+    with pytest.raises(Exception):
+        S.json_documents(spark, str(tmp_path / "c.jsonl")).collect()
+
+
+def test_findings_of_repeated_ids(spark):
+    """Rows of one id have places of their own; lines and columns are those of each text."""
+    from stylometra.operators.rules import Rule, findings
+
+    rows = [(1, "ab\ncab ab"), (1, "xx ab"), (2, None), (3, "none")]
+    got = sorted((r["doc_id"], r["start"], r["line"], r["col"]) for r in findings(spark.createDataFrame(rows, "doc_id long, text string"), [Rule("r", "k", "P1", "ab")]).collect())
+    assert got == sorted([(1, 0, 1, 1), (1, 4, 2, 2), (1, 7, 2, 5), (1, 3, 1, 4)])
+
+
+def test_measures_of_repeated_ids_and_short_texts(spark):
+    from stylometra.operators import style
+
+    words = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    docs = spark.createDataFrame([(1, words[0]), (1, words[1]), (2, "short"), (3, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["mattr"]) for r in style.diversity(docs).collect() if r["mattr"]) == [(1, 60, 1.0)] * 2
+    assert style.diversity(docs).count() == 4
