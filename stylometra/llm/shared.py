@@ -11,6 +11,8 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
+
 ROOT = str(Path(__file__).resolve().parents[2])
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -32,7 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
