@@ -22,7 +22,7 @@ from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
 #: bytes of the input files for one bucket
-BUCKET = 20 << 20
+BUCKET = 10 << 20
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

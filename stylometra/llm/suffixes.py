@@ -111,8 +111,11 @@ def _compare(text: np.ndarray, i: int, j: int, cap: int) -> int:
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes; the last is L-type."""
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int64), append=-1))
-    known = np.where(step != 0, np.arange(n), n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    step = np.empty(n, np.int8)
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
+    step[-1] = -1
+    known = np.where(step != 0, np.arange(n, dtype=kind), kind(n))
     known = np.minimum.accumulate(known[::-1])[::-1]
     return step[known] > 0
 
@@ -186,7 +189,7 @@ def _carried(text: np.ndarray, lms: np.ndarray, rank: np.ndarray, shared: np.nda
 def _induced(text, small, begins, ends, order, cap: int = 0, carried=None):
     """Place leftmost S-type suffixes in this order, induce all others; rows come out descending."""
     n = len(text)
-    rows = room(n, np.int64, -1)
+    rows = room(n, np.int32 if n < 1 << 31 else np.int64, -1)
     common = room(n, np.uint8, NONE) if cap else None
     head = text[order]
     first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(order) else np.empty(0, np.int64)
