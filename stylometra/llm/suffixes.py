@@ -34,23 +34,43 @@ def room(n: int, dtype, value) -> np.ndarray:
     return out
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    edge = np.empty(len(values), bool)
+    edge[:1] = True
+    np.not_equal(values[1:], values[:-1], out=edge[1:])
+    return edge.nonzero()[0]
+
+
+def _sizes(heads: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(len(heads), np.int64)
+    np.subtract(heads[1:], heads[:-1], out=out[:-1])
+    out[-1:] = n - heads[-1:]
+    return out
+
+
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The least of values[begin:end] for each pair; NONE where that is empty."""
     out = np.full(len(begin), NONE, np.uint8)
     length = end - begin
+    longest = int(length.max()) if len(length) else 0
     table, width = values, 1
-    while True:
-        here = np.flatnonzero((length >= width) & (length < 2 * width))
+    while width <= longest:
+        here = ((length >= width) & (length < 2 * width)).nonzero()[0]
         if len(here):
             out[here] = np.minimum(table[begin[here]], table[end[here] - width])
-        if 2 * width > len(values) or not (length >= 2 * width).any():
-            return out
+        if 2 * width > longest:
+            break
         table, width = np.minimum(table[: len(table) - width], table[width:]), 2 * width
+    return out
 
 
 def _scan(text: np.ndarray, wanted: np.ndarray, rows: np.ndarray, free: np.ndarray, common=None, seams=None, cap: int = 0, begun=None) -> None:
     """Induce the suffixes of the wanted type from rows, in their order; free: the next place of each bucket.
 
+    A step that reaches a row it would fill itself is cut there; what it found before stays, as each symbol's rows are
+    in order.
+
     common: common prefix of each row with the one before; seams: (row, bucket) of rows whose value must be found from
     the bucket's last induced row, in order of row; begun: the first place of each bucket.
     """
@@ -60,44 +80,53 @@ def _scan(text: np.ndarray, wanted: np.ndarray, rows: np.ndarray, free: np.ndarr
         next_seam = 0
     while r < n:
         m = min(2 * m, n - r, 1 << 18)
-        while True:
-            at = np.flatnonzero(rows[r : r + m] > 0)
-            before = rows[r : r + m][at] - 1
-            fit = wanted[before]
-            at, before = at[fit], before[fit]
-            symbol = text[before]
-            order = np.argsort(symbol, kind="stable")
-            symbol = symbol[order]
-            heads = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(heads, len(symbol)))
-            place = free[symbol] + np.arange(len(symbol)) - np.repeat(heads, sizes)
-            limit = int(place.min()) - r if len(place) else m
-            if limit >= m:
-                break
+        here = rows[r : r + m]
+        at = (here > 0).nonzero()[0]
+        before = here[at] - 1
+        fit = wanted[before].nonzero()[0]
+        at, before = at[fit], before[fit]
+        symbol = text[before]
+        order = symbol.argsort(kind="stable")
+        symbol, at, before = symbol[order], at[order], before[order]
+        heads = _heads(symbol)
+        sizes = _sizes(heads, len(symbol))
+        lead = symbol[heads]
+        place = np.arange(len(symbol)) + (free[lead] - heads).repeat(sizes)
+        limit = int(place.min()) - r if len(place) else m
+        if limit < m:
             m = limit
-        rows[place] = before[order]
+            keep = (at < m).nonzero()[0]
+            symbol, at, before, place = symbol[keep], at[keep], before[keep], place[keep]
+            heads = _heads(symbol)
+            sizes = _sizes(heads, len(symbol))
+            lead = symbol[heads]
+        rows[place] = before
         if common is not None:
             while next_seam < len(seams) and seams[next_seam][0] < r + m:
                 row, bucket = seams[next_seam]
                 common[row] = _compare(text, int(rows[row]), int(rows[free[bucket] - 1]), cap) if free[bucket] > begun[bucket] and bucket else 0
                 next_seam += 1
             values = np.asarray(common[r : r + m])
-            a = at[order]
-            first = np.zeros(len(a), bool)
-            first[heads] = True
-            begin = np.where(first, 0, np.concatenate([[0], a[:-1] + 1]) if len(a) else a)
-            found = _least(values, begin, a + 1)
-            lead = symbol[heads]
-            found[heads] = np.minimum(found[heads], least[lead])
-            found = np.minimum(found.astype(np.int64) + 1, cap)
-            found[heads[free[lead] == begun[lead]]] = 0
-            found[symbol == 0] = 0
-            common[place] = found
-            least = np.minimum(least, values.min())
             if len(heads):
-                last = a[np.append(heads[1:], len(a)) - 1] + 1
-                least[lead] = _least(values, last, np.full(len(last), m))
-        free[symbol[heads]] += sizes
+                k = len(at)
+                begin, end = np.empty(k + len(heads), np.int64), np.empty(k + len(heads), np.int64)
+                np.add(at, 1, out=end[:k])
+                begin[1:k] = end[: k - 1]
+                begin[heads] = 0
+                begin[k:] = end[heads + sizes - 1]
+                end[k:] = m
+                both = _least(values, begin, end)
+                found = both[:k]
+                found[heads] = np.minimum(found[heads], least[lead])
+                found = np.minimum(found, min(cap, NONE - 1) - 1) + np.uint8(1)
+                found[heads[free[lead] == begun[lead]]] = 0
+                found[symbol == 0] = 0
+                common[place] = found
+                np.minimum(least, values.min(), out=least)
+                least[lead] = both[k:]
+            else:
+                np.minimum(least, values.min(), out=least)
+        free[lead] += sizes
         r += m
 
 
