@@ -87,6 +87,34 @@ def mark_of(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _blob(values, kind: str) -> bytes:
+    return np.asarray(values, kind).tobytes()
+
+
+def _parts(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(counts.astype(np.int64))[:-1])
+
+
+def pressed(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(nodes: bytes, twins: bytes, docs: bytes, counts: bytes, starts: bytes, sizes: bytes, marks: bytes, data: bytes):
+    """(node, twin, doc, starts, sizes, marks, data) of each text of a packed row of windows."""
+    import pyarrow as pa
+
+    count, start, size, mark = (np.frombuffer(x, "<u4") for x in (counts, starts, sizes, marks))
+    total = int(size.sum(dtype=np.int64))
+    text, begin = pa.decompress(data, decompressed_size=total, codec="zstd", asbytes=True), 0
+    names = (np.frombuffer(x, "<i8").tolist() for x in (nodes, twins, docs))
+    for node, twin, doc, a, n, m in zip(*names, *(_parts(x, count) for x in (start, size, mark))):
+        end = begin + int(n.sum(dtype=np.int64))
+        yield node, twin, doc, a, n, m, text[begin:end]
+        begin = end
+
+
 def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest document that each window of each string is in, one string after the other, and where each begins.
 
@@ -113,7 +141,8 @@ def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tupl
 
 
 def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(node, marks binary) of the anchors that two texts or more have. rows: node long, text binary."""
+    """The anchors that two texts or more have, packed: target (part of the texts), nodes, counts and marks, a row for each
+    bucket and target and not for each text. rows: node long, text binary."""
 
     def cut(batches):
         import pyarrow as pa
@@ -156,11 +185,18 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
             several = np.minimum.reduceat(node, heads) != np.maximum.reduceat(node, heads)
             keep = np.repeat(several, np.diff(np.append(heads, len(mark))))
             node, mark = node[keep], mark[keep]
-            order = np.argsort(node, kind="stable")
-            node, mark = node[order], mark[order]
+            target = node % buckets
+            order = np.lexsort((node, target))
+            node, mark, target = node[order], mark[order], target[order]
             if len(node):
                 heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                yield pa.record_batch([pa.array(node[heads]), pa.array([p.tobytes() for p in np.split(mark, heads[1:])], pa.binary())], names=["node", "marks"])
+                counts, name, at_ = np.diff(np.append(heads, len(node))), node[heads], target[heads]
+                first = np.flatnonzero(np.concatenate([[True], at_[1:] != at_[:-1]]))
+                out = []
+                for a, z in zip(first, [*first[1:], len(heads)]):
+                    end = heads[z] if z < len(heads) else len(mark)
+                    out.append((int(at_[a]), _blob(name[a:z], "<i8"), _blob(counts[a:z], "<u4"), _blob(mark[heads[a] : end], "<u4")))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], names=["target", "nodes", "counts", "marks"])
 
         for b in batches:
             for bucket, *blobs in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -172,12 +208,13 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
         yield from done()
 
     dealt = rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(meet), "node long, marks binary")
+    return dealt.mapInArrow(trimmed(meet), "target int, nodes binary, counts binary, marks binary")
 
 
 def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """kind 0: windows around shared anchors by bucket (node, twin, doc, starts, sizes, marks, data); kind 1: each text
-    that has any, once.
+    """kind 0: windows around shared anchors, packed by bucket (place: the bucket); kind 1: each text that has any, once,
+    packed by target (place: the target, sizes: those of the texts). Packed: nodes, twins, docs, counts (windows of each
+    text), starts, sizes, marks and compressed data.
 
     rows: node, twin, doc, text; two hashes name a text. A task that meets a text again sends its document's number only.
     """
@@ -194,61 +231,71 @@ def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gra
                 seen.add(name)
             if len(seen) > 500_000:
                 seen = set()
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(sent, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=["node", "twin", "doc", "text", "marks"])
+            none = pa.nulls(b.num_rows, pa.binary())
+            target = pa.array(np.array(nodes, np.int64) % buckets, pa.int32())
+            yield pa.record_batch([target, b.column(0), b.column(1), b.column(2), pa.array(sent, pa.binary()), none, none, none], names=["target", "node", "twin", "doc", "text", "nodes", "counts", "marks"])
 
     def join(batches):
         import pyarrow as pa
 
         ready: list[tuple] = []
-        held, shared, at, size = {}, [], None, 0
+        held, shared, at, target, size = {}, {}, None, None, 0
 
         def flush():
             text, first, count, _, hashes = anchors([x[3] for x in ready], length, gram)
             bucket, mark = bucket_of(hashes, buckets), mark_of(hashes)
-            out = []
             bounds = np.searchsorted(text, np.arange(len(ready) + 1))
-            for k, (node, twin, doc, data, known) in enumerate(ready):
-                a, z = bounds[k], bounds[k + 1]
-                use = a + np.flatnonzero(np.isin(mark[a:z], known))
-                use = use[np.argsort(bucket[use], kind="stable")]
-                here = bucket[use]
-                heads = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else []
-                for x, y in zip(heads, [*heads[1:], len(here)]):
-                    begin, n = first[use[x:y]], count[use[x:y]] + length - 1
-                    pieces = b"".join(data[p : p + q] for p, q in zip(begin.tolist(), n.tolist()))
-                    out.append((0, int(here[x]), node, twin, doc, begin.astype("<u4").tobytes(), n.astype("<u4").tobytes(), mark[use[x:y]].tobytes(), pieces))
-                if len(here):
-                    out.append((1, None, node, twin, doc, None, None, None, data))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "bucket", "node", "twin", "doc", "starts", "sizes", "marks", "data"])
+            used = [b + np.flatnonzero(np.isin(mark[b:e], x[4])) for b, e, x in zip(bounds, bounds[1:], ready)]
+            whole = [k for k, x in enumerate(used) if len(x)]
+            if not whole:
+                return
+            names = [np.array([x[c] for x in ready], np.int64) for c in range(3)]
+            lengths = [len(ready[k][3]) for k in whole]
+            out = [(1, target, *(_blob(x[whole], "<i8") for x in names), None, None, _blob(lengths, "<u4"), None, pressed(b"".join(ready[k][3] for k in whole)))]
+            use = np.concatenate(used)
+            use = use[np.argsort(bucket[use], kind="stable")]
+            heads = np.flatnonzero(np.concatenate([[True], bucket[use][1:] != bucket[use][:-1]]))
+            for here in np.split(use, heads[1:]):
+                begin, n, of = first[here], count[here] + length - 1, text[here]
+                some, counts = np.unique(of, return_counts=True)
+                pieces = b"".join(ready[k][3][p : p + q] for k, p, q in zip(of.tolist(), begin.tolist(), n.tolist()))
+                out.append((0, int(bucket[here[0]]), *(_blob(x[some], "<i8") for x in names), _blob(counts, "<u4"), _blob(begin, "<u4"), _blob(n, "<u4"), _blob(mark[here], "<u4"), pressed(pieces)))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 8)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["kind", "place", "nodes", "twins", "docs", "counts", "starts", "sizes", "marks", "data"])
 
         def add():
             nonlocal size
-            for (node, twin), (doc, text) in held.items() if shared else ():
-                ready.append((node, twin, doc, text, np.frombuffer(b"".join(shared), "<u4")))
+            found = shared.get(at)
+            for (node, twin), (doc, text) in held.items() if found else ():
+                ready.append((node, twin, doc, text, np.concatenate(found)))
                 size += len(text)
 
         for b in batches:
-            for node, twin, doc, text, found in zip(*(b.column(k).to_pylist() for k in range(5))):
-                if node != at:
+            for to, node, twin, doc, text, *packed in zip(*(b.column(k).to_pylist() for k in range(8))):
+                if node != at or to != target:
                     add()
-                    if size > 4_000_000:
-                        yield from flush()
-                        ready, size = [], 0
-                    held, shared, at = {}, [], node
-                if found is not None:
-                    shared.append(found)
-                else:
-                    low, kept = held.get((node, twin), (doc, text))
-                    held[node, twin] = (min(low, doc), kept if kept is not None else text)
+                    held, at = {}, node
+                if size > 4_000_000 or to != target and ready:
+                    yield from flush()
+                    ready, size = [], 0
+                if to != target:
+                    shared, target = {}, to
+                if node is None:
+                    names, counts, marks = (np.frombuffer(x, t) for x, t in zip(packed, ("<i8", "<u4", "<u4")))
+                    for name, some in zip(names.tolist(), _parts(marks, counts)):
+                        shared.setdefault(name, []).append(some)
+                    continue
+                low, kept = held.get((node, twin), (doc, text))
+                held[node, twin] = (min(low, doc), kept if kept is not None else text)
         add()
         if ready:
             yield from flush()
 
-    schema = "node long, twin long, doc long, text binary, marks binary"
-    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(marks.selectExpr("node", "cast(null as long) twin", "cast(null as long) doc", "cast(null as binary) text", "marks"))
-    return all_.repartition(buckets, "node").sortWithinPartitions("node").mapInArrow(trimmed(join), "kind int, bucket int, node long, twin long, doc long, starts binary, sizes binary, marks binary, data binary")
+    schema = "target int, node long, twin long, doc long, text binary, nodes binary, counts binary, marks binary"
+    packed = marks.selectExpr("target", "cast(null as long) node", "cast(null as long) twin", "cast(null as long) doc", "cast(null as binary) text", "nodes", "counts", "marks")
+    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(packed).repartition(buckets, "target")
+    windows = "kind int, place int, nodes binary, twins binary, docs binary, counts binary, starts binary, sizes binary, marks binary, data binary"
+    return all_.sortWithinPartitions("target", F.col("node").asc_nulls_first()).mapInArrow(trimmed(join), windows)
 
 
 def bucket_spans(held: list, length: int) -> dict[int, list[int]]:
@@ -257,7 +304,7 @@ def bucket_spans(held: list, length: int) -> dict[int, list[int]]:
     strings, lowest, anchor, owners = [], [], [], []
     for number, (_, _, doc, starts, sizes, marks, data) in enumerate(held):
         begin = 0
-        for start, n, mark in zip(np.frombuffer(starts, "<u4").tolist(), np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(marks, "<u4").tolist()):
+        for start, n, mark in zip(starts.tolist(), sizes.tolist(), marks.tolist()):
             piece = data[begin : begin + n]
             begin += n
             k = index.setdefault(piece, len(strings))
@@ -309,19 +356,18 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
             for number in spans:
                 targets.setdefault(held[number][0] % buckets, []).append(number)
             if targets:
-                blob = lambda values, kind: np.array(values, kind).tobytes()
-                out = [(t, blob([held[x][0] for x in some], "<i8"), blob([held[x][1] for x in some], "<i8"), blob([len(spans[x]) for x in some], "<u4"), blob([y for x in some for y in spans[x]], "<u4")) for t, some in targets.items()]
+                out = [(t, _blob([held[x][0] for x in some], "<i8"), _blob([held[x][1] for x in some], "<i8"), _blob([len(spans[x]) for x in some], "<u4"), _blob([y for x in some for y in spans[x]], "<u4")) for t, some in targets.items()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["target", "nodes", "twins", "counts", "spans"])
 
         for b in batches:
-            for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(8))):
+            for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(9))):
                 if bucket != at:
                     yield from done()
                     held, at = [], bucket
-                held.append(row)
+                held.extend(unpacked(*row))
         yield from done()
 
-    dealt = found.where("kind = 0").select("bucket", "node", "twin", "doc", "starts", "sizes", "marks", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = found.where("kind = 0").select(F.col("place").alias("bucket"), "nodes", "twins", "docs", "counts", "starts", "sizes", "marks", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(trimmed(sort), "target int, nodes binary, twins binary, counts binary, spans binary")
 
 
@@ -367,32 +413,35 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         spans, at = {}, None
         for b in batches:
             out: list[tuple] = []
-            for target, node, twin, data, *packed in zip(*(b.column(k).to_pylist() for k in range(8))):
+            for target, data, sizes, nodes, twins, *packed in zip(*(b.column(k).to_pylist() for k in range(7))):
                 if target != at:
                     spans, at = {}, target
+                names = [*zip(*(np.frombuffer(x, "<i8").tolist() for x in (nodes, twins)))]
                 if data is None:
-                    nodes, twins, counts, values = (np.frombuffer(x, t) for x, t in zip(packed, ("<i8", "<i8", "<u4", "<u4")))
-                    for name, part in zip(zip(nodes.tolist(), twins.tolist()), np.split(values, np.cumsum(counts)[:-1])):
+                    counts, values = (np.frombuffer(x, "<u4") for x in packed)
+                    for name, part in zip(names, _parts(values, counts)):
                         spans.setdefault(name, []).append(part)
                     continue
-                mine = spans.pop((node, twin), None)
-                if mine is None:
-                    continue
-                kept, digest, begin = kept_spans(np.concatenate(mine), len(data)), hashlib.sha256(), 0
-                for a, z in kept:
-                    digest.update(memoryview(data)[begin:a])
-                    begin = z
-                digest.update(memoryview(data)[begin:])
-                out.append((node, twin, [{"start": a, "end": z} for a, z in kept], digest.hexdigest()))
+                size = np.frombuffer(sizes, "<u4").astype(np.int64)
+                text = memoryview(pa.decompress(data, decompressed_size=int(size.sum()), codec="zstd", asbytes=True))
+                for (node, twin), z, n in zip(names, np.cumsum(size).tolist(), size.tolist()):
+                    mine = spans.pop((node, twin), None)
+                    if mine is None:
+                        continue
+                    kept, digest, begin = kept_spans(np.concatenate(mine), n), hashlib.sha256(), z - n
+                    for first_, last_ in kept:
+                        digest.update(text[begin : z - n + first_])
+                        begin = z - n + last_
+                    digest.update(text[begin:z])
+                    out.append((node, twin, [{"start": x, "end": y} for x, y in kept], digest.hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["node", "twin", "spans", "kept"])
 
-    packed = ("nodes", "twins", "counts", "spans")
-    none = [F.lit(None).cast("binary").alias(x) for x in packed]
-    text_rows = found.where("kind = 1").select(F.pmod("node", F.lit(buckets)).cast("int").alias("target"), "node", "twin", "data", *none)
-    span_rows = gone.selectExpr("target", "cast(null as long) node", "cast(null as long) twin", "cast(null as binary) data", *packed)
-    both = span_rows.unionByName(text_rows).repartition(buckets, "target").sortWithinPartitions("target", F.col("node").isNotNull())
+    none = F.lit(None).cast("binary")
+    text_rows = found.where("kind = 1").select(F.col("place").alias("target"), "data", "sizes", "nodes", "twins", none.alias("counts"), none.alias("spans"))
+    span_rows = gone.select("target", none.alias("data"), none.alias("sizes"), "nodes", "twins", "counts", "spans")
+    both = span_rows.unionByName(text_rows).repartition(buckets, "target").sortWithinPartitions("target", F.col("data").isNotNull())
     marked = both.mapInArrow(trimmed(apply), "node long, twin long, spans array<struct<start:bigint,end:bigint>>, kept string")
     marked, fourth = materialize(marked, "marked")
     low = named.groupBy("node", "twin").agg(F.min("doc").alias("low"))
