@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -126,11 +127,16 @@ def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tupl
     text = text + np.uint8(1) if not len(text) or text.max() < 255 else text.astype(np.uint16) + np.uint16(1)
     text[starts + sizes] = 0
     rows, common = sorted_suffixes(text, length)
-    group = np.cumsum(np.asarray(common) < length)
-    of = np.searchsorted(starts, np.asarray(rows), "right") - 1
-    inside = np.asarray(rows) - starts[of]
-    window = inside + length <= sizes[of]
-    of, inside, group = of[window], inside[window], group[window]
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    del text
+    owner = np.repeat(np.arange(len(strings), dtype=kind), sizes + 1)
+    of = owner[rows]
+    del owner
+    inside = np.asarray(rows) - starts.astype(kind)[of]
+    window = inside + kind(length) <= sizes.astype(kind)[of]
+    group = np.cumsum(np.asarray(common) < length, dtype=kind)[window]
+    of, inside = of[window], inside[window]
+    del rows, common, window
     least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, lowest[of])
     counts = sizes - length + 1
@@ -298,41 +304,56 @@ def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gra
     return all_.sortWithinPartitions("target", F.col("node").asc_nulls_first()).mapInArrow(trimmed(join), windows)
 
 
-def bucket_spans(held: list, length: int) -> dict[int, list[int]]:
-    """What smaller documents' windows cover of each row of a bucket (node, twin, doc, starts, sizes, marks, data)."""
-    index: dict[bytes, int] = {}
-    strings, lowest, anchor, owners = [], [], [], []
-    for number, (_, _, doc, starts, sizes, marks, data) in enumerate(held):
-        begin = 0
+class Bucket:
+    """The distinct strings of a bucket, each with its smallest document and anchor, and the places where texts have them."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.lowest, self.anchor = array("q"), array("I")
+        self.nodes, self.twins, self.docs = array("q"), array("q"), array("q")
+        self.text, self.string, self.start = array("I"), array("I"), array("I")
+
+    def add(self, node: int, twin: int, doc: int, starts: np.ndarray, sizes: np.ndarray, marks: np.ndarray, data: bytes) -> None:
+        begin, number = 0, len(self.nodes)
+        self.nodes.append(node)
+        self.twins.append(twin)
+        self.docs.append(doc)
         for start, n, mark in zip(starts.tolist(), sizes.tolist(), marks.tolist()):
-            piece = data[begin : begin + n]
+            k = self.index.setdefault(data[begin : begin + n], len(self.lowest))
             begin += n
-            k = index.setdefault(piece, len(strings))
-            if k == len(strings):
-                strings.append(piece)
-                lowest.append(doc)
-                anchor.append(mark)
-            elif doc < lowest[k]:
-                lowest[k] = doc
-            owners.append((number, doc, k, start))
-    lowest = np.array(lowest, np.int64)
-    _, group, size = np.unique(np.array(anchor), return_inverse=True, return_counts=True)
-    several = np.flatnonzero(size[group] > 1)
-    low, high, first = lowest.copy(), lowest.copy(), np.full(len(strings), -1)
-    if len(several):
-        least, begin = equal_windows([strings[k] for k in several], lowest[several], length)
-        low[several], high[several], first[several] = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin), begin
-    low, high, first = low.tolist(), high.tolist(), first.tolist()
-    spans: dict[int, list[int]] = {}
-    for number, doc, k, start in owners:
-        if high[k] < doc:
-            spans.setdefault(number, []).extend((start, start + len(strings[k])))
-        elif low[k] < doc:
-            gone = np.concatenate([[False], least[first[k] : first[k] + len(strings[k]) - length + 1] < doc, [False]])
-            edge = np.flatnonzero(gone[1:] != gone[:-1])
-            for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                spans.setdefault(number, []).extend((start + a, start + z + length - 1))
-    return spans
+            if k == len(self.lowest):
+                self.lowest.append(doc)
+                self.anchor.append(mark)
+            elif doc < self.lowest[k]:
+                self.lowest[k] = doc
+            self.text.append(number)
+            self.string.append(k)
+            self.start.append(start)
+
+    def spans(self, length: int) -> dict[int, array]:
+        """What smaller documents' windows cover of each text, by its number: pairs of start and end."""
+        strings, lowest = list(self.index), np.array(self.lowest, np.int64)
+        self.index = {}
+        _, group, size = np.unique(np.array(self.anchor), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(size[group] > 1)
+        low, high, first = lowest.copy(), lowest.copy(), np.full(len(strings), -1)
+        if len(several):
+            least, begin = equal_windows([strings[k] for k in several], lowest[several], length)
+            low[several], high[several], first[several] = np.minimum.reduceat(least, begin), np.maximum.reduceat(least, begin), begin
+        sizes = [len(x) for x in strings]
+        del strings
+        low, high, first = low.tolist(), high.tolist(), first.tolist()
+        spans: dict[int, array] = {}
+        for number, k, start in zip(self.text, self.string, self.start):
+            doc = self.docs[number]
+            if high[k] < doc:
+                spans.setdefault(number, array("I")).extend((start, start + sizes[k]))
+            elif low[k] < doc:
+                gone = np.concatenate([[False], least[first[k] : first[k] + sizes[k] - length + 1] < doc, [False]])
+                edge = np.flatnonzero(gone[1:] != gone[:-1])
+                for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    spans.setdefault(number, array("I")).extend((start + a, start + z + length - 1))
+        return spans
 
 
 def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -346,25 +367,26 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
     def sort(batches):
         import pyarrow as pa
 
-        held, at = [], None
+        held, at = Bucket(), None
 
         def done():
             if at is None:
                 return
-            spans = bucket_spans(held, length)
+            spans = held.spans(length)
             targets: dict[int, list[int]] = {}
             for number in spans:
-                targets.setdefault(held[number][0] % buckets, []).append(number)
+                targets.setdefault(held.nodes[number] % buckets, []).append(number)
             if targets:
-                out = [(t, _blob([held[x][0] for x in some], "<i8"), _blob([held[x][1] for x in some], "<i8"), _blob([len(spans[x]) for x in some], "<u4"), _blob([y for x in some for y in spans[x]], "<u4")) for t, some in targets.items()]
+                out = [(t, _blob([held.nodes[x] for x in some], "<i8"), _blob([held.twins[x] for x in some], "<i8"), _blob([len(spans[x]) for x in some], "<u4"), _blob([y for x in some for y in spans[x]], "<u4")) for t, some in targets.items()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["target", "nodes", "twins", "counts", "spans"])
 
         for b in batches:
             for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(9))):
                 if bucket != at:
                     yield from done()
-                    held, at = [], bucket
-                held.extend(unpacked(*row))
+                    held, at = Bucket(), bucket
+                for one in unpacked(*row):
+                    held.add(*one)
         yield from done()
 
     dealt = found.where("kind = 0").select(F.col("place").alias("bucket"), "nodes", "twins", "docs", "counts", "starts", "sizes", "marks", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")

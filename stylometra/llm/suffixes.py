@@ -153,8 +153,9 @@ def _named(text: np.ndarray, small: np.ndarray, order: np.ndarray, lms: np.ndarr
     """Names of the leftmost S-type substrings by their sorted order; equal ones share a name."""
     n = len(text)
     end = np.append(lms[1:], n)
-    at = np.empty(n + 1, np.int64) if n < MEMORY // 8 else room(n + 1, np.int64, 0)
-    at[lms] = np.arange(len(lms))
+    kind = np.int32 if n < 1 << 31 else np.int64
+    at = np.empty(n + 1, kind) if n < MEMORY // 8 else room(n + 1, kind, 0)
+    at[lms] = np.arange(len(lms), dtype=kind)
     k = at[order]
     length = end[k] - lms[k]
     same = length[1:] == length[:-1]
