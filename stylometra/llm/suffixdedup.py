@@ -22,8 +22,8 @@ from .shared import discard, grouped, materialize, partitions, prepare, table, t
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
-#: bytes of the input files for one bucket
-BUCKET = 10 << 20
+#: bytes of the input files for one bucket; bytes of texts whose anchors are found at once
+BUCKET, AT_ONCE = 10 << 20, 1 << 20
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,7 +36,18 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """Runs of windows with one anchor: text number, first window, windows, anchor's place (in its text), anchor's hash."""
+    """Runs of windows with one anchor: text number, first window, windows, anchor's place (in its text), anchor's hash.
+
+    About AT_ONCE bytes of texts go at once, as the hashes take some 80 bytes for each byte."""
+    parts, base = [], 0
+    for group in grouped(texts, [len(t) for t in texts], AT_ONCE) if texts else [[]]:
+        text, *rest = _anchors(group, length, gram)
+        parts.append((text + base, *rest))
+        base += len(group)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(texts: list[bytes], length: int, gram: int):
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
