@@ -159,15 +159,16 @@ def pack(df: DataFrame, limits: Limits, path: str, id_col: str = "doc_id", text_
 
         def rows(sequences):
             nonlocal count
-            out = []
+            out, size = [], 0
             for sequence in sequences:
                 for short in powers(sequence, limits.tokens):
                     for doc, start, end, offset in short:
                         out.append((names[doc], start, end - start, len(docs[doc]) // 4, base + count, offset, max(0, end - max(start, from_[doc])), docs[doc][4 * start : 4 * end]))
+                        size += end - start
                     count += 1
-                if len(out) >= 20_000:
+                if size >= 1_000_000:
                     yield batch(out)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield batch(out)
 
