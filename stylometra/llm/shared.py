@@ -83,7 +83,10 @@ def trimmed(run):
         yield from run(batches)
         import ctypes
 
+        import pyarrow as pa
+
         gc.collect()
+        pa.default_memory_pool().release_unused()
         getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
     return whole
