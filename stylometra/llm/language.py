@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .shared import grouped, prepare, table, trimmed
 
-#: words of a block of a chain; hash buckets of features
-BLOCK, BUCKETS = 64, 1 << 16
+#: words of a block of a chain; bits of features' hashes, hash buckets
+BLOCK, BITS = 64, 16
+BUCKETS = 1 << BITS
 #: the sample to learn from: languages (those with most documents), documents and words of each, characters of a document
 LANGUAGES, PER_LANGUAGE, WORDS, CHARACTERS = 100, 240, 24_000, 50_000
 UNKNOWN = "und"
@@ -22,21 +23,37 @@ def letters(piece: str) -> str:
     return (piece if piece.isalpha() else "".join(c for c in piece if c.isalpha())).lower()
 
 
-def features(word: str) -> list[int]:
-    """Hashed affixes of 1 to 4 letters, all n-grams of 2 and 3 letters with borders, and the word itself (lexicon)."""
-    from zlib import crc32
-
-    n, w = len(word), f"^{word}$"
-    found = [f"w{word}", f"n{min(n, 12)}"]
-    found += [f"p{word[:k]}" for k in range(1, min(4, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]
-    found += [w[i : i + k] for k in (3, 2) for i in range(len(w) - k + 1)]
-    return [crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in found]
+def _mixed(a: np.ndarray, b) -> np.ndarray:
+    """A 64-bit hash of a hash and what comes after it."""
+    x = (np.asarray(a, np.uint64) ^ np.asarray(b, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 def flat_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all words, one after the other, and how many each has (at least two)."""
-    each = [features(w) for w in words]
-    return np.fromiter((x for f in each for x in f), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+    """The hashed features of all words, one after the other, and how many each has (at least three): the word itself
+    (lexicon), its length up to 12, affixes of 1 to 4 letters, all n-grams of 2 and 3 letters with borders."""
+    text = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(n + 2) - n - 2
+    affixes = np.minimum(n, 4)
+    sizes = 3 + 2 * affixes + 2 * n
+    at = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), np.uint64)
+    inside = np.arange(len(text)) - np.repeat(begin, n + 2)
+    flat[at] = _mixed(np.add.reduceat(_mixed(_mixed(text, inside), text), begin), 1) if len(words) else flat[at]
+    flat[at + 1] = _mixed(np.minimum(n, 12), 2)
+    gram = np.zeros(len(text), np.uint64)
+    for k in range(1, 5):
+        gram = _mixed(gram[: len(text) - k + 1], text[k - 1 :])
+        some = np.flatnonzero(n >= k)
+        flat[at[some] + 1 + k] = _mixed(gram[begin[some] + 1], 3)
+        flat[at[some] + 1 + affixes[some] + k] = _mixed(gram[begin[some] + 1 + n[some] - k], 4)
+        if 2 <= k <= 3:
+            counts = n + 3 - k
+            place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            to = at + 2 + 2 * affixes + (n + 1 if k == 3 else 0)
+            flat[np.repeat(to, counts) + place] = gram[np.repeat(begin, counts) + place]
+    return ((flat * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64), sizes
 
 
 @dataclass
