@@ -83,6 +83,28 @@ def test_encoder_equals_the_library_on_random_texts(name):
     assert [array("I", x).tolist() for x in found] == _whole(name, cases)
 
 
+class Recorder:
+    """A tokenizer of the library that notes the strings it is given."""
+
+    def __init__(self, library, given):
+        self.library, self.given = library, given
+
+    def encode_batch_fast(self, strings, **options):
+        self.given.extend(strings)
+        return self.library.encode_batch_fast(strings, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+
+def test_words_of_letters_skip_the_search_for_words():
+    text, given = "straße und häuser, kein wort fehlt. Ένα слово\nUND häuser!", []
+    encode = CachedEncoder(vocabulary("word_bpe_49k.json"))
+    encode.tokenizer = Recorder(encode.tokenizer, given)
+    assert [array("I", x).tolist() for x in encode.many([text, "und 12 häuser"])] == [ids_of("word_bpe_49k.json", t) for t in (text, "und 12 häuser")]
+    assert not re.search(r"[^\W\d]", "".join(given))
+
+
 # 1
 def turns(spark, rows):
     return spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, differ string, n long")
