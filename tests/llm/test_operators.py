@@ -105,6 +105,17 @@ def test_words_of_letters_skip_the_search_for_words():
     assert not re.search(r"[^\W\d]", "".join(given))
 
 
+def test_words_are_encoded_once_with_any_signs_and_at_ends_of_lines():
+    words = [f"wort{x}{y}é" for x in "abcdefgh" for y in "ijklmnop"]
+    texts = ["los " + " ".join(w + s for w in words) + " ende" for s in ("", ",", ".", "?!", ".\nUnd")]
+    encode, given = CachedEncoder(vocabulary("byte_bpe_50k.json")), []
+    encode.tokenizer = Recorder(encode.tokenizer, given)
+    if hasattr(encode, "words"):
+        encode.words = Recorder(encode.words, given)
+    assert [array("I", x).tolist() for x in encode.many(texts)] == [ids_of("byte_bpe_50k.json", t) for t in texts]
+    assert sum(x.count("wort") for x in given) == len(words)
+
+
 # 1
 def turns(spark, rows):
     return spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, differ string, n long")
