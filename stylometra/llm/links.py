@@ -14,6 +14,8 @@ from .shared import discard, materialize, partitions, prepare, trimmed
 BLOCK = 1024
 #: place of a group that is a whole component of what meets
 WHOLE = -1
+#: edges that are few enough to be followed to their ends in one task, without further rounds
+FEW = 4096
 Judge = Callable[[list[bytes], list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -129,28 +131,59 @@ def judged_links(met: DataFrame, member: DataFrame, plan: DataFrame, nodes: Data
     return judged.groupBy("node", "root").agg(*(F.sum(x).alias(x) for x in ("links", "pairs", *weights)))
 
 
+def ends_of(batches):
+    """node, to (the smallest node it reaches) of the nodes of few edges (a, b), in one task."""
+    import pyarrow as pa
+
+    to: dict[int, int] = {}
+
+    def end(x):
+        while to.setdefault(x, x) != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = end(x), end(y)
+            to[max(x, y)] = min(x, y)
+    yield pa.record_batch([pa.array(list(to), pa.int64()), pa.array([end(x) for x in to], pa.int64())], names=["node", "to"])
+
+
 def components_of(edges: DataFrame) -> tuple[DataFrame, str]:
     """node, root (the smallest node that each node of edges (node, root) reaches) and the path of that table.
 
-    Rounds of neighbours' minima and pointer jumping until nothing changes, each written to the shared folder; nothing
-    but the number of changes comes to the driver. A node alone in its edges is its own root.
+    Rounds of contraction: each node goes over to the one with the least hash among itself and its neighbours, edges go
+    with their ends, and what lies within one node or is there twice is dropped. The order is another one each round, so
+    that long paths shrink by a share of their nodes too. A round joins only the edges that are left, not all of them
+    again; the last FEW are followed in one task. The steps are then followed backwards. All is written to the shared
+    folder; nothing but the number of edges left comes to the driver. A node alone in its edges is its own root.
     """
-    spark = edges.sparkSession
-    pairs = edges.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    both, kept = materialize(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels, last = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
-        moved = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("via"))
-        jumped = moved.join(labels.select(F.col("node").alias("via"), F.col("root").alias("far")), "via", "left").select("node", "was", F.least("via", F.coalesce("far", "via")).alias("root"))
-        moves = Observation()
-        fresh, path = materialize(jumped.observe(moves, F.count_if(F.col("was") != F.col("root")).alias("n")), "labels")
-        changed = moves.get["n"]
-        discard(spark, last)
-        labels, last = fresh.select("node", "root"), path
-        if not changed:
-            discard(spark, kept)
-            return labels, last
+    spark, steps, scratch = prepare(edges.sparkSession), [], []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept, path = materialize(df, name)
+        scratch.append(path)
+        return kept
+
+    def remaining(a, b, df: DataFrame) -> tuple[DataFrame, int]:
+        left = Observation()
+        rest = df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return keep(rest.observe(left, F.count("*").alias("n")), "edges"), left.get["n"]
+
+    rest, n = remaining("node", "root", edges)
+    while n > FEW:
+        rank = lambda x: F.xxhash64(x, F.lit(len(steps)))
+        near = rest.union(rest.select("b", "a")).withColumn("h", rank("b")).groupBy("a").agg(F.min("h").alias("h"), F.min_by("b", "h").alias("b"))
+        step = keep(near.select(F.col("a").alias("node"), F.when(rank("a") <= F.col("h"), F.col("a")).otherwise(F.col("b")).alias("to")), "steps")
+        rest, n = remaining("x", "y", rest.where("a <> b").join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y"))
+        steps.append(step)
+    ends = keep(rest.coalesce(1).mapInArrow(trimmed(ends_of), "node long, to long"), "ends")
+    while steps:
+        ends = keep(steps.pop().join(ends.toDF("to", "end"), "to", "left").select("node", F.coalesce("end", "to").alias("to")), "ends")
+    smallest = ends.groupBy("to").agg(F.min("node").alias("root"))
+    labels, path = materialize(ends.join(smallest, "to").select("node", "root"), "labels")
+    discard(spark, *scratch)
+    return labels, path
 
 
 def components(edges: DataFrame) -> DataFrame:
