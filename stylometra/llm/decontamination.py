@@ -14,8 +14,8 @@ from .shared import HashedWords, SIMILARITY, grouped, prepare, rolling, table, t
 PAD = np.uint64(0)
 #: samples of one LSH key; recall to be reached for an item's worst allowed distance; how many keys are tried for it
 SAMPLES, RECALL, KEYS = 3, 0.995, (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
-#: items and their words that one pass over the documents compares; values of an array of windows
-ITEMS, WORDS, CELLS = 20_000, 4_000_000, 1_000_000
+#: items and their words that one pass over the documents compares; values of an array of windows; most bits of a sieve
+ITEMS, WORDS, CELLS, BITS = 20_000, 4_000_000, 1_000_000, 22
 
 
 class Walk:
@@ -59,20 +59,36 @@ def edit(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, free: bool)
 @dataclass
 class Items:
     """Benchmark items of like length: ids, word hashes (padded), lengths, allowed distances, the tables of the LSH
-    (hash of a key, item; sorted), and seeds by their length. No tables: every window near a seed is verified."""
+    (hash of a key, item; sorted), and seeds by their length: hash, item, place in it, and a sieve of the hashes' first
+    bits. No tables: every window near a seed is verified."""
 
     ids: list[int]
     rows: np.ndarray
     lengths: np.ndarray
     most: np.ndarray
     tables: list[tuple[np.ndarray, np.ndarray]]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @property
     def steps(self) -> int:
         return 3 * self.rows.shape[1]
 
 
+class Texts:
+    """Word hashes of documents, one after the other and PAD at the end; `begins` has the first of each, and the end."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.flat = np.concatenate([*hashes, np.array([PAD])])
+        self.begins = np.cumsum([0, *map(len, hashes)])
+        self.runs: dict[int, np.ndarray] = {}
+
+    def rolling(self, n: int) -> np.ndarray:
+        """Hashes of each n consecutive words, kept for further items; some run over the end of a document."""
+        if n not in self.runs:
+            self.runs[n] = rolling(self.flat[:-1], n)
+        return self.runs[n]
+
+
 def sampled(key: int, rows: np.ndarray, lengths: np.ndarray, steps: int, samples: int = SAMPLES) -> np.ndarray:
     """A hash of the symbols of the rows' embeddings at the places that this key samples, and of the lengths."""
     at = np.floor(np.random.default_rng([3, key]).random(samples)[None, :] * (3 * lengths)[:, None]).astype(np.int64)
@@ -133,7 +149,10 @@ def _class_of(found: list[tuple[int, np.ndarray]], similarity: float, samples: i
     arrays = {}
     for q, s in seeds.items():
         s.sort()
-        arrays[q] = (np.array([x[0] for x in s], np.uint64), np.array([x[1] for x in s]), np.array([x[2] for x in s]))
+        hashes, bits = np.array([x[0] for x in s], np.uint64), min(BITS, len(s).bit_length() + 6)
+        sieve = np.zeros(1 << bits, bool)
+        sieve[hashes >> np.uint64(64 - bits)] = True
+        arrays[q] = (hashes, np.array([x[1] for x in s]), np.array([x[2] for x in s]), sieve)
     out = Items([i for i, _ in found], rows, lengths, most, [], arrays)
     for key in range(keys_needed(rows, lengths, most, samples, recall)):
         hashes = np.concatenate([sampled(key, rows[a : a + 4096], lengths[a : a + 4096], out.steps, samples) for a in range(0, len(rows), 4096)])
@@ -142,42 +161,47 @@ def _class_of(found: list[tuple[int, np.ndarray]], similarity: float, samples: i
     return out
 
 
-def near_seeds(items: Items, hashes: np.ndarray) -> np.ndarray:
-    """(item, start) of the windows in which a seed says that a match may be, distinct; a row each."""
-    found = []
-    for q, (seed, item, offset) in items.seeds.items():
-        here = rolling(hashes, q)
-        left = np.searchsorted(seed, here, "left")
-        hit = np.flatnonzero(seed[np.minimum(left, len(seed) - 1)] == here)
-        if not len(hit):
-            continue
-        left = left[hit]
+def distinct(doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The different rows of these columns, in order."""
+    rows = np.stack([doc, item, start], axis=1)[np.lexsort((start, item, doc))]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[: len(rows)]]
+
+
+def near_seeds(items: Items, texts: Texts) -> np.ndarray:
+    """(document, item, start) of the windows in which a seed says that a match may be, distinct, in order; a row each."""
+    found = [np.empty((0, 3), np.int64)]
+    for q, (seed, item, offset, sieve) in items.seeds.items():
+        here = texts.rolling(q)
+        hit = np.flatnonzero(sieve[here >> np.uint64(65 - len(sieve).bit_length())])
+        left = np.searchsorted(seed, here[hit], "left")
+        doc = np.searchsorted(texts.begins, hit, "right") - 1
+        on = (seed[np.minimum(left, len(seed) - 1)] == here[hit]) & (hit + q <= texts.begins[doc + 1])
+        hit, left, doc = hit[on], left[on], doc[on]
         count = np.searchsorted(seed, here[hit], "right") - left
-        at = np.repeat(hit, count)
-        which = np.repeat(left, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        k = item[which]
-        wide = 2 * items.most[k] + 1
-        shift = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide) - np.repeat(items.most[k], wide)
-        found.append(np.stack([np.repeat(k, wide), np.repeat(at - offset[which], wide) + shift], axis=1))
-    if not found:
-        return np.empty((0, 2), np.int64)
-    out = np.concatenate(found)
-    out[:, 1] = np.clip(out[:, 1], 0, max(0, len(hashes) - 1))
-    return np.unique(out, axis=0)
-
-
-def retrieved(items: Items, hashes: list[np.ndarray], each: list[np.ndarray]) -> np.ndarray:
+        every = np.repeat(np.arange(len(hit)), count)
+        which = np.repeat(left, count) + np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
+        rows = max(1, CELLS // (2 * int(items.most.max()) + 1))
+        for a in range(0, len(every), rows):
+            d, k = doc[every[a : a + rows]], item[which[a : a + rows]]
+            at = hit[every[a : a + rows]] - texts.begins[d] - offset[which[a : a + rows]]
+            wide = 2 * items.most[k] + 1
+            shift = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide) - np.repeat(items.most[k], wide)
+            d = np.repeat(d, wide)
+            found.append(distinct(d, np.repeat(k, wide), np.clip(np.repeat(at, wide) + shift, 0, texts.begins[d + 1] - texts.begins[d] - 1)))
+    return distinct(*np.concatenate(found).T)
+
+
+def retrieved(items: Items, texts: Texts, near: np.ndarray) -> np.ndarray:
     """(document, item, start) that share a key of the LSH, in order. Text without any seed can hold no match; of all
     other text each window of an item's length is embedded and looked up, whichever item the seed was of."""
-    doc = np.repeat(np.arange(len(hashes)), [len(c) for c in each])
-    item, start = np.concatenate(each).T
+    doc, item, start = near.T
     if not items.tables:
-        return np.unique(np.stack([doc, item, start], axis=1), axis=0)
-    place = np.unique(np.stack([doc, start, items.lengths[item]], axis=1), axis=0)
+        return near
+    place = distinct(doc, start, items.lengths[item])
     out, rows = [np.empty((0, 3), np.int64)], max(1, CELLS // items.steps)
     for a in range(0, len(place), rows):
         d, s, n = place[a : a + rows].T
-        text = windows(hashes, d, s, n, items.rows.shape[1])
+        text = windows(texts, d, s, n, items.rows.shape[1])
         for key, (table, which) in enumerate(items.tables):
             mine = sampled(key, text, n, items.steps)
             left = np.searchsorted(table, mine, "left")
@@ -186,33 +210,31 @@ def retrieved(items: Items, hashes: list[np.ndarray], each: list[np.ndarray]) ->
             count = count[hit]
             at = np.repeat(left[hit], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             row = np.repeat(hit, count)
-            out.append(np.unique(np.stack([d[row], which[at], s[row]], axis=1), axis=0))
-    return np.unique(np.concatenate(out), axis=0)
+            out.append(distinct(d[row], which[at], s[row]))
+    return distinct(*np.concatenate(out).T)
 
 
-def windows(hashes: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+def windows(texts: Texts, doc: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """Rows of `width` words from start, PAD beyond length or the text's end."""
-    flat = np.concatenate([*hashes, np.zeros(1, np.uint64)])
-    begins = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-    at = begins[doc][:, None] + start[:, None] + np.arange(width)
-    there = (np.arange(width) < length[:, None]) & (at < begins[doc + 1][:, None])
-    return np.where(there, flat[np.where(there, at, len(flat) - 1)], PAD)
+    at = texts.begins[doc][:, None] + start[:, None] + np.arange(width)
+    there = (np.arange(width) < length[:, None]) & (at < texts.begins[doc + 1][:, None])
+    return texts.flat[np.where(there, at, len(texts.flat) - 1)]
 
 
 def matches(classes: list[Items], hashes: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item's id, item's words, distance, first word, words) of the best match of each document and item
     within the distance."""
-    out = []
+    out, texts = [], Texts(hashes)
     for items in classes:
-        out += _matches(items, hashes)
+        out += _matches(items, texts)
     return out
 
 
-def _matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
-    each = [near_seeds(items, h) for h in hashes]
-    if not any(map(len, each)):
+def _matches(items: Items, texts: Texts) -> list[tuple[int, int, int, int, int, int]]:
+    near = near_seeds(items, texts)
+    if not len(near):
         return []
-    doc, item, start = retrieved(items, hashes, each).T
+    doc, item, start = retrieved(items, texts, near).T
     if not len(doc):
         return []
     # windows of one item that overlap are one region, verified at once
@@ -221,13 +243,13 @@ def _matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int
     last = np.append(first[1:], len(doc)) - 1
     d, k, most, n = doc[first], item[first], items.most[item[first]], items.lengths[item[first]]
     begin = np.maximum(0, start[first] - most)
-    reach = np.minimum(start[last] + n + 2 * most, np.array([len(h) for h in hashes])[d]) - begin
+    reach = np.minimum(start[last] + n + 2 * most, np.diff(texts.begins)[d]) - begin
     best: dict[tuple[int, int], tuple[int, int]] = {}
     order = np.argsort(reach, kind="stable")
     while len(order):
         some = order[: max(1, CELLS // (8 * int(reach[order[min(len(order), 4096) - 1]])))][:4096]
         order = order[len(some) :]
-        text = windows(hashes, d[some], begin[some], reach[some], int(reach[some].max()))
+        text = windows(texts, d[some], begin[some], reach[some], int(reach[some].max()))
         distance = edit(items.rows[k[some]], n[some], text, True)
         distance[np.arange(distance.shape[1]) > reach[some][:, None]] = 1 << 20
         end = distance.argmin(axis=1)
@@ -241,7 +263,7 @@ def _matches(items: Items, hashes: list[np.ndarray]) -> list[tuple[int, int, int
         d, k = np.array(found[a : a + 1024]).T
         least, end = np.array([best[x] for x in found[a : a + 1024]]).T
         reach = np.minimum(items.lengths[k] + items.most[k], end)
-        text = windows(hashes, d, end - reach, reach, max(1, int(reach.max())))
+        text = windows(texts, d, end - reach, reach, max(1, int(reach.max())))
         back, turned = np.zeros_like(text), np.zeros_like(items.rows[k])
         for r in range(len(d)):
             back[r, : reach[r]] = text[r, : reach[r]][::-1]

@@ -1,7 +1,9 @@
 """Every training-data operator against brute force, and on nulls, empty and long texts, ties, copies and clashing names."""
 
 import hashlib
+import random
 import re
+import sys
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -12,8 +14,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stylometra.llm import pseudonyms, rans
-from stylometra.llm.decontamination import clean, contaminated
+from stylometra.llm import decontamination, pseudonyms, rans
+from stylometra.llm.decontamination import clean, contaminated, matches, prepare_items
 from stylometra.llm.encoding import CachedEncoder, vocabulary
 from stylometra.llm.jaccard import jaccard_join, meeting_chance, shortest_prefix
 from stylometra.llm.language import learn, predict, sample
@@ -21,7 +23,7 @@ from stylometra.llm.links import components
 from stylometra.llm.packing import Limits, pack
 from stylometra.llm.preferences import OP1_SQL, format_preferences, op1_preference_format
 from stylometra.llm.quantization import embedding_links
-from stylometra.llm.shared import words
+from stylometra.llm.shared import HashedWords, rolling, words
 from stylometra.llm.suffixdedup import repeated_spans
 from stylometra.llm.suffixes import sorted_suffixes
 from stylometra.llm.tokencounts import Trie, count_tokens, pieces, pretokens
@@ -418,6 +420,42 @@ def test_contaminated_long_items(spark):
     assert got == {x: d for x, d in want.items() if d <= int(0.2 * len(items[x[1]]) + 1e-9)} and {(r[0], r[2]) for r in rows} <= set(got)
 
 
+def test_words_are_hashed_by_array_operations(monkeypatch):
+    """Equal to the library's hashes of the words, for every code point and length; only long words are handed to it."""
+    import xxhash
+
+    rng, library, calls = random.Random(6), xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: calls.append(x) or library(x))
+    signs = "aZ_9é ßÉİΣς.\n\tñ漢😀𝔸٣½Ⅳ\u0301\u00a0\u2003\x00\ud800-'"
+    some = ["".join(rng.choices(signs, k=rng.choice([1, 5, 40, 400]))) for _ in range(500)] + ["b" * n + " é" + "c" * n for n in range(70)]
+    some += [None, "", "x" * 5000, "".join(map(chr, range(sys.maxunicode + 1))), "ΑΣ ΑΣ. ΑΣΑ", "the end"]
+    got = [h.tolist() for h in HashedWords().many(some)]
+    assert min(map(len, calls)) == 32 and len(calls) < len(some)
+    assert got == [[library(w.encode("utf-8", "surrogatepass")) for w in words(t)] for t in some]
+    assert HashedWords().many([]) == []
+
+
+def test_seeds_are_sought_in_all_documents_at_once(monkeypatch):
+    """As many passes for 300 documents as for one; no match runs from one document into the next, and none is lost at an end."""
+    names = [f"w{k}" for k in range(24)]
+    items = prepare_items([(1, " ".join(names)), (2, " ".join(names[4:16])), (3, "w3 w9"), (4, "w20")])
+    rng = random.Random(16)
+    some = ["", " ".join(names[:12]), " ".join(names[12:]), " ".join(names), None, "w3", "w9", "w3 w9", " ".join(names[:20]), "w20"]
+    for _ in range(290):
+        a, n = rng.randrange(20), rng.randrange(1, 30)
+        some.append(" ".join(w if rng.random() < 0.9 else "zz" for w in (names * 2)[a : a + n]))
+    hashes = HashedWords().many(some)
+    alone = [(d, *m[1:]) for d, h in enumerate(hashes) for m in matches(items, [h])]
+    assert sorted(matches(items, hashes)) == sorted(alone)
+    found = {(d, i) for d, i, *_ in alone}
+    texts = {1: names, 2: names[4:16], 3: ["w3", "w9"], 4: ["w20"]}
+    assert found == {(d, i) for d, t in enumerate(some) for i, w in texts.items() if edit_match(w, words(t)) <= int(0.2 * len(w) + 1e-9)}
+    calls = []
+    monkeypatch.setattr(decontamination, "rolling", lambda h, n: calls.append(n) or rolling(h, n))
+    assert matches(items, HashedWords().many(["no word of an item", None, "here"] * 100)) == []
+    assert len(calls) == len({q for x in items for q in x.seeds})
+
+
 # 7
 def feistel(symbols, radices, kind, key):
     half = len(symbols) // 2
