@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import once
+
 # Particles of negation, words after which a particle is part of an idiom, the joints of a list of names,
 # and how many names must change their case.
 NEGATIONS = ("не", "ни")
@@ -46,11 +48,6 @@ MARK = "\x1e"
 STRINGS = "array<string>"
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once per row, however often later steps read them."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def same_stem(a: Column, b: Column) -> Column:
     """Whether two words are forms of one: equal but for two letters of the shorter one and what follows; short words must be a beginning."""
     short = F.least(F.length(a), F.length(b))

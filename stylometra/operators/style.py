@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .rows import once
 
 
 def spread(values: Column) -> tuple[Column, Column]:
@@ -27,28 +28,30 @@ def sentence_spread(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("sizes").cast("long").alias("n_sentences"), mean.alias("mean_words"), cv.alias("cv"))
 
 
-def moving_ratio(words: Column, window: int = 50) -> Column:
-    """Moving-average type-token ratio of an array of words; null below `window` words.
+def with_moving_ratio(rows: DataFrame, words: str, name: str, window: int = 50) -> DataFrame:
+    """rows with the moving-average type-token ratio of an array of words; null below `window` words.
 
     A word counts in a window unless the same word stands before it there, so each word adds to as many windows as lie
-    between its last occurrence and itself; only the window before a word is looked at, and no window is built.
+    between its last occurrence and itself. Last occurrences are neighbours once words are sorted with their places: one
+    sort in the row, and no window is built.
     """
     n = F.size(words)
+    rows = once(rows, _sorted=F.when(n >= window, F.array_sort(F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))))
 
-    def added(x: Column, i: Column) -> Column:
-        back = F.least(i, F.lit(window - 1))
-        found = F.array_position(F.reverse(F.slice(words, i - back + 1, back)), x)
-        first = F.greatest(F.when(found > 0, i - found + 1).otherwise(0), i - (window - 1), F.lit(0))
-        return F.greatest(F.lit(0), F.least(i, n - window) - first + 1).cast("long")
+    def added(x: Column, k: Column) -> Column:
+        previous = F.get("_sorted", k - 1)
+        last = F.when(previous["w"] == x["w"], previous["i"] + 1).otherwise(0)
+        first = F.greatest(F.coalesce(last, F.lit(0)), x["i"] - (window - 1), F.lit(0))
+        return F.greatest(F.lit(0), F.least(x["i"], n - window) - first + 1).cast("long")
 
-    types = F.aggregate(F.transform(words, added), F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(n >= window, T.rounded(types / (window * (n - window + 1)), 6))
+    types = F.aggregate(F.transform("_sorted", added), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.withColumn(name, F.when(n >= window, T.rounded(types / (window * (n - window + 1)), 6))).drop("_sorted")
 
 
 def diversity(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words and moving-average type-token ratio of every row; the ratio is null below `window` words."""
-    rows = docs.select("doc_id", F.transform(T.words(F.col("text")), F.lower).alias("w"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), moving_ratio(F.col("w"), window).alias("mattr"))
+    rows = once(docs.select("doc_id", "text"), w=F.transform(T.words(F.col("text")), F.lower))
+    return with_moving_ratio(rows, "w", "mattr", window).select("doc_id", F.size("w").cast("long").alias("n_words"), "mattr")
 
 
 def runs(keys: Column, least: int) -> Column:

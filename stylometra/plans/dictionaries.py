@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dictionary as D
-from ..operators import evaluation, style
+from ..operators import evaluation, fragments
 from ..operators.dictionary import Entry
+from ..operators.fragments import BIAS, LIMIT, NAMES, WEIGHTS
 from ..sources import tables as S
 from .queries import HALF_UP, WORDS
 from .rules import _lit
@@ -32,9 +35,6 @@ NUMERALS = {"один": 1, "два": 2, "три": 3, "пять": 5, "раз": 1}
 MONTHS = ["январ", "феврал", "март", "апрел", "ма[йя]", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр"]
 CLAIMS, HEDGES = ["важн[а-я]*", "сам[а-я]* полн[а-я]*", "очень"], ["вчера", "также", "кое-что"]
 UNITS = ["рублей", "кг", "дней"]
-# The default model of fragments, its threshold, and its features' names.
-BIAS, WEIGHTS, LIMIT = -4.4, (1.1, 2.6, 1.4, 0.35, 1.2, 1.3, 1.6), 0.5
-NAMES = ("density", "uniformity", "typical_length", "clerical", "punctuation", "openers", "vocabulary")
 RARE = "[;:()!?…]"
 
 
@@ -85,60 +85,58 @@ def issues_deduped(spark, sf_dir):
     return rows.select("doc_id", ordered.alias("_ordered")).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.kind", "x.start", "x.text")
 
 
+def _paragraphs(spark, sf_dir) -> DataFrame:
+    """The texts with a paragraph for every sentence, as they have few of their own."""
+    return _marked(spark, sf_dir).withColumn("text", F.regexp_replace("text", "([.!?]) ", "$1\n\n"))
+
+
 def _fragments(spark, sf_dir) -> DataFrame:
-    """A fragment for each text, with its measures."""
+    """The fragments of all texts, with their measures."""
     text = F.col("text")
-    sizes = F.filter(F.transform(T.sentences(text), lambda s: _n(s).cast("long")), lambda n: n >= 2)
-    first = F.transform(T.sentences(text), lambda s: F.lower(F.get(T.words(s), F.lit(0))))
-    words = F.transform(T.words(text), F.lower)
-    rows = _marked(spark, sf_dir).select("doc_id", words.alias("w"), sizes.alias("z"), first.alias("o"), F.regexp_count(text, F.lit(RARE)).cast("long").alias("rare"), D.count(text, "важно|кроме того|однако").alias("signals"), D.count(text, "повышение|реализации|деятельности").alias("clerical"), F.length(T.collapsed(text)).cast("long").alias("n_chars"))
-    return rows.withColumn("mattr", style.moving_ratio(F.col("w"))).withColumn("n", F.size("z"))
-
-
-def _features(rows: DataFrame) -> DataFrame:
-    n, words, sentences = F.col("n"), F.greatest(F.size("w"), F.lit(1)), F.size("o")
-    total = F.aggregate("z", F.lit(0).cast("long"), lambda s, x: s + x)
-    squares = F.aggregate("z", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    cv = F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1))) / (total / n)
-    # The scales of the features.
-    values = (
-        F.least(F.lit(4.0), F.col("signals") * 2 * 100 / words / 3),
-        F.when(n >= 3, F.greatest(F.lit(0.0), 1 - cv / 0.6)).otherwise(0.3),
-        F.when(n > 0, F.exp(-F.pow((total / n - 19) / 7, F.lit(2)))).otherwise(0.0),
-        F.least(F.lit(3.0), F.col("clerical") * 100 / words / 2),
-        F.when(n >= 3, F.greatest(F.lit(0.0), 1 - F.col("rare") / n / 0.5)).otherwise(0.3),
-        F.when(sentences >= 3, 1 - F.size(F.array_distinct("o")) / sentences).otherwise(0.0),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (0.85 - F.coalesce("mattr", F.lit(0.8))) / 0.2)),
-    )
-    return rows.select("doc_id", "n_chars", *(T.rounded(v, 6).alias(name) for v, name in zip(values, NAMES)))
+    return fragments.measured(fragments.fragments(_paragraphs(spark, sf_dir)), RARE, D.count(text, "важно|кроме того|однако"), D.count(text, "повышение|реализации|деятельности"))
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return fragments.features(_fragments(spark, sf_dir), "doc_id", "fragment")
 
 
 def _probability():
     return T.rounded(T.sigmoid(F.lit(BIAS) + sum((w * F.col(x) for w, x in zip(WEIGHTS, NAMES)), F.lit(0.0))), 6)
 
 
+def fragment_spans(spark, sf_dir):
+    """Where the fragments of every text are."""
+    return fragments.fragments(_paragraphs(spark, sf_dir)).select("doc_id", F.col("fragment").cast("long").alias("fragment"), "start", "end", "line", "end_line", "n_words", F.length("text").cast("long").alias("n_chars"))
+
+
 def fragment_measures(spark, sf_dir):
-    return _fragments(spark, sf_dir).select("doc_id", F.size("w").cast("long").alias("n_words"), F.col("n").cast("long").alias("n_sentences"), "rare", "signals", "clerical", "mattr")
+    return _fragments(spark, sf_dir).select("doc_id", "fragment", F.size("w").cast("long").alias("n_words"), F.col("n").cast("long").alias("n_sentences"), "rare", "signals", "clerical", "mattr")
 
 
 def fragment_features(spark, sf_dir):
-    return _features(_fragments(spark, sf_dir)).drop("n_chars")
+    return _features(spark, sf_dir).drop("n_chars")
 
 
 def fragment_zone(spark, sf_dir):
     p = F.col("p")
-    return _features(_fragments(spark, sf_dir)).select("doc_id", _probability().alias("p")).select("doc_id", p.alias("probability"), F.when(p >= LIMIT, "red").when(p >= LIMIT - 0.1, "yellow").otherwise("green").alias("zone"))
+    return _features(spark, sf_dir).select("doc_id", "fragment", _probability().alias("p")).select("doc_id", "fragment", p.alias("probability"), F.when(p >= LIMIT, "red").when(p >= LIMIT - 0.1, "yellow").otherwise("green").alias("zone"))
 
 
 def fragment_reasons(spark, sf_dir):
     """The three largest contributions above a half, largest first."""
     each = F.array(*(F.struct((-T.rounded(w * F.col(x), 6)).alias("c"), F.lit(x).alias("name")) for w, x in zip(WEIGHTS, NAMES)))
     top = F.slice(F.array_sort(F.filter(each, lambda x: x["c"] < -0.5)), 1, 3)
-    return _features(_fragments(spark, sf_dir)).select("doc_id", F.array_join(F.transform(top, lambda x: x["name"]), ",").alias("reasons"))
+    return _features(spark, sf_dir).select("doc_id", "fragment", F.array_join(F.transform(top, lambda x: x["name"]), ",").alias("reasons"))
+
+
+def fragment_explained(spark, sf_dir):
+    """Contributions, single goals and the joint plan of every fragment that isn't green."""
+    rows = fragments.explained(_features(spark, sf_dir), "doc_id", "fragment").where("excess > 0")
+    return rows.select("doc_id", "fragment", "logit", "excess", "reachable", F.explode("steps").alias("s")).select("doc_id", "fragment", "logit", "excess", "reachable", "s.*")
 
 
 def ai_share(spark, sf_dir):
-    rows = _features(_fragments(spark, sf_dir)).select("doc_id", "n_chars", _probability().alias("p"))
+    rows = _features(spark, sf_dir).select("doc_id", "n_chars", _probability().alias("p"))
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "source")
     per = rows.join(docs, "doc_id").groupBy("source").agg(F.sum(F.when(F.col("p") >= LIMIT, F.col("n_chars")).otherwise(0)).alias("a"), F.sum("n_chars").alias("b"))
     return per.select("source", evaluation.share(100 * F.col("a"), F.col("b"), 4).alias("share"))
@@ -215,7 +213,7 @@ def v_units(spark, sf_dir):
     return both.select("doc_id", "number", F.array_join("before", ",").alias("was"), F.array_join("after", ",").alias("now"))
 
 
-QUERIES = {f.__name__: f for f in (tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
+QUERIES = {f.__name__: f for f in (tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_spans, fragment_explained, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
 QUERIES |= {"v_claims": _growth(CLAIMS, True), "v_hedges": _growth(HEDGES, False)} | {f"dictionary_{m}": _hits(m) for m in MODES}
 
 _LOW = f"list_transform({WORDS}, lambda x: lower(x))"
@@ -244,17 +242,45 @@ def _hits_sql(mode: str) -> str:
     return f"WITH n AS (SELECT doc_id, len({WORDS}) AS n_words FROM ({MARKED_SQL})){ranges} " + " UNION ALL ".join(f"({p})" for p in parts)
 
 
-_FRAGMENT = f"""SELECT doc_id, {_LOW} AS w, list_filter(list_transform({_SENT}, lambda s: len({WORDS.replace('text,', 's,')})), lambda n: n >= 2) AS z, list_transform({_SENT}, lambda s: lower({WORDS.replace('text,', 's,')}[1])) AS o,
-  CAST(len(regexp_extract_all(text, {_lit(RARE)})) AS BIGINT) AS rare, {_COUNT('важно|кроме того|однако')} AS signals, {_COUNT('повышение|реализации|деятельности')} AS clerical, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM ({MARKED_SQL})"""
-_MEASURED = f"""WITH f AS ({_FRAGMENT}), u AS (SELECT doc_id, {HALF_UP("sum(u) / (50 * any_value(m))", 6)} AS mattr FROM (SELECT doc_id, len(w) - 49 AS m, len(list_distinct(w[k : k + 49])) AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM f)) GROUP BY doc_id)
-  SELECT f.*, mattr, len(z) AS n, coalesce(list_sum(z), 0) AS t, coalesce(list_sum(list_transform(z, lambda x: x * x)), 0) AS q, greatest(len(w), 1) AS m FROM f LEFT JOIN u USING (doc_id)"""
+_HALF = fragments.LEAST_WORDS // 2
+_WORDS_OF = lambda x: f"len({WORDS.replace('text,', x + ',')})"
+_PARAGRAPHS = f"SELECT doc_id, regexp_replace(text, '([.!?]) ', '\\1' || chr(10) || chr(10), 'g') AS text FROM ({MARKED_SQL})"
+#: blocks of every text in order, then a fold over them: the number of the fragment and the words it has so far
+_PACKED = rf"""b AS (
+  SELECT doc_id, t, i, s[i] AS block, CAST(length(array_to_string(s[1:i - 1], '')) + length(array_to_string(g[1:i - 1], '')) AS BIGINT) AS start, CASE {' '.join(f"WHEN regexp_matches(s[i], {_lit(p)}) THEN {_lit(k)}" for k, p in fragments.KINDS.items())} ELSE 'prose' END AS kind
+  FROM (SELECT doc_id, t, s, g, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, text AS t, string_split_regex(text, {_lit(fragments.BLOCK)}) AS s, regexp_extract_all(text, {_lit(fragments.BLOCK)}) AS g FROM ({_PARAGRAPHS})))
+), k AS MATERIALIZED (SELECT *, {_WORDS_OF('block')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM b WHERE regexp_matches(block, '\S')),
+fold AS (
+  SELECT doc_id, 0 AS r, 0 AS part, 0 AS held, false AS full, 0 AS following FROM (SELECT DISTINCT doc_id FROM k)
+  UNION ALL
+  SELECT doc_id, k.r, f.following, CASE WHEN kind IN ('prose', 'list') THEN held + w ELSE held END * CASE WHEN closes THEN 0 ELSE 1 END, closes, CASE WHEN closes THEN f.following + 1 ELSE f.following END
+  FROM (SELECT k.*, f.held, f.following, (kind IN ('prose', 'list') AND held + w >= {fragments.LEAST_WORDS}) OR (kind = 'heading' AND held >= {_HALF} AND held > 0) AS closes FROM fold f JOIN k ON k.doc_id = f.doc_id AND k.r = f.r + 1) k JOIN (SELECT 0) ON true, LATERAL (SELECT k.following) f(following)
+), q AS (SELECT k.*, f.part, max(f.part) OVER (PARTITION BY k.doc_id) AS last, sum(k.w) OVER (PARTITION BY k.doc_id, f.part) AS total FROM k JOIN fold f USING (doc_id, r) WHERE kind IN ('prose', 'list')),
+fragments AS (
+  SELECT doc_id, CAST(part AS BIGINT) AS fragment, min(start) AS start, max(start + length(block)) AS z, CAST(sum(w) AS BIGINT) AS n_words, string_agg(block, chr(10) || chr(10) ORDER BY i) AS text, any_value(t) AS t
+  FROM (SELECT doc_id, t, i, block, start, w, CASE WHEN part = last AND total < {_HALF} AND last > 0 THEN part - 1 ELSE part END AS part FROM q) GROUP BY doc_id, part
+)"""
+_FRAGMENTS = f"(WITH RECURSIVE {_PACKED} SELECT doc_id, fragment, text FROM fragments)"
+_FRAGMENT = f"""SELECT doc_id, fragment, {_LOW} AS w, list_filter(list_transform({_SENT}, lambda s: len({WORDS.replace('text,', 's,')})), lambda n: n >= 2) AS z, list_transform({_SENT}, lambda s: lower({WORDS.replace('text,', 's,')}[1])) AS o,
+  CAST(len(regexp_extract_all(text, {_lit(RARE)})) AS BIGINT) AS rare, {_COUNT('важно|кроме того|однако')} AS signals, {_COUNT('повышение|реализации|деятельности')} AS clerical, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM {_FRAGMENTS}"""
+_MEASURED = f"""WITH f AS MATERIALIZED ({_FRAGMENT}), u AS (SELECT doc_id, fragment, {HALF_UP("sum(u) / (50 * any_value(m))", 6)} AS mattr FROM (SELECT doc_id, fragment, len(w) - 49 AS m, len(list_distinct(w[k : k + 49])) AS u FROM (SELECT doc_id, fragment, w, unnest(range(1, len(w) - 48)) AS k FROM f)) GROUP BY doc_id, fragment)
+  SELECT f.*, mattr, len(z) AS n, coalesce(list_sum(z), 0) AS t, coalesce(list_sum(list_transform(z, lambda x: x * x)), 0) AS q, greatest(len(w), 1) AS m FROM f LEFT JOIN u USING (doc_id, fragment)"""
 _SQL_FEATURES = (
     "least(4.0, signals * 2 * 100 / m / 3)", "CASE WHEN n >= 3 THEN greatest(0.0, 1 - sqrt(greatest(0.0, (q - t * t / n) / (n - 1))) / (t / n) / 0.6) ELSE 0.3 END", "CASE WHEN n > 0 THEN exp(-pow((t / n - 19) / 7, 2)) ELSE 0.0 END", "least(3.0, clerical * 100 / m / 2)",
     "CASE WHEN n >= 3 THEN greatest(0.0, 1 - rare / n / 0.5) ELSE 0.3 END", "CASE WHEN len(o) >= 3 THEN 1 - len(list_distinct(o)) / len(o) ELSE 0.0 END", "greatest(0.0, least(1.0, (CAST(0.85 AS DOUBLE) - coalesce(mattr, CAST(0.8 AS DOUBLE))) / 0.2))",
 )
-_FEATURED = f"SELECT doc_id, n_chars, {', '.join(f'{HALF_UP(v, 6)} AS {x}' for v, x in zip(_SQL_FEATURES, NAMES))} FROM ({_MEASURED})"
+_FEATURED = f"SELECT doc_id, fragment, n_chars, {', '.join(f'{HALF_UP(v, 6)} AS {x}' for v, x in zip(_SQL_FEATURES, NAMES))} FROM ({_MEASURED})"
 _Z = f"(CAST({BIAS} AS DOUBLE) + " + " + ".join(f"CAST({w} AS DOUBLE) * {x}" for w, x in zip(WEIGHTS, NAMES)) + ")"
-_P = f"SELECT doc_id, n_chars, {HALF_UP('1 / (1 + exp(-z))', 6)} AS p FROM (SELECT doc_id, n_chars, {_Z} AS z FROM ({_FEATURED}))"
+_P = f"SELECT doc_id, fragment, n_chars, {HALF_UP('1 / (1 + exp(-z))', 6)} AS p FROM (SELECT doc_id, fragment, n_chars, {_Z} AS z FROM ({_FEATURED}))"
+_GREEN = math.log((LIMIT - fragments.GREEN_MARGIN) / (1 - LIMIT + fragments.GREEN_MARGIN))
+_GIVE = "greatest(0.0, (p.value - p.floor) * p.weight)"
+_EXPLAINED = f"""WITH f AS MATERIALIZED ({_FEATURED}), l AS (SELECT *, {HALF_UP(f"logit - (CAST({_GREEN!r} AS DOUBLE))", 6)} AS excess FROM (SELECT *, {HALF_UP(_Z, 6)} AS logit FROM f)),
+  p AS (SELECT doc_id, fragment, logit, excess, unnest([{', '.join(f"{chr(123)}feature: {_lit(x)}, value: {x}, weight: CAST({w} AS DOUBLE), floor: CAST({fragments.FLOORS.get(x, 0.0)} AS DOUBLE){chr(125)}" for w, x in zip(WEIGHTS, NAMES))}]) AS p FROM l WHERE excess > 0),
+  s AS (SELECT *, {_GIVE} AS give FROM p WHERE p.value > 0),
+  t AS (SELECT *, coalesce(sum(give) FILTER (give >= {fragments.LEAST_STEP}) OVER w, 0) AS large, sum(give) OVER w AS whole FROM s WINDOW w AS (PARTITION BY doc_id, fragment)),
+  u AS (SELECT *, CASE WHEN large < excess THEN 0 ELSE {fragments.LEAST_STEP} END AS least, CASE WHEN large < excess THEN whole ELSE large END AS given, p.value - excess / p.weight AS goal FROM t)
+  SELECT doc_id, fragment, logit, excess, excess <= given AS reachable, p.feature AS feature, p.value AS value, {HALF_UP("p.weight * p.value", 6)} AS contribution, {HALF_UP("CASE WHEN goal > p.floor THEN least(goal, p.value) ELSE p.floor END", 3)} AS goal, goal > p.floor AS enough,
+    CASE WHEN given > 0 AND give > 0 AND give >= u.least THEN {HALF_UP("p.value - least(1.0, excess / given) * (p.value - p.floor)", 3)} END AS plan FROM u"""
 _TYPICAL = BIAS + sum(w * v for w, v in zip(WEIGHTS, (0.3, 0.3, 0.5, 0.2, 0.4, 0.1, 0.2)))
 _AFTER = "CASE doc_id % 5 WHEN 0 THEN replace(text, 'два', 'пять') WHEN 1 THEN text || ' очень важный март' WHEN 2 THEN replace(text, 'рублей', 'кг') WHEN 3 THEN replace(replace(text, 'вчера', ''), '«', '“') ELSE replace(replace(replace(text, '[1]', '[2]'), '| 1 |', '| 3 |'), '$a', '$c') END"
 _PAIRS = f"SELECT doc_id, text AS before, {_AFTER} AS after FROM ({MARKED_SQL})"
@@ -279,11 +305,13 @@ ORACLE_SQL = {
     "phrase3": f"SELECT doc_id, count(*) AS n_phrases, max(n) AS most FROM (SELECT doc_id, p, count(*) AS n FROM (SELECT doc_id, array_to_string(w[k : k + 2], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM (SELECT doc_id, {_LOW} AS w FROM ({MARKED_SQL})))) GROUP BY doc_id, p HAVING count(*) >= 2) GROUP BY doc_id",
     "idiolect": f"WITH f AS (SELECT doc_id, i AS idiom, CAST(strpos(lower(text), i) - 1 AS BIGINT) AS start FROM ({MARKED_SQL}), unnest([{', '.join(map(_lit, IDIOMS))}]) AS t(i)) SELECT doc_id, idiom, start FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM f WHERE start >= 0) WHERE c >= 2",
     "issues_deduped": f"WITH f AS ({_ALL}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, length(hit) DESC, kind) AS k FROM f) SELECT doc_id, kind, start, hit AS text FROM o WHERE NOT EXISTS (SELECT 1 FROM o e WHERE e.doc_id = o.doc_id AND e.k < o.k AND e.start + length(e.hit) >= o.start + length(o.hit) AND e.weight >= o.weight)",
-    "fragment_measures": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_sentences, rare, signals, clerical, mattr FROM ({_MEASURED})",
-    "fragment_features": f"SELECT doc_id, {', '.join(NAMES)} FROM ({_FEATURED})",
-    "fragment_zone": f"SELECT doc_id, p AS probability, CASE WHEN p >= 0.5 THEN 'red' WHEN p >= 0.4 THEN 'yellow' ELSE 'green' END AS zone FROM ({_P})",
-    "fragment_reasons": f"SELECT doc_id, array_to_string(list_transform(list_sort(list_filter([{', '.join(chr(123) + f'c: -{HALF_UP(f'CAST({w} AS DOUBLE) * {x}', 6)}, name: {_lit(x)}' + chr(125) for w, x in zip(WEIGHTS, NAMES))}], lambda y: y.c < -0.5))[1:3], lambda y: y.name), ',') AS reasons FROM ({_FEATURED})",
+    "fragment_measures": f"SELECT doc_id, fragment, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_sentences, rare, signals, clerical, mattr FROM ({_MEASURED})",
+    "fragment_features": f"SELECT doc_id, fragment, {', '.join(NAMES)} FROM ({_FEATURED})",
+    "fragment_zone": f"SELECT doc_id, fragment, p AS probability, CASE WHEN p >= 0.5 THEN 'red' WHEN p >= 0.4 THEN 'yellow' ELSE 'green' END AS zone FROM ({_P})",
+    "fragment_reasons": f"SELECT doc_id, fragment, array_to_string(list_transform(list_sort(list_filter([{', '.join(chr(123) + f'c: -{HALF_UP(f'CAST({w} AS DOUBLE) * {x}', 6)}, name: {_lit(x)}' + chr(125) for w, x in zip(WEIGHTS, NAMES))}], lambda y: y.c < -0.5))[1:3], lambda y: y.name), ',') AS reasons FROM ({_FEATURED})",
     "ai_share": f"SELECT source, CASE WHEN sum(n) <> 0 THEN {HALF_UP('100 * sum(CASE WHEN p >= 0.5 THEN n ELSE 0 END) / sum(n)', 4)} END AS share FROM (SELECT source, p, f.n_chars AS n FROM ({_P}) f JOIN documents USING (doc_id)) GROUP BY source",
+    "fragment_spans": f"WITH RECURSIVE {_PACKED} SELECT doc_id, fragment, start, z AS \"end\", CAST(length(regexp_replace(left(t, start), '[^\n]', '', 'g')) + 1 AS BIGINT) AS line, CAST(length(regexp_replace(left(t, z), '[^\n]', '', 'g')) + 1 AS BIGINT) AS end_line, n_words, CAST(length(text) AS BIGINT) AS n_chars FROM fragments",
+    "fragment_explained": _EXPLAINED,
     "typical_prose": f"SELECT lang, count(*) AS n, {HALF_UP(f'1 / (1 + exp(-CAST({_TYPICAL!r} AS DOUBLE)))', 6)} AS probability FROM documents GROUP BY lang",
     "interval_union": f"""WITH s AS (SELECT doc_id, start AS a, start + length(hit) AS z FROM ({_UNION})), m AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s)
       SELECT doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, coalesce(runs, 0) AS runs FROM documents LEFT JOIN (SELECT doc_id, sum(greatest(0, z - greatest(a, coalesce(e, 0)))) AS covered, count(*) FILTER (e IS NULL OR a > e) AS runs FROM m GROUP BY doc_id) USING (doc_id)""",
