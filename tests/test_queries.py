@@ -20,7 +20,7 @@ def rows(names, values):
     return sorted(tuple(show(v[k]) for k in order) for v in values)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     got = rows(df.columns, map(tuple, df.collect()))
@@ -33,6 +33,21 @@ def test_query(spark, sf, name):
     assert sorted(names) == sorted(df.columns) and got == want and got
 
 
+def test_queries_without_sql(spark, sf):
+    """Their operators have tests of their own; here only that every query runs over its table and what it must agree in."""
+    assert {*QUERIES} - {*ORACLE_SQL} == {"marked_ranges", "marked_fragments", "v_unedited", "calibration_samples", "calibration_fit", "calibration_transfer"}
+    marked = QUERIES["marked_fragments"](spark, sf).cache()
+    assert marked.count() == QUERIES["fragment_spans"](spark, sf).count() and marked.where("marked").count() > 0
+    assert marked.where("doc_id % 2 = 1 and marked").count() == 0
+    samples = QUERIES["calibration_samples"](spark, sf)
+    assert samples.where("y = 1").count() == marked.where("marked").count()
+    marked.unpersist()
+    assert QUERIES["marked_ranges"](spark, sf).where("start >= end").count() == 0
+    assert QUERIES["v_unedited"](spark, sf).where("similarity < 0.98").count() == 0
+    assert [r["name"] for r in QUERIES["calibration_fit"](spark, sf).collect()][::8] == ["bias", "threshold"]
+    assert QUERIES["calibration_transfer"](spark, sf).first()["documents"] > 10
+
+
 def test_plural_and_rounding(spark):
     r = spark.range(1).select(*(T.plural(F.lit(n), "a", "b", "c").alias(f"p{n}") for n in (1, 2, 5, 11, 21, 112)), T.rounded(F.lit(1.005), 2).alias("x")).first()
     assert [*r][:6] == ["a", "b", "c", "c", "a", "c"] and r["x"] == 1.0
