@@ -24,7 +24,7 @@ ENTRIES = [
     Entry("filler", "просто", "P2", ("chat",)), Entry("claim", "рост виден", "P1"), Entry("chatbot", "вот готовый вариант", "P0"), Entry("chat-wrapper", "вариант текста", "P0"),
     Entry("social", "без обмана", "P2", ("academic",)), Entry("idiolect", "новый взгляд", "P2"), Entry("idiolect", "полный обзор", "P2"), Entry("phrase3", "и ещё", "P2"),
 ]
-EXEMPT = "кроме того|решил* продолжить".replace("*", D.LETTERS)
+EXEMPT = ("кроме того", "решил* продолжить")
 MODES = ["general", "academic", "technical", "social", "chat"]
 TIER2 = ["the", "and", "thing", "und", "les"]
 TIER3 = ["tion", "ing", "able"]
@@ -44,11 +44,22 @@ def _n(x):
 
 def _hits(mode: str):
     def query(spark, sf_dir):
-        return D.dictionary_hits(_marked(spark, sf_dir), ENTRIES, mode, _n(F.col("text")), EXEMPT if mode == "academic" else None)
+        return D.dictionary_hits(_marked(spark, sf_dir), ENTRIES, mode, F.regexp_count("text", F.lit(T.WORD)), EXEMPT if mode == "academic" else ())
 
     return query
 
 
+#: entries by a rule: every two words of the first and the last list, near or far from a word of the other
+FIRST, LAST = "the and haus und les der une para pour some sans con mit del est".split(), "able ing tion ung ment ción tes ers ons ais ent ter ver".split()
+WIDE = [Entry("pair", f"{a} *{b}", near=(FIRST[(k + 1) % len(FIRST)],) if k % 3 == 0 else (), unless=(FIRST[(k + 2) % len(FIRST)],) if k % 3 == 1 else (), within=4 + k % 3) for k, a in enumerate(FIRST) for b in LAST]
+
+
+def dictionary_wide(spark, sf_dir):
+    """195 phrases with and without words beside them, in one walk over each text."""
+    found = D.dictionary_hits(_marked(spark, sf_dir), WIDE, "general", F.regexp_count("text", F.lit(T.WORD)))
+    return found.groupBy("phrase").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 def tier2_words(spark, sf_dir):
     """Documents with two or more different words of a list, with the first place of each in the text's words."""
     rows = _marked(spark, sf_dir).select("doc_id", F.transform(T.words(F.col("text")), F.lower).alias("w"))
@@ -213,7 +224,7 @@ def v_units(spark, sf_dir):
     return both.select("doc_id", "number", F.array_join("before", ",").alias("was"), F.array_join("after", ",").alias("now"))
 
 
-QUERIES = {f.__name__: f for f in (tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_spans, fragment_explained, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
+QUERIES = {f.__name__: f for f in (dictionary_wide, tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_spans, fragment_explained, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
 QUERIES |= {"v_claims": _growth(CLAIMS, True), "v_hedges": _growth(HEDGES, False)} | {f"dictionary_{m}": _hits(m) for m in MODES}
 
 _LOW = f"list_transform({WORDS}, lambda x: lower(x))"
@@ -238,7 +249,7 @@ def _hits_sql(mode: str) -> str:
         if least:
             one = f"SELECT o.* FROM ({one}) o JOIN n USING (doc_id) QUALIFY count(*) OVER (PARTITION BY doc_id) * 1000 >= n_words * {least}"
         parts.append(one)
-    ranges = f", x AS ({_places(MARKED_SQL, EXEMPT, '1 AS k', '(?i)')})" if exempt else ""
+    ranges = f", x AS ({_places(MARKED_SQL, "|".join(map(D.phrase, EXEMPT)), '1 AS k', '(?i)')})" if exempt else ""
     return f"WITH n AS (SELECT doc_id, len({WORDS}) AS n_words FROM ({MARKED_SQL})){ranges} " + " UNION ALL ".join(f"({p})" for p in parts)
 
 
@@ -299,7 +310,14 @@ def _unit_sql(x: str) -> str:
     return f"SELECT doc_id, number, list_sort(list_distinct(list(u))) AS {x} FROM (SELECT doc_id, unnest(regexp_extract_all({x}, {_lit(_UNIT)}, 1)) AS number, unnest(regexp_extract_all({x}, {_lit(_UNIT)}, 2)) AS u FROM ({_PAIRS})) GROUP BY doc_id, number"
 
 
+#: words with their places; a hit is two words with blanks between, and the words beside it are counted in a window of its own
+_WIDE = f"""WITH e(phrase, a, b, near, unless, within) AS (VALUES {', '.join(f"({_lit(e.text)}, {_lit(e.text.split()[0])}, {_lit(e.text.split('*')[1])}, {_lit(e.near[0]) if e.near else 'NULL'}, {_lit(e.unless[0]) if e.unless else 'NULL'}, {e.within})" for e in WIDE)}),
+w AS MATERIALIZED (SELECT doc_id, i, lower(x[i]) AS w, regexp_full_match(x[i], '\\p{{L}}+') AS letters, regexp_full_match(g[i + 1], '[ \\t\\n ]+') AS blank FROM (SELECT doc_id, x, g, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS x, string_split_regex(text, '[\\p{{L}}\\p{{N}}_]+') AS g FROM ({MARKED_SQL})))),
+h AS (SELECT w.doc_id, w.i, e.* FROM w JOIN w v ON v.doc_id = w.doc_id AND v.i = w.i + 1 AND w.blank JOIN e ON e.a = w.w AND ends_with(v.w, e.b) AND v.letters),
+beside AS (SELECT h.doc_id, h.i, h.phrase, bool_or(x.w = h.near) AS has_near, bool_or(x.w = h.unless) AS has_unless FROM h LEFT JOIN w x ON x.doc_id = h.doc_id AND x.i BETWEEN h.i - h.within AND h.i + 1 + h.within AND x.i NOT IN (h.i, h.i + 1) GROUP BY ALL)
+SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM h JOIN beside USING (doc_id, i, phrase) WHERE (near IS NULL OR has_near) AND (unless IS NULL OR NOT coalesce(has_unless, false)) GROUP BY phrase"""
 ORACLE_SQL = {
+    "dictionary_wide": _WIDE,
     "tier2_words": f"SELECT doc_id, CAST(len(f) AS BIGINT) AS n_words, CAST(list_min(f) AS BIGINT) AS first FROM (SELECT doc_id, list_filter(list_transform([{', '.join(map(_lit, TIER2))}], lambda x: list_position(w, x)), lambda p: p > 0) AS f FROM (SELECT doc_id, {_LOW} AS w FROM ({MARKED_SQL}))) WHERE len(f) >= 2",
     "tier3_density": f"SELECT * FROM (SELECT doc_id, {' + '.join(_COUNT(x + TAIL) for x in TIER3)} AS n_hits, CAST(len({WORDS}) AS BIGINT) AS n_words FROM ({MARKED_SQL})) WHERE n_words >= 150 AND n_hits * 100 >= n_words * 3",
     "phrase3": f"SELECT doc_id, count(*) AS n_phrases, max(n) AS most FROM (SELECT doc_id, p, count(*) AS n FROM (SELECT doc_id, array_to_string(w[k : k + 2], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM (SELECT doc_id, {_LOW} AS w FROM ({MARKED_SQL})))) GROUP BY doc_id, p HAVING count(*) >= 2) GROUP BY doc_id",

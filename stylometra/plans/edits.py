@@ -84,7 +84,8 @@ _UNIT_NAMES = [*E.UNIT_ABBREVIATIONS, *(f for some in E.UNIT_FORMS.values() for
 _UNIT = lambda w: "CASE " + " ".join(f"WHEN {w} = {_lit(k)} THEN {_lit(v)}" for k, v in E.UNIT_ABBREVIATIONS.items()) + " " + " ".join(f"WHEN {w} IN {_list(v)} THEN {_lit(k)}" for k, v in E.UNIT_FORMS.items()) + " " + " ".join(f"WHEN starts_with({w}, {_lit(s)}) THEN {_lit(s)}" for s in E.UNIT_STEMS) + " END"
 _LEAD = r"(^|\n)[^\p{L}\p{N}\n]*(?:[0-9]{1,3}[.)][^\p{L}\p{N}\n]*)?"
 #: RE2 has no look-around: the end of a run of digits gets a mark of its own, and parts end at marks
-_DIGITS = r"(?:[0-9]{1,3}(?:~[   ][0-9]{3})+~|[0-9]+~)(?:[.,][0-9]+~)*".replace("~", "\x1f")
+_SPACES = r"\x{00A0}\x{202F}"  # besides plain blanks
+_DIGITS = r"(?:[0-9]{1,3}(?:~[ @][0-9]{3})+~|[0-9]+~)(?:[.,][0-9]+~)*".replace("~", "\x1f").replace("@", _SPACES)
 _NUMBERS = rf"(?:^|[^\p{{L}}\p{{N}}.,])({_DIGITS})"
 _CUT = "text"
 for _pattern, _by in ((_LEAD, r"\1"), (r"[.!?…]+(\s|$)", "\x1e" + r"\1"), (r"[;\n]", "\x1e"), (r",([^0-9]|$)", "\x1e" + r"\1"), (r"(?i)\s(?:и|а|но|или)\s", "\x1e")):
@@ -95,8 +96,8 @@ _SWAPS = rf"""WITH RECURSIVE {_BOTH}, pieces AS (
   SELECT doc_id, side, i, piece, list_transform(regexp_extract_all(regexp_replace(piece, '([0-9])([^0-9]|$)', '\1' || chr(31) || '\2', 'g'), {_lit(_NUMBERS)}, 1), lambda x: replace(x, chr(31), '')) AS numbers
   FROM (SELECT doc_id, side, unnest(s) AS piece, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, side, string_split({_CUT}, chr(30)) AS s FROM sides))
 ), keyed AS (
-  SELECT doc_id, side, i, regexp_replace(regexp_extract(piece, '(?s)[\p{{L}}\p{{N}}](?:.*[\p{{L}}\p{{N}}])?'), '[\s  ]+', ' ', 'g') AS part, regexp_replace(numbers[1], '[\s  ]+', ' ', 'g') AS number,
-    list_transform(numbers, lambda x: replace(regexp_replace(x, '[\s  ]+', '', 'g'), ',', '.')) AS keys, list_filter(list_transform(regexp_extract_all(piece, '\p{{L}}+'), lambda x: lower(x)), lambda x: {_ANCHOR}) AS words
+  SELECT doc_id, side, i, regexp_replace(regexp_extract(piece, '(?s)[\p{{L}}\p{{N}}](?:.*[\p{{L}}\p{{N}}])?'), '[\s{_SPACES}]+', ' ', 'g') AS part, regexp_replace(numbers[1], '[\s{_SPACES}]+', ' ', 'g') AS number,
+    list_transform(numbers, lambda x: replace(regexp_replace(x, '[\s{_SPACES}]+', '', 'g'), ',', '.')) AS keys, list_filter(list_transform(regexp_extract_all(piece, '\p{{L}}+'), lambda x: lower(x)), lambda x: {_ANCHOR}) AS words
   FROM pieces WHERE len(numbers) > 0
 ), counts AS (SELECT doc_id, side, k, count(*) AS n FROM (SELECT doc_id, side, unnest(keys) AS k FROM keyed) GROUP BY ALL),
 lone AS (SELECT keyed.*, keys[1] AS k FROM keyed JOIN counts c USING (doc_id, side) WHERE len(keys) = 1 AND c.k = keys[1] AND c.n = 1),
