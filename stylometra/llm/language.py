@@ -7,14 +7,17 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .shared import grouped, prepare, table, trimmed
 
 #: words of a block of a chain; bits of features' hashes, hash buckets
 BLOCK, BITS = 64, 16
 BUCKETS = 1 << BITS
-#: the sample to learn from: languages (those with most documents), documents and words of each, characters of a document
-LANGUAGES, PER_LANGUAGE, WORDS, CHARACTERS = 100, 240, 24_000, 50_000
+#: the sample to learn from: documents and words of each language, characters of a document
+PER_LANGUAGE, WORDS, CHARACTERS = 240, 24_000, 50_000
+#: more languages than this are an error: weights for each feature and language wouldn't fit a task
+MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 
 
@@ -207,15 +210,18 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
     """At most per_language labelled texts of each language whose ids' crc32 is no multiple of 5.
 
     A language's ids are hashed into per_language classes and the smallest hash of each is taken, with partial
-    aggregates only; then the texts of those ids are read. Only the model is learned from these, at most LANGUAGES
-    languages (those with most documents), and of each at most WORDS words in the first CHARACTERS of its texts.
+    aggregates only; then the texts of those ids are read. Every language is learned; only the texts of each are bounded:
+    WORDS words in the first CHARACTERS of its texts, and texts beyond them don't leave Spark.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(f"t is not null and l is not null and pmod(crc32(cast(cast(i as string) as binary)), 5) != 0").withColumn("h", F.xxhash64("i"))  # noqa: F541
-    names = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    rows = rows.where(F.col("l").isin(names))
     chosen = rows.groupBy("l", F.pmod("h", F.lit(per_language)).alias("c")).agg(F.min("h").alias("h")).select("l", "h")
-    found = rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.left("t", F.lit(CHARACTERS))).alias("t")).orderBy("l", "h").collect()
+    languages = rows.select("l").distinct().count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has {languages} values, more than {MOST_LANGUAGES}: no column of languages")
+    each = rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.left("t", F.lit(CHARACTERS))).alias("t"))
+    before = F.sum(F.regexp_count("t", F.lit(r"\S*\p{L}\S*"))).over(W.partitionBy("l").orderBy("h").rowsBetween(W.unboundedPreceding, -1))
+    found = each.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < WORDS).select("l", "h", "t").orderBy("l", "h").collect()
     return [(r["t"], r["l"]) for r in found]
 
 

@@ -11,8 +11,6 @@ from pyspark.sql.window import Window as W
 from .shared import table
 
 END = "<|end|>\n"
-#: turns of a pair that are one row; longer pairs go on in further rows, of half as many turns of either side
-TURNS = 8192
 FIRST = -(2**63)
 SPANS = "array<struct<start:bigint,length:bigint>>"
 
@@ -44,7 +42,19 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def format_preferences(turns: DataFrame, keys: Sequence[str] = ("pair_id",), most: int = TURNS) -> DataFrame:
+def _long_pairs(sized: DataFrame, keys: Sequence[str], most: int, of) -> DataFrame:
+    """Pairs of more than `most` turns in parts: keys, part_no, a, b and the turns of the part that are common."""
+    place = F.row_number().over(W.partitionBy(*keys, "side").orderBy("turn", "role", "text")) - 1
+    placed = sized.withColumn("place", place)
+    equal = (F.count("*") == 2) & (F.min("role") == F.max("role")) & (F.min("text") == F.max("text"))
+    differ = placed.groupBy(*keys, "place").agg(equal.alias("same")).where("not same").groupBy(*keys).agg(F.min("place").alias("differ"))
+    part = F.floor(F.col("place") / max(1, most // 2)).cast("long")
+    parts = placed.withColumn("part_no", part).groupBy(*keys, "part_no").agg(of("chosen").alias("a"), of("rejected").alias("b")).join(differ, [*keys], "left")
+    size = F.greatest(F.size("a"), F.size("b"))
+    return parts.select(*keys, "part_no", "a", "b", F.greatest(F.lit(0), F.least(size, F.coalesce(F.col("differ") - F.col("part_no") * max(1, most // 2), size))).cast("int").alias("n"))
+
+
+def format_preferences(turns: DataFrame, keys: Sequence[str] = ("pair_id",), most: int | None = None) -> DataFrame:
     """One row per preference pair: keys, part_no, prompt, chosen, rejected, chosen_loss, rejected_loss.
 
     turns: keys, side ('chosen' or 'rejected'), turn, role, text; other columns are ignored. keys name a pair; the last
@@ -53,27 +63,20 @@ def format_preferences(turns: DataFrame, keys: Sequence[str] = ("pair_id",), mos
     rendered once; chosen and rejected are what follows, and of either completion the loss spans (start and length in
     its characters) are the texts and end marks of assistant turns; nothing of the prompt bears loss.
 
-    A pair of more than `most` turns isn't gathered: its turns are numbered by a window that spills, and its strings go
-    on in rows part_no 1, 2, ..., to be joined in that order; spans count in their own row. Null text or role: empty.
+    Every pair is one row with part_no 0, whatever its turns. Only where `most` is given, a pair of more turns isn't
+    gathered: its turns are numbered by a window that spills, and its strings go on in rows part_no 1, 2, ..., of half as
+    many turns of either side, to be joined in that order; spans count in their own row. Null text or role: empty.
     Null turn: before all others. Rows without pair or with another side are left out. Repeated rows are turns of their
     own. A pair with one side only has no prompt. An empty table: no rows.
     """
     rows = turns.where(F.col("side").isin("chosen", "rejected")).dropna(subset=[*keys]).select(
         *keys, "side", F.coalesce(F.col("turn").cast("long"), F.lit(FIRST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    sized = rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
     of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "role", "text"))))
-    short = sized.where(F.col("_n") <= most).groupBy(*keys).agg(of("chosen").alias("a"), of("rejected").alias("b"))
+    sized = rows if most is None else rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    short = (rows if most is None else sized.where(F.col("_n") <= most)).groupBy(*keys).agg(of("chosen").alias("a"), of("rejected").alias("b"))
     short = short.select(*keys, F.lit(0).cast("long").alias("part_no"), "a", "b", common_turns(F.col("a"), F.col("b")).alias("n"))
-    place = F.row_number().over(W.partitionBy(*keys, "side").orderBy("turn", "role", "text")) - 1
-    placed = sized.where(F.col("_n") > most).withColumn("place", place)
-    equal = (F.count("*") == 2) & (F.min("role") == F.max("role")) & (F.min("text") == F.max("text"))
-    differ = placed.groupBy(*keys, "place").agg(equal.alias("same")).where("not same").groupBy(*keys).agg(F.min("place").alias("differ"))
-    part = F.floor(F.col("place") / max(1, most // 2)).cast("long")
-    parts = placed.withColumn("part_no", part).groupBy(*keys, "part_no").agg(of("chosen").alias("a"), of("rejected").alias("b")).join(differ, [*keys], "left")
-    size = F.greatest(F.size("a"), F.size("b"))
-    long = parts.select(*keys, "part_no", "a", "b", F.greatest(F.lit(0), F.least(size, F.coalesce(F.col("differ") - F.col("part_no") * max(1, most // 2), size))).cast("int").alias("n"))
-    both = short.unionByName(long)
+    both = short if most is None else short.unionByName(_long_pairs(sized.where(F.col("_n") > most), keys, most, of))
     rest = lambda x: F.slice(x, F.col("n") + 1, F.greatest(F.size(x) - F.col("n"), F.lit(0)))
     cut = both.select(*keys, "part_no", F.slice("a", 1, F.col("n")).alias("p"), rest("a").alias("a"), rest("b").alias("b"))
     return cut.select(*keys, "part_no", rendered(F.col("p")).alias("prompt"), rendered(F.col("a")).alias("chosen"), rendered(F.col("b")).alias("rejected"), loss_spans(F.col("a")).alias("chosen_loss"), loss_spans(F.col("b")).alias("rejected_loss"))

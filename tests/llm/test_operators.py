@@ -158,6 +158,12 @@ def test_long_preferences_go_on_in_further_rows(spark):
             assert [x for r in some for x in cut(r)] == cut(whole[p])
 
 
+def test_a_pair_of_many_turns_is_one_row(spark):
+    rows = [(p, side, k, "assistant", f"t{k}" if k < 6000 * p or side == "chosen" else "u", "x", 0) for p in (1, 2) for side in ("chosen", "rejected") for k in range(10_000)]
+    got = {r["pair_id"]: r for r in format_preferences(turns(spark, rows)).collect()}
+    assert {p: (r["part_no"], r["prompt"].count("<|end|>"), len(r["chosen_loss"])) for p, r in got.items()} == {1: (0, 6000, 4000), 2: (0, 10_000, 0)}
+
+
 def test_preferences_sql(spark, sf):
     got = op1_preference_format(spark, sf).toPandas()
     c = duckdb.connect()
@@ -316,6 +322,18 @@ def test_sorted_suffixes():
 
 
 # 5
+def test_every_language_is_learned(spark):
+    """120 languages, the rarest with a single text; more text than its share doesn't leave Spark."""
+    word = lambda k, n: "".join(chr(0x430 + (k * 7 + n * (j + 1) + j * j) % 32) for j in range(3 + n % 4))
+    rows = [(1000 * k + i, " ".join(word(k, n) for n in range(40)), f"l{k:03d}", "s") for k in range(120) for i in range(1 + (k % 3) * 2) if zlib.crc32(str(1000 * k + i).encode()) % 5]
+    rows += [(10**6 + i, "длинный текст " * 4000, "long", "s") for i in range(200)]
+    some = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {lang for _, lang in some} == {r[2] for r in rows} and len(learn(some[:40]).labels) == len({lang for _, lang in some[:40]})
+    assert sum(len(t.split()) for t, lang in some if lang == "long") < 24_000 + 8000
+    with pytest.raises(ValueError, match="values"):
+        sample(spark.createDataFrame([(k, "a text", f"x{k}", "s") for k in range(3000)], "doc_id long, text string, lang string, source string"))
+
+
 def test_language(spark, docs, edge, empty):
     model = learn(sample(docs))
     got = predict(docs, model).withColumn("held", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).where("held").toPandas()
