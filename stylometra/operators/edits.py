@@ -39,7 +39,7 @@ UNIT_STEMS = (
 UNIT_FORMS = {"час": "час часа часов часу часам".split(), "день": "день дня дней дням днях".split(), "год": "год года годов году лет".split(), "сутки": "сутки суток".split()}
 # Where parts of a sentence end, and what a number is (groups of digits with blanks, decimals, dates).
 PARTS = r"(?iu)[.!?…]+(?=\s|$)|[;\n]|,(?![0-9])|\s(?:и|а|но|или)\s"
-NUMBER = r"(?<![\p{L}\p{N}.,])(?:[0-9]{1,3}(?:[   ][0-9]{3})+(?![0-9])|[0-9]+)(?:[.,][0-9]+)*"
+NUMBER = r"(?<![\p{L}\p{N}.,])(?:[0-9]{1,3}(?:[ \u00A0\u202F][0-9]{3})+(?![0-9])|[0-9]+)(?:[.,][0-9]+)*"
 NUMBER_UNIT = r"(?<![0-9.,])([0-9]+(?:[.,][0-9]+)?)\s?(%|₽|\$|€|\p{L}+)"
 # What may stand before the first word of a line, after an opening sign, and after the end of a sentence.
 LINE_LEAD = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:[0-9]{1,3}[.)][^\p{L}\p{N}\n]*)?"
@@ -93,9 +93,9 @@ def number_parts(text: Column) -> Column:
 
     def part(piece: Column) -> Column:
         found = F.regexp_extract_all(piece, F.lit(NUMBER), F.lit(0))
-        keys = F.transform(found, lambda x: F.replace(F.regexp_replace(x, r"[\s  ]+", ""), F.lit(","), F.lit(".")))
-        whole = F.regexp_replace(F.regexp_extract(piece, r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0), r"[\s  ]+", " ")
-        number = F.regexp_replace(F.get(found, F.lit(0)), r"[\s  ]+", " ")
+        keys = F.transform(found, lambda x: F.replace(F.regexp_replace(x, r"[\s\u00A0\u202F]+", ""), F.lit(","), F.lit(".")))
+        whole = F.regexp_replace(F.regexp_extract(piece, r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0), r"[\s\u00A0\u202F]+", " ")
+        number = F.regexp_replace(F.get(found, F.lit(0)), r"[\s\u00A0\u202F]+", " ")
         return F.struct(number.alias("number"), F.get(keys, F.lit(0)).alias("key"), F.filter(letters(piece), context_word).alias("words"), whole.alias("part"), keys.alias("keys"))
 
     return F.filter(F.transform(F.split(clean, PARTS), part), lambda x: F.size(x["keys"]) > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .rows import once
 
 
 def roc_auc(rows: DataFrame, keys: tuple[str, ...] = (), ranges: int = 4096) -> DataFrame:
@@ -137,6 +138,17 @@ def bag_difference(before: DataFrame, after: DataFrame, keys: list[str]) -> Data
     return out.select(*keys, F.when(F.col("d") > 0, "missing").otherwise("added").alias("side"), F.abs("d").cast("long").alias("surplus"))
 
 
+def bag_changes(rows: DataFrame, before: Column, after: Column, name: str, *keys: str) -> DataFrame:
+    """What either of two arrays of strings of a row has more of: keys, the part, side, surplus. Compared in the row: one
+    scan, no shuffle, and rows of one key stay apart. Null arrays count as empty ones."""
+    none = F.array().cast("array<string>")
+    rows = once(rows.select(*keys, F.coalesce(before, none).alias("_b"), F.coalesce(after, none).alias("_a")).where("size(_b) + size(_a) > 0"), _p=F.array_distinct(F.concat("_b", "_a")))
+    n = lambda c, p: F.size(F.filter(c, lambda x: x == p))
+    each = F.transform("_p", lambda p: F.struct(p.alias(name), (n("_b", p) - n("_a", p)).cast("long").alias("d")))
+    out = rows.select(*keys, F.explode(each).alias("x")).where("x.d != 0")
+    return out.select(*keys, f"x.{name}", F.when(F.col("x.d") > 0, "missing").otherwise("added").alias("side"), F.abs("x.d").alias("surplus"))
+
+
 def every_nth(rows: DataFrame, order: str, step: Column) -> DataFrame:
     """A systematic sample of rows whose running id is known: those at whole multiples of step."""
     return rows.where(F.floor((F.col(order) + 1) / step) > F.floor(F.col(order) / step))

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .rows import once
 
 # Kinds of lines by their first signs, in the order in which they are tried.
 LINES = {"empty": r"^\s*$", "heading": r"^#{1,6} ", "list": r"^\s*(?:[-*+]|[0-9]+[.)]) ", "quote": r"^>", "table": r"^\|"}
@@ -64,12 +65,18 @@ def clusters(found: DataFrame, kind: str, least: int) -> DataFrame:
     return per.where(F.col("n_rules") >= least)
 
 
-def lights(docs: DataFrame, found: DataFrame, red: list[str], yellow: list[str]) -> DataFrame:
-    """red if a finding of a red kind is there, else yellow likewise, else green; every document has a row."""
-    level = F.when(F.col("kind").isin(red), 2).when(F.col("kind").isin(yellow), 1).otherwise(0)
-    per = found.groupBy("doc_id").agg(F.max(level).alias("level"), F.count("*").alias("n"))
-    name = F.when(F.col("level") == 2, "red").when(F.col("level") == 1, "yellow").otherwise("green")
-    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", name.alias("light"), F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"))
+def n_findings(text: Column, rules: list[Rule]) -> Column:
+    """How many matches all rules have; 0 for a null text."""
+    return sum((F.coalesce(F.regexp_count(text, F.lit(r.pattern)), F.lit(0)) for r in rules), F.lit(0)).cast("long")
+
+
+def lights(docs: DataFrame, rules: list[Rule], red: list[str], yellow: list[str], text_col: str = "text") -> DataFrame:
+    """doc_id, light, n_findings: red if a rule of a red kind matches, else yellow likewise, else green. Every row has its
+    own; all in the row."""
+    text = F.col(text_col)
+    rows = once(docs.select("doc_id", text_col), _red=n_findings(text, [r for r in rules if r.kind in red]), _yellow=n_findings(text, [r for r in rules if r.kind in yellow and r.kind not in red]), _other=n_findings(text, [r for r in rules if r.kind not in {*red, *yellow}]))
+    name = F.when(F.col("_red") > 0, "red").when(F.col("_yellow") > 0, "yellow").otherwise("green")
+    return rows.select("doc_id", name.alias("light"), (F.col("_red") + F.col("_yellow") + F.col("_other")).alias("n_findings"))
 
 
 def line_kind(line: Column) -> Column:
@@ -80,12 +87,16 @@ def line_kind(line: Column) -> Column:
 
 
 def sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Runs of lines of one kind: doc_id, block, kind, first_line, n_lines, n_chars; empty lines only part them."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "s")).withColumn("kind", line_kind(F.col("s")))
-    order = W.partitionBy("doc_id").orderBy("pos")
-    began = lines.withColumn("new", F.coalesce((F.lag("kind").over(order) != F.col("kind")).cast("int"), F.lit(1)))
-    numbered = began.withColumn("run", F.sum("new").over(order)).where("kind != 'empty'")
-    return numbered.groupBy("doc_id", "run", "kind").agg(F.min("pos").cast("long").alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("s")).alias("n_chars")).drop("run")
+    """Runs of lines of one kind: doc_id, kind, first_line, n_lines, n_chars; empty lines only part them.
+
+    Borders between runs are found in the row, so rows of one id stay apart and nothing is shuffled."""
+    rows = once(docs.select("doc_id", F.split(F.col(text_col), "\n").alias("_l")), _k=F.transform("_l", line_kind))
+    borders = F.filter(F.transform("_k", lambda k, i: F.when((i == 0) | (F.get("_k", i - 1) != k), i)), lambda i: i.isNotNull())
+    rows = once(rows, _b=F.concat(borders, F.array(F.size("_k"))))
+    each = F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda b, j: F.struct(F.get("_k", b).alias("kind"), b.alias("a"), F.get("_b", j + 1).alias("z")))
+    rows = rows.where("_l is not null").select("doc_id", "_l", F.explode(F.filter(each, lambda x: x["kind"] != "empty")).alias("r"))
+    chars = F.aggregate(F.slice("_l", F.col("r.a") + 1, F.col("r.z") - F.col("r.a")), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return rows.select("doc_id", "r.kind", F.col("r.a").cast("long").alias("first_line"), (F.col("r.z") - F.col("r.a")).cast("long").alias("n_lines"), chars.alias("n_chars"))
 
 
 def shift_errors(scores: DataFrame, shifts: list[int], threshold: int) -> DataFrame:

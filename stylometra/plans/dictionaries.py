@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dictionary as D
-from ..operators import evaluation, fragments
+from ..operators import evaluation, fragments, intervals
 from ..operators.dictionary import Entry
 from ..operators.fragments import BIAS, LIMIT, NAMES, WEIGHTS
+from ..operators.rules import placed
 from ..sources import tables as S
 from .queries import HALF_UP, WORDS
 from .rules import _lit
@@ -26,6 +27,7 @@ ENTRIES = [
 ]
 EXEMPT = ("кроме того", "решил* продолжить")
 MODES = ["general", "academic", "technical", "social", "chat"]
+SPANS = (r"\p{L}{7,}", r"[0-9a-f]+ [a-z]+")
 TIER2 = ["the", "and", "thing", "und", "les"]
 TIER3 = ["tion", "ing", "able"]
 TAIL = r"(?:[^\p{L}\p{N}_]|$)"
@@ -90,7 +92,7 @@ def issues_deduped(spark, sf_dir):
     """Findings without those that another, earlier or longer one of at least their weight covers."""
     text = F.col("text")
     kinds = (("a", "чуж[а-я]+ слова|слова", 2), ("b", r"[а-яё]+ [а-яё]+", 1), ("c", r"[а-яё]{5,}", 2))
-    one = lambda name, p, w: F.transform(D.placed(text, p), lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), F.lit(w).alias("weight"), F.lit(name).alias("kind"), F.lit(name).alias("rule")))
+    one = lambda name, p, w: F.transform(placed(text, p), lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), F.lit(w).alias("weight"), F.lit(name).alias("kind"), F.lit(name).alias("rule")))
     rows = _marked(spark, sf_dir).select("doc_id", F.concat(*(one(*k) for k in kinds)).alias("f"))
     ordered, kept = D.without_contained(F.col("f"))
     return rows.select("doc_id", ordered.alias("_ordered")).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.kind", "x.start", "x.text")
@@ -162,7 +164,7 @@ def typical_prose(spark, sf_dir):
 def interval_union(spark, sf_dir):
     """Characters that the union of overlapping spans covers, and in how many maximal runs; merged in the row."""
     text = F.col("text")
-    ends = lambda p: F.transform(D.placed(text, p), lambda x: F.struct(x["start"].alias("a"), (x["start"] + F.length(x["text"])).alias("z")))
+    ends = lambda p: F.transform(placed(text, p), lambda x: F.struct(x["start"].alias("a"), (x["start"] + F.length(x["text"])).alias("z")))
     rows = _marked(spark, sf_dir).select("doc_id", F.array_sort(F.concat(ends(r"\p{L}+ \p{L}+"), ends("[а-яё]{4,}"), ends("[0-9]+"))).alias("s"))
     begin = F.struct(*(F.lit(0).cast("long").alias(x) for x in ("covered", "runs", "end")))
     step = lambda s, x: F.struct((s["covered"] + F.greatest(F.lit(0), x["z"] - F.greatest(x["a"], s["end"]))).alias("covered"), (s["runs"] + F.when((s["runs"] == 0) | (x["a"] > s["end"]), 1).otherwise(0)).cast("long").alias("runs"), F.greatest(s["end"], x["z"]).alias("end"))
@@ -170,6 +172,23 @@ def interval_union(spark, sf_dir):
     return out.select("doc_id", "u.covered", "u.runs")
 
 
+def _span_sets(spark, sf_dir) -> DataFrame:
+    """Two sets of spans of each text: words of seven letters and more, and every run of two words."""
+    ends = lambda p: F.transform(placed(F.col("text"), p), lambda x: F.struct(x["start"].alias("a"), (x["start"] + F.length(x["text"])).alias("z")))
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return docs.select("doc_id", "lang", ends(SPANS[0]).alias("p"), ends(SPANS[1]).alias("t"))
+
+
+def span_metrics(spark, sf_dir):
+    """Precision and recall by characters of one set of spans against the other, by language."""
+    return intervals.span_metrics(_span_sets(spark, sf_dir), "p", "t", "lang")
+
+
+def interval_algebra(spark, sf_dir):
+    """How much of each text's two sets of spans is shared, and how much only one has."""
+    return intervals.measured(_span_sets(spark, sf_dir), "p", "t").select("doc_id", "union", "both", "only_left", "only_right")
+
+
 def boundary_bins(spark, sf_dir):
     """Fragments of 200 characters by the share of them that marked lines (every second one) cover."""
     lines = S.table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long")).alias("l"))
@@ -224,7 +243,7 @@ def v_units(spark, sf_dir):
     return both.select("doc_id", "number", F.array_join("before", ",").alias("was"), F.array_join("after", ",").alias("now"))
 
 
-QUERIES = {f.__name__: f for f in (dictionary_wide, tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_spans, fragment_explained, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
+QUERIES = {f.__name__: f for f in (dictionary_wide, span_metrics, interval_algebra, tier2_words, tier3_density, phrase3, idiolect, issues_deduped, fragment_spans, fragment_explained, fragment_measures, fragment_features, fragment_zone, fragment_reasons, ai_share, typical_prose, interval_union, boundary_bins, v_numerals, v_months, v_units)}
 QUERIES |= {"v_claims": _growth(CLAIMS, True), "v_hedges": _growth(HEDGES, False)} | {f"dictionary_{m}": _hits(m) for m in MODES}
 
 _LOW = f"list_transform({WORDS}, lambda x: lower(x))"
@@ -316,7 +335,15 @@ w AS MATERIALIZED (SELECT doc_id, i, lower(x[i]) AS w, regexp_full_match(x[i], '
 h AS (SELECT w.doc_id, w.i, e.* FROM w JOIN w v ON v.doc_id = w.doc_id AND v.i = w.i + 1 AND w.blank JOIN e ON e.a = w.w AND ends_with(v.w, e.b) AND v.letters),
 beside AS (SELECT h.doc_id, h.i, h.phrase, bool_or(x.w = h.near) AS has_near, bool_or(x.w = h.unless) AS has_unless FROM h LEFT JOIN w x ON x.doc_id = h.doc_id AND x.i BETWEEN h.i - h.within AND h.i + 1 + h.within AND x.i NOT IN (h.i, h.i + 1) GROUP BY ALL)
 SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM h JOIN beside USING (doc_id, i, phrase) WHERE (near IS NULL OR has_near) AND (unless IS NULL OR NOT coalesce(has_unless, false)) GROUP BY phrase"""
+#: events of both sets, then depths between one event and the next
+_SWEPT = f"""WITH e AS (SELECT doc_id, pos, l, r FROM (SELECT doc_id, unnest([start, start + length(hit)]) AS pos, unnest([1, -1]) AS l, 0 AS r FROM ({_places('SELECT doc_id, text FROM documents', SPANS[0], '1 AS k')})
+  UNION ALL SELECT doc_id, unnest([start, start + length(hit)]), 0, unnest([1, -1]) FROM ({_places('SELECT doc_id, text FROM documents', SPANS[1], '1 AS k')}))),
+s AS (SELECT doc_id, lead(pos) OVER f - pos AS n, sum(l) OVER w > 0 AS l, sum(r) OVER w > 0 AS r FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pos, l, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY doc_id ORDER BY pos, l, r)),
+m AS (SELECT doc_id, lang, CAST(coalesce(sum(n) FILTER (l AND r), 0) AS BIGINT) AS b, CAST(coalesce(sum(n) FILTER (l AND NOT r), 0) AS BIGINT) AS x, CAST(coalesce(sum(n) FILTER (r AND NOT l), 0) AS BIGINT) AS y FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id, lang)"""
+_PR = "CASE WHEN b + x > 0 THEN b / (b + x) WHEN b + y = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN b + y > 0 THEN b / (b + y) WHEN b + x = 0 THEN 1.0 ELSE 0.0 END AS r"
 ORACLE_SQL = {
+    "interval_algebra": f"{_SWEPT} SELECT doc_id, b + x + y AS \"union\", b AS \"both\", x AS only_left, y AS only_right FROM m",
+    "span_metrics": f"{_SWEPT} SELECT lang, count(*) AS n, {HALF_UP('sum(b) / sum(b + x)', 6)} AS micro_precision, {HALF_UP('sum(b) / sum(b + y)', 6)} AS micro_recall, {HALF_UP('2 * sum(b) / sum(2 * b + x + y)', 6)} AS micro_f1, {HALF_UP('avg(p)', 6)} AS macro_precision, {HALF_UP('avg(r)', 6)} AS macro_recall, {HALF_UP('avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END)', 6)} AS macro_f1 FROM (SELECT *, {_PR} FROM m) GROUP BY lang",
     "dictionary_wide": _WIDE,
     "tier2_words": f"SELECT doc_id, CAST(len(f) AS BIGINT) AS n_words, CAST(list_min(f) AS BIGINT) AS first FROM (SELECT doc_id, list_filter(list_transform([{', '.join(map(_lit, TIER2))}], lambda x: list_position(w, x)), lambda p: p > 0) AS f FROM (SELECT doc_id, {_LOW} AS w FROM ({MARKED_SQL}))) WHERE len(f) >= 2",
     "tier3_density": f"SELECT * FROM (SELECT doc_id, {' + '.join(_COUNT(x + TAIL) for x in TIER3)} AS n_hits, CAST(len({WORDS}) AS BIGINT) AS n_words FROM ({MARKED_SQL})) WHERE n_words >= 150 AND n_hits * 100 >= n_words * 3",

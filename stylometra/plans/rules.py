@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from ..functions import text as T
 from ..operators import evaluation, rules
+from ..operators.rows import once
 from ..operators.rules import Rule
 from ..sources import tables as S
 
@@ -51,15 +52,15 @@ def _findings(spark, sf_dir) -> DataFrame:
 
 
 def _edited(spark, sf_dir) -> DataFrame:
-    """The texts after an edit: links cut, a number changed, a heading lowered, by doc_id."""
+    """before, and after an edit: links cut, a number changed, a heading lowered, by doc_id."""
     k, text = F.pmod("doc_id", F.lit(5)), F.col("text")
     after = F.when(k == 0, F.regexp_replace(text, URL, "")).when(k == 1, F.replace(text, F.lit("1"), F.lit("7"))).when(k == 2, F.regexp_replace(text, "# ", "## ")).otherwise(text)
-    return _marked(spark, sf_dir).select("doc_id", after.alias("text"))
+    return _marked(spark, sf_dir).select("doc_id", text.alias("before"), after.alias("after"))
 
 
 def _bags(spark, sf_dir, pattern: str, name: str) -> DataFrame:
-    each = lambda df: df.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(name))
-    return evaluation.bag_difference(each(_marked(spark, sf_dir)), each(_edited(spark, sf_dir)), ["doc_id", name])
+    found = lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return evaluation.bag_changes(_edited(spark, sf_dir), found("before"), found("after"), name, "doc_id")
 
 
 def issues(spark, sf_dir):
@@ -84,7 +85,7 @@ def hashtags(spark, sf_dir):
 
 
 def traffic_light(spark, sf_dir):
-    return rules.lights(_marked(spark, sf_dir), _findings(spark, sf_dir), RED, YELLOW)
+    return rules.lights(_marked(spark, sf_dir), RULES, RED, YELLOW)
 
 
 def mask_code(spark, sf_dir):
@@ -115,22 +116,22 @@ def v_code(spark, sf_dir):
 
 
 def v_headings(spark, sf_dir):
-    shape = F.array_join(F.regexp_extract_all("text", F.lit("(?:^|\n)(#{1,6}) "), F.lit(1)), " ")
-    before, after = (f(spark, sf_dir).select("doc_id", shape.alias(name)) for f, name in ((_marked, "before"), (_edited, "after")))
-    return before.join(after, "doc_id").where("before != after")
+    """Skeletons of headings, where an edit changed them."""
+    shape = lambda c: F.array_join(F.regexp_extract_all(c, F.lit("(?:^|\n)(#{1,6}) "), F.lit(1)), " ").alias(c)
+    return _edited(spark, sf_dir).select("doc_id", shape("before"), shape("after")).where("before != after")
 
 
 def v_yaml(spark, sf_dir):
-    header = F.regexp_extract("text", "^---\n(?:[^\n]*\n)*?---\n", 0)
-    before, after = (f(spark, sf_dir).select("doc_id", header.alias(name)) for f, name in ((_marked, "before"), (_edited, "after")))
-    return before.join(after, "doc_id").select("doc_id", F.col("before").eqNullSafe(F.col("after")).alias("same"), (F.col("before") != "").alias("has_header"))
+    """Whether an edit left the header of a text as it was."""
+    header = lambda c: F.regexp_extract(c, "^---\n(?:[^\n]*\n)*?---\n", 0)
+    return _edited(spark, sf_dir).select("doc_id", header("before").eqNullSafe(header("after")).alias("same"), (header("before") != "").alias("has_header"))
 
 
 def v_issue_growth(spark, sf_dir):
-    """Documents with more findings after the edit than before."""
-    before, after = (rules.findings(f(spark, sf_dir), RULES).groupBy("doc_id").agg(F.count("*").alias(name)) for f, name in ((_marked, "n_before"), (_edited, "n_after")))
-    both = before.join(after, "doc_id", "full").select("doc_id", F.coalesce("n_before", F.lit(0)).cast("long").alias("n_before"), F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
-    return both.withColumn("grown", F.col("n_after") > F.col("n_before"))
+    """Texts with findings before or after the edit, and whether they are more after it."""
+    n = lambda c: rules.n_findings(F.col(c), RULES)
+    both = once(_edited(spark, sf_dir), n_before=n("before"), n_after=n("after")).where("n_before + n_after > 0")
+    return both.select("doc_id", "n_before", "n_after", (F.col("n_after") > F.col("n_before")).alias("grown"))
 
 
 def bias_shift_grid(spark, sf_dir):
