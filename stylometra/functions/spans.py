@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def blanked(text: Column, pattern: str) -> Column:
     """text with all matches turned into blanks; line breaks and the length stay, so offsets keep their meaning."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gone = lambda i: F.coalesce(F.regexp_replace(F.get(hits, i), "[^\n]", " "), F.lit(""))
-    whole = F.array_join(F.transform(F.split(text, pattern, -1), lambda gap, i: F.concat(gap, gone(i))), "")
+    joined = lambda gap, hit: F.concat(gap, F.coalesce(F.regexp_replace(hit, "[^\n]", " "), F.lit("")))
+    whole = F.array_join(F.zip_with(F.split(text, pattern, -1), hits, joined), "")
     return F.when(text.rlike(pattern), whole).otherwise(text)
 
 

@@ -44,6 +44,9 @@ NUMBER_UNIT = r"(?<![0-9.,])([0-9]+(?:[.,][0-9]+)?)\s?(%|₽|\$|€|\p{L}+)"
 # What may stand before the first word of a line, after an opening sign, and after the end of a sentence.
 LINE_LEAD = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:[0-9]{1,3}[.)][^\p{L}\p{N}\n]*)?"
 STARTS = LINE_LEAD + r"|[:;(«„“\"][^\p{L}\p{N}\n]*|[.!?…]+[^\p{L}\p{N}\n]*"
+# Polite forms, and a vowel that other forms of a word lose.
+POLITE = "вы вас вам вами ваш ваша ваше ваши вашего вашей вашему вашим вашими ваших вашу вашем".split()
+FLEETING = r"\p{L}{2}[ео][бвгджзклмнпрстфхцчшщ]$"
 MARK = "\x1e"
 STRINGS = "array<string>"
 
@@ -231,3 +234,29 @@ def changed_units(pairs: DataFrame, before: str = "before", after: str = "after"
     units = lambda x: F.transform(x, lambda y: y["unit"])
     lost = F.filter("_u", lambda x: (F.size(x["b"]) > 0) & ~F.arrays_overlap(units(x["b"]), units(x["a"])))
     return rows.select(*pairs.columns, F.transform(lost, lambda x: F.struct(x["number"].alias("number"), F.get(x["b"], F.lit(0))["word"].alias("was"), F.get(x["a"], F.lit(0))["word"].alias("now"))).alias("units"))
+
+
+def new_names(pairs: DataFrame, before: str = "before", after: str = "after", prose: str | None = None) -> DataFrame:
+    """pairs with `names`: names, words of Latin letters and acronyms of the edited text (of `prose` where given, a text of
+    the same length) that the source has no form of, each once, in their order.
+
+    A capital at the start of a sentence or line says nothing, polite forms are no names, a vowel of the last syllable may be
+    lost in other forms, and an acronym may stand for words of the source that follow each other. Words that the
+    source has as they are leave by a set difference first, so forms are compared for new words only.
+    """
+    text = F.coalesce(F.col(prose or after), F.lit(""))
+    found = F.regexp_extract_all(F.regexp_replace(text, STARTS, "$0" + MARK), F.lit(rf"{MARK}?\p{{L}}+"), F.lit(0))
+    each = F.transform(found, lambda x: F.struct(F.ltrim(x, F.lit(MARK)).alias("word"), F.startswith(x, F.lit(MARK)).alias("at_start")))
+    name = lambda x: (F.length(x["word"]) >= 2) & (x["word"].rlike(r"\p{IsLatin}") | x["word"].rlike(r"^\p{Lu}{2}") | (x["word"].rlike(r"^\p{Lu}") & ~x["at_start"]))
+    rows = once(pairs, _w=letters(F.coalesce(F.col(before), F.lit(""))), _n=F.filter(each, name))
+    rows = once(rows, _s=F.array_distinct("_w"), _heads=F.array_join(F.transform("_w", lambda w: F.left(w, F.lit(1))), ""), _lower=F.transform("_n", lambda x: F.lower(x["word"])))
+    rows = once(rows, _new=F.array_except("_lower", F.concat("_s", F.array(*map(F.lit, POLITE)))))
+    forms = lambda w: F.when(w.rlike(FLEETING), F.concat(F.substr(w, F.lit(1), F.length(w) - 2), F.right(w, F.lit(1)))).otherwise(w)
+    rows = once(rows, _forms=F.array_distinct(F.when(F.size("_new") > 0, F.concat("_s", F.transform("_s", forms))).otherwise(F.array().cast(STRINGS))))
+    near = lambda w: F.exists("_forms", lambda o: (F.left(o, F.lit(2)) == F.left(w, F.lit(2))) & same_stem(w, o))
+    alias = lambda w: F.coalesce(F.array_contains("_s", F.when(w == "ai", "ии").when(w == "ии", "ai")), F.lit(False))
+    rows = once(rows, _left=F.filter("_new", lambda w: ~alias(w) & ~near(w)))
+    first = lambda w: F.get("_n", (F.array_position("_lower", w) - 1).cast("int"))["word"]
+    head = lambda x: F.lower(F.regexp_extract(x, r"^\p{Lu}{2,6}(?!\p{Lu})", 0))
+    spelt = lambda x: ~x.rlike(r"\p{IsLatin}") & (head(x) != "") & F.contains(F.col("_heads"), head(x))
+    return rows.select(*pairs.columns, F.filter(F.transform("_left", first), lambda x: ~spelt(x)).alias("names"))
