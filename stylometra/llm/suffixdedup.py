@@ -15,15 +15,17 @@ import hashlib
 from array import array
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, grouped, materialize, partitions, prepare, table, trimmed
+from .shared import discard, grouped, materialize, prepare, table, trimmed
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
 #: bytes of the input files for one bucket; bytes of texts whose anchors are found at once
 BUCKET, AT_ONCE = 10 << 20, 1 << 20
+#: tasks of a stage; where there are more buckets, a task takes several, one after the other
+TASKS = 20_000
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -179,7 +181,7 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
                     continue
                 text, _, _, _, hashes = anchors([t for _, t in fresh], length, gram)
                 bucket = bucket_of(hashes, buckets)
-                order = np.argsort(bucket.astype(np.uint16), kind="stable")
+                order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
                 name = np.array([n for n, _ in fresh], np.int64)[text[order]]
                 mark, bucket = mark_of(hashes)[order], bucket[order]
                 heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
@@ -224,7 +226,7 @@ def shared_anchors(rows: DataFrame, buckets: int, length: int, gram: int) -> Dat
                     x.append(y)
         yield from done()
 
-    dealt = rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = dealt_out(rows.mapInArrow(trimmed(cut), "bucket int, marks binary, nodes binary"), buckets, "bucket")
     return dealt.mapInArrow(trimmed(meet), "target int, nodes binary, counts binary, marks binary")
 
 
@@ -310,7 +312,7 @@ def candidates(rows: DataFrame, marks: DataFrame, buckets: int, length: int, gra
 
     schema = "target int, node long, twin long, doc long, text binary, nodes binary, counts binary, marks binary"
     packed = marks.selectExpr("target", "cast(null as long) node", "cast(null as long) twin", "cast(null as long) doc", "cast(null as binary) text", "nodes", "counts", "marks")
-    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(packed).repartition(buckets, "target")
+    all_ = rows.mapInArrow(trimmed(once), schema).unionByName(packed).repartition(min(buckets, TASKS), "target")
     windows = "kind int, place int, nodes binary, twins binary, docs binary, counts binary, starts binary, sizes binary, marks binary, data binary"
     return all_.sortWithinPartitions("target", F.col("node").asc_nulls_first()).mapInArrow(trimmed(join), windows)
 
@@ -400,8 +402,8 @@ def removals(found: DataFrame, buckets: int, length: int) -> DataFrame:
                     held.add(*one)
         yield from done()
 
-    dealt = found.where("kind = 0").select(F.col("place").alias("bucket"), "nodes", "twins", "docs", "counts", "starts", "sizes", "marks", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(sort), "target int, nodes binary, twins binary, counts binary, spans binary")
+    found = found.where("kind = 0").select(F.col("place").alias("bucket"), "nodes", "twins", "docs", "counts", "starts", "sizes", "marks", "data")
+    return dealt_out(found, buckets, "bucket").mapInArrow(trimmed(sort), "target int, nodes binary, twins binary, counts binary, spans binary")
 
 
 def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -415,10 +417,18 @@ def kept_spans(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets of about BUCKET bytes of what the files hold; small ones cost more, as induction goes by steps."""
+def bucket_count(df: DataFrame, text_col: str = "text") -> int:
+    """Buckets of about BUCKET bytes of what the files hold, or of the texts where Spark doesn't know their size; small
+    ones cost more, as induction goes by steps. Their number grows with the input; that of tasks ends at TASKS."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4, min(-(-size // BUCKET) if size < 1 << 60 else partitions(df.sparkSession), 60_000))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(4, min(-(-size // BUCKET), (1 << 31) - 1))
+
+
+def dealt_out(df: DataFrame, buckets: int, key: str, *order: Column) -> DataFrame:
+    """Rows of a bucket in one task and next to each other."""
+    return df.repartition(min(buckets, TASKS), key).sortWithinPartitions(key, *order)
 
 
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,7 +441,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     texts are told apart by id. Other columns are ignored. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
-    buckets = bucket_count(df)
+    buckets = bucket_count(df, text_col)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
     names = {"node": F.xxhash64("text"), "twin": F.xxhash64(F.lit(1), F.octet_length("text"), "text")}
@@ -474,7 +484,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     none = F.lit(None).cast("binary")
     text_rows = found.where("kind = 1").select(F.col("place").alias("target"), "data", "sizes", "nodes", "twins", none.alias("counts"), none.alias("spans"))
     span_rows = gone.select("target", none.alias("data"), none.alias("sizes"), "nodes", "twins", "counts", "spans")
-    both = span_rows.unionByName(text_rows).repartition(buckets, "target").sortWithinPartitions("target", F.col("data").isNotNull())
+    both = dealt_out(span_rows.unionByName(text_rows), buckets, "target", F.col("data").isNotNull())
     marked = both.mapInArrow(trimmed(apply), "node long, twin long, spans array<struct<start:bigint,end:bigint>>, kept string")
     marked, fourth = materialize(marked, "marked")
     low = named.groupBy("node", "twin").agg(F.min("doc").alias("low"))

@@ -24,6 +24,7 @@ from stylometra.llm.packing import Limits, pack
 from stylometra.llm.preferences import OP1_SQL, format_preferences, op1_preference_format
 from stylometra.llm.quantization import embedding_links
 from stylometra.llm.shared import HashedWords, rolling, words
+from stylometra.llm import suffixdedup
 from stylometra.llm.suffixdedup import repeated_spans
 from stylometra.llm.suffixes import sorted_suffixes
 from stylometra.llm.tokencounts import Trie, count_tokens, pieces, pretokens
@@ -290,6 +291,17 @@ def test_repeated_spans_documents(docs, texts):
     assert spans_digest(repeated_spans(docs.where(F.length("text") < 6000))) == without_repeats(list(some.items()), 50)
 
 
+def test_repeated_spans_many_buckets(spark, docs, monkeypatch):
+    """More buckets than two bytes count and than tasks, and a table whose size Spark doesn't know: the same result."""
+    rows = docs.where(F.length("text") < 3000).select("doc_id", "text")
+    plain = spans_digest(repeated_spans(rows))
+    monkeypatch.setattr(suffixdedup, "BUCKET", 1)
+    monkeypatch.setattr(suffixdedup, "TASKS", 3)
+    unknown = spark.createDataFrame(rows.rdd, rows.schema)
+    assert suffixdedup.bucket_count(unknown) == rows.agg(F.sum(F.octet_length("text"))).first()[0] > 1 << 16
+    assert spans_digest(repeated_spans(unknown)) == plain
+
+
 def test_sorted_suffixes_on_disk(monkeypatch):
     """With room for a few bytes only, every queue is a mapped file; the order is the same."""
     from stylometra.llm import suffixes
