@@ -49,7 +49,7 @@ _VECTORS = f"""d AS (SELECT doc_id, text, list_transform({WORDS}, lambda x: lowe
 n AS (SELECT doc_id, greatest(len(w), 1) AS n FROM d),
 u AS (SELECT doc_id, sum(len(list_distinct(w[k : k + {M.WINDOW - 1}]))) AS u, max(len(w)) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - {M.WINDOW - 2})) AS k FROM d WHERE len(w) >= {M.WINDOW}) GROUP BY doc_id),
 words AS (SELECT doc_id, replace(w, 'ё', 'е') AS w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
-v AS ({' UNION ALL '.join(f"SELECT doc_id, {_lit('rule:' + f)} AS feature, CAST(regexp_matches(text, {_lit(_RE[f])}) AS INT)::DOUBLE AS value FROM d" for f in FLAGS)}
+v AS MATERIALIZED ({' UNION ALL '.join(f"SELECT doc_id, {_lit('rule:' + f)} AS feature, CAST(regexp_matches(text, {_lit(_RE[f])}) AS INT)::DOUBLE AS value FROM d" for f in FLAGS)}
 UNION ALL SELECT doc_id, 'sentence-mean', {HALF_UP(HALF_UP('list_sum(z) / len(z)', 4), 2)} FROM d WHERE len(z) > 0
 UNION ALL SELECT doc_id, 'sentence-cv', {HALF_UP(_CV, 3)} FROM d WHERE len(z) > 1
 UNION ALL SELECT doc_id, 'mattr', {HALF_UP(f"u / ({M.WINDOW} * (n - {M.WINDOW - 1}))", 6)} FROM u
