@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import style
-from .rows import once
+from .rows import from_texts, once
 
 # Words of a fragment; a fragment of fewer than half of them isn't closed by a heading and joins the one before.
 LEAST_WORDS = 40
@@ -63,32 +64,13 @@ def fragments(df: DataFrame, text_col: str = "text") -> DataFrame:
     Offsets are those of the source in code points; blocks of other kinds between a fragment's blocks aren't part of its
     text. Texts without prose, empty and null ones give no rows. A task holds one batch of texts; nothing is shuffled.
     """
-    others = [c for c in df.columns if c != text_col]
-    taken = {c.split()[0] for c in SCHEMA.split(", ")} & set(others)
-    if taken:
-        raise ValueError(f"columns of these names are made here: {sorted(taken)}")
-    ordered = df.select(*others, F.col(text_col).alias("text"))
-
-    def run(batches):
-        from bisect import bisect_right
-
-        import pyarrow as pa
-
-        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-        names, types = zip(*((c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")))
-        for b in batches:
-            rows, out = [], []
-            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                breaks = [m.start() for m in re.finditer("\n", text or "")]
-                for n, (a, z, words, whole) in enumerate(packed(text or "")):
-                    rows.append(k)
-                    out.append((n, a, z, bisect_right(breaks, a - 1) + 1, bisect_right(breaks, z - 1) + 1, words, whole))
-            if rows:
-                kept = [b.column(c).take(pa.array(rows)) for c in range(b.num_columns - 1)]
-                yield pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=[*others, *names])
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:-1]]
-    return ordered.mapInArrow(run, ", ".join([*kept, SCHEMA]))
+
+    def parts(text: str) -> list[tuple]:
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        line = lambda place: bisect_left(breaks, place) + 1
+        return [(n, a, z, line(a), line(z), words, whole) for n, (a, z, words, whole) in enumerate(packed(text))]
+
+    return from_texts(df, text_col, SCHEMA, parts)
 
 
 def measured(rows: DataFrame, rare: str, signals: Column, clerical: Column) -> DataFrame:

@@ -10,3 +10,34 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once per row, however often later steps read them: a generator keeps Catalyst
     from merging projections, which would evaluate them again for every reader and every element of a lambda."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def from_texts(df: DataFrame, text_col: str, schema: str, parts) -> DataFrame:
+    """The other columns of df beside the rows that `parts` (text to tuples in the order of schema) makes of each text.
+
+    A task holds one batch of texts; nothing is shuffled, and rows of one id stay apart. A null text counts as empty.
+    """
+    others = [c for c in df.columns if c != text_col]
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    taken = {*names} & {*others}
+    if taken:
+        raise ValueError(f"columns of these names are made here: {sorted(taken)}")
+    ordered = df.select(*others, F.col(text_col).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+        for b in batches:
+            at, out = [], []
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                made = parts(text or "")
+                at += [k] * len(made)
+                out += made
+            if out:
+                kept = [b.column(c).take(pa.array(at)) for c in range(b.num_columns - 1)]
+                columns = [pa.array(c, kinds[t]) for c, t in zip(zip(*out), types)]
+                yield pa.record_batch([*kept, *columns], names=[*others, *names])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:-1]]
+    return ordered.mapInArrow(run, ", ".join([*kept, schema]))
