@@ -103,12 +103,13 @@ def score(raw: Column, n_words: Column) -> Column:
     return F.floor(100 * (1 - F.exp(-raw / scale)) + 0.5).cast("long")
 
 
-def scored(docs: DataFrame, found: Column) -> DataFrame:
-    """doc_id, score and label of every row; found: array of kind, text, weight. A text without findings has score 0."""
-    rows = docs.select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.array_distinct(F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["text"]).alias("text"), x["weight"].alias("weight")))).alias("f"))
+def scored(docs: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, score and label of every row; found: array of kind, text, weight. A text without
+    findings has score 0."""
+    rows = docs.select("doc_id", *keep, F.size(T.words(F.col("text"))).alias("n_words"), F.array_distinct(F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), F.lower(x["text"]).alias("text"), x["weight"].alias("weight")))).alias("f"))
     raw = F.aggregate("f", F.lit(0.0), lambda s, x: s + x["weight"])
-    value = rows.select("doc_id", score(raw, F.col("n_words")).alias("score"))
-    return value.select("doc_id", "score", T.label(F.col("score")).alias("label"))
+    value = rows.select("doc_id", *keep, score(raw, F.col("n_words")).alias("score"))
+    return value.select("doc_id", *keep, "score", T.label(F.col("score")).alias("label"))
 
 
 def longest_of_equal(findings: DataFrame) -> DataFrame:

@@ -156,9 +156,12 @@ def ai_share(spark, sf_dir):
 
 
 def typical_prose(spark, sf_dir):
-    """The probability of a vector of typical prose, for every language's documents."""
-    constant = BIAS + sum(w * v for w, v in zip(WEIGHTS, (0.3, 0.3, 0.5, 0.2, 0.4, 0.1, 0.2)))
-    return S.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", T.rounded(T.sigmoid(F.lit(constant)), 6).alias("probability"))
+    """What the model says of typical prose: the probability of the mean features of each language's fragments. Means are
+    of whole millionths, so they don't depend on the order of rows."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    each = _features(spark, sf_dir).join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(F.round(F.col(x) * 1_000_000).cast("long")).alias(x) for x in NAMES))
+    mean = each.select("lang", "n", *(T.rounded(F.col(x) / F.col("n") / 1_000_000, 6).alias(x) for x in NAMES))
+    return mean.select("lang", "n", _probability().alias("probability"))
 
 
 def interval_union(spark, sf_dir):
@@ -311,7 +314,6 @@ _EXPLAINED = f"""WITH f AS MATERIALIZED ({_FEATURED}), l AS (SELECT *, {HALF_UP(
   u AS (SELECT *, CASE WHEN large < excess THEN 0 ELSE {fragments.LEAST_STEP} END AS least, CASE WHEN large < excess THEN whole ELSE large END AS given, p.value - excess / p.weight AS goal FROM t)
   SELECT doc_id, fragment, logit, excess, excess <= given AS reachable, p.feature AS feature, p.value AS value, {HALF_UP("p.weight * p.value", 6)} AS contribution, {HALF_UP("CASE WHEN goal > p.floor THEN least(goal, p.value) ELSE p.floor END", 3)} AS goal, goal > p.floor AS enough,
     CASE WHEN given > 0 AND give > 0 AND give >= u.least THEN {HALF_UP("p.value - least(1.0, excess / given) * (p.value - p.floor)", 3)} END AS plan FROM u"""
-_TYPICAL = BIAS + sum(w * v for w, v in zip(WEIGHTS, (0.3, 0.3, 0.5, 0.2, 0.4, 0.1, 0.2)))
 _AFTER = "CASE doc_id % 5 WHEN 0 THEN replace(text, 'два', 'пять') WHEN 1 THEN text || ' очень важный март' WHEN 2 THEN replace(text, 'рублей', 'кг') WHEN 3 THEN replace(replace(text, 'вчера', ''), '«', '“') ELSE replace(replace(replace(text, '[1]', '[2]'), '| 1 |', '| 3 |'), '$a', '$c') END"
 _PAIRS = f"SELECT doc_id, text AS before, {_AFTER} AS after FROM ({MARKED_SQL})"
 _MATCH = lambda x, p: f"regexp_matches({x}, {_lit('(?i)' + D.NOT_WORD + p)})"
@@ -357,7 +359,8 @@ ORACLE_SQL = {
     "ai_share": f"SELECT source, CASE WHEN sum(n) <> 0 THEN {HALF_UP('100 * sum(CASE WHEN p >= 0.5 THEN n ELSE 0 END) / sum(n)', 4)} END AS share FROM (SELECT source, p, f.n_chars AS n FROM ({_P}) f JOIN documents USING (doc_id)) GROUP BY source",
     "fragment_spans": f"WITH RECURSIVE {_PACKED} SELECT doc_id, fragment, start, z AS \"end\", CAST(length(regexp_replace(left(t, start), '[^\n]', '', 'g')) + 1 AS BIGINT) AS line, CAST(length(regexp_replace(left(t, z), '[^\n]', '', 'g')) + 1 AS BIGINT) AS end_line, n_words, CAST(length(text) AS BIGINT) AS n_chars FROM fragments",
     "fragment_explained": _EXPLAINED,
-    "typical_prose": f"SELECT lang, count(*) AS n, {HALF_UP(f'1 / (1 + exp(-CAST({_TYPICAL!r} AS DOUBLE)))', 6)} AS probability FROM documents GROUP BY lang",
+    "typical_prose": f"""SELECT lang, n, {HALF_UP('1 / (1 + exp(-z))', 6)} AS probability FROM (SELECT lang, n, {_Z} AS z FROM (
+      SELECT lang, count(*) AS n, {', '.join(f"{HALF_UP(f'CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000', 6)} AS {x}" for x in NAMES)} FROM ({_FEATURED}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang))""",
     "interval_union": f"""WITH s AS (SELECT doc_id, start AS a, start + length(hit) AS z FROM ({_UNION})), m AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM s)
       SELECT doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, coalesce(runs, 0) AS runs FROM documents LEFT JOIN (SELECT doc_id, sum(greatest(0, z - greatest(a, coalesce(e, 0)))) AS covered, count(*) FILTER (e IS NULL OR a > e) AS runs FROM m GROUP BY doc_id) USING (doc_id)""",
     "boundary_bins": """WITH l AS (SELECT doc_id, i, length(s[i]) AS n, sum(length(s[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s[i]) - 1 AS a FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),

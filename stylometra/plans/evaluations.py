@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..sources import tables as S
-from .queries import HALF_UP, SENTENCES, WORDS
+from .queries import HALF_UP, SCORED_SQL, SENTENCES, WORDS, scores
 
 # The score thresholds in hundredths, and the lengths in words at which buckets begin.
 THRESHOLDS = [15, 40, 70]
@@ -17,8 +17,7 @@ FEATURES = {"chars": "n_chars", "breaks": "length(text) - length(replace(text, c
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", (F.pmod("n_chars", F.lit(1000)) / 1000).alias("score"), "lang", "source", "n_chars", "text")
-    return S.table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("positive"), "lang", "source", "n_chars", "text")
+    return scores(spark, sf_dir, "lang", "source", "n_chars", "text")
 
 
 def metrics_at_threshold(spark, sf_dir):
@@ -136,7 +135,7 @@ def judge_parse(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (metrics_at_threshold, best_f1, class_report, brier_logloss, reliability_ece, rates_by_group, balanced_accuracy, genre_table, length_buckets, topk_generators, shortcut_auc, report_import, share_error, model_validation, judge_share, judge_disagree, judge_prompt, judge_parse)}
 
-_S = "SELECT doc_id, n_chars % 1000 AS s, quality = 1 AS positive, lang, source, n_chars, text FROM labels JOIN documents USING (doc_id)"
+_S = f"SELECT doc_id, hundredths * 10 AS s, positive, lang, source, n_chars, text FROM ({SCORED_SQL})"
 _R = lambda a, b, d=6: f"CASE WHEN ({b}) <> 0 THEN {HALF_UP(f'({a}) / ({b})', d)} END"
 _C = lambda keys, grid: f"SELECT {keys}t, count(*) FILTER (positive AND s >= t * 10) AS tp, count(*) FILTER (NOT positive AND s >= t * 10) AS fp, count(*) FILTER (positive AND s < t * 10) AS fn, count(*) FILTER (NOT positive AND s < t * 10) AS tn FROM ({_S}), (SELECT unnest({grid}) AS t) GROUP BY ALL"
 _A = "SELECT doc_id, lang, n_chars, run, CASE WHEN (n_chars + run) % 7 <> 0 THEN CAST(floor(n_chars / (run + 1)) AS BIGINT) % 4 END AS level FROM documents, unnest([1, 2, 3]) AS r(run)"

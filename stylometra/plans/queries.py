@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,12 +18,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents")
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", (F.pmod("n_chars", F.lit(1000)) / 1000).alias("score"), "lang")
-    return S.table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("positive"), "lang")
+def _found() -> Column:
+    """The findings of a text, as an array of kind, text and weight."""
+    long = F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 5)
+    kind = lambda x: F.when(F.lower(x).rlike("ing$|ung$"), "process").when(F.lower(x).rlike("tion$|ción$"), "abstract")
+    found = F.transform(long, lambda x: F.struct(kind(x).alias("kind"), x.alias("text"), F.when(kind(x) == "process", 1.5).otherwise(0.5).alias("weight")))
+    return F.filter(found, lambda x: x["kind"].isNotNull())
 
 
-SCORES_SQL = "SELECT doc_id, (n_chars % 1000) / 1000 AS score, quality = 1 AS positive, lang FROM labels JOIN documents USING (doc_id)"
+def scores(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """doc_id, columns to keep, positive and the score of the text, 0 to 1, of all labelled documents."""
+    labels = S.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    rows = style.scored(labels.join(_documents(spark, sf_dir), "doc_id"), _found(), "positive", *keep)
+    return rows.withColumn("score", F.col("score") / 100).drop("label")
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +69,10 @@ def split_marked(spark, sf_dir):
 
 
 def heatmap_red(spark, sf_dir):
-    rows = _documents(spark, sf_dir)
-    item = lambda level: F.struct(F.lit(level).alias("level"), F.concat(F.lit("p"), F.col("source"), F.lit(str(level))).alias("text"), F.array(F.lit(1)).alias("pages"))
-    raw = F.to_json(F.array(item(2), item(3), item(4)))
-    return rows.select("doc_id", F.explode(S.red_pieces(raw)).alias("piece"))
+    """A heat map of each text's sentences, each with the words beyond whole fives as its level; its red pieces."""
+    item = lambda s: F.struct(F.pmod(F.size(T.words(s)), F.lit(5)).alias("level"), s.alias("text"), F.array(F.lit(1)).alias("pages"))
+    raw = _documents(spark, sf_dir).select("doc_id", F.to_json(F.transform(T.sentences(F.col("text")), item)).alias("raw"))
+    return raw.select("doc_id", F.explode(S.red_pieces(F.col("raw"))).alias("piece"))
 
 
 def jsonl_validate(spark, sf_dir):
@@ -79,7 +86,10 @@ def letter_share(spark, sf_dir):
 
 
 def normalize_yo(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", T.plain_yo(F.concat(F.lit("Ёлка‑ёж "), F.col("source"))).alias("plain"))
+    """Whole texts behind words of our own in plain letters and hyphens: their hash, and how many words changed."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Ёлка‑ёж, ещё и кое‐что. "), F.col("text")).alias("t"))
+    changed = F.size(F.filter(T.words(F.col("t")), lambda w: T.plain_yo(w) != w))
+    return rows.select("doc_id", F.sha2(T.plain_yo(F.col("t")).cast("binary"), 256).alias("plain_sha256"), changed.cast("long").alias("n_changed"))
 
 
 def norm_paragraph(spark, sf_dir):
@@ -127,10 +137,7 @@ def issues_distinct(spark, sf_dir):
 
 
 def doc_score(spark, sf_dir):
-    long = F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 5)
-    kind = lambda x: F.when(F.lower(x).rlike("ing$|ung$"), "process").when(F.lower(x).rlike("tion$|ción$"), "abstract")
-    found = F.transform(long, lambda x: F.struct(kind(x).alias("kind"), x.alias("text"), F.when(kind(x) == "process", 1.5).otherwise(0.5).alias("weight")))
-    return style.scored(_documents(spark, sf_dir), F.filter(found, lambda x: x["kind"].isNotNull()))
+    return style.scored(_documents(spark, sf_dir), _found())
 
 
 def fail_above(spark, sf_dir):
@@ -138,21 +145,23 @@ def fail_above(spark, sf_dir):
 
 
 def fragment_probability(spark, sf_dir):
-    z = F.lit(-1.25) + 0.002 * F.col("n_chars") - 0.5 * F.pmod("doc_id", F.lit(5))
+    """The probability of a text by the mean and the spread of its sentences' lengths."""
+    spread = style.sentence_spread(_documents(spark, sf_dir))
+    z = F.lit(-1.25) + 2.0 * (1 - F.coalesce("cv", F.lit(1.0))) + 0.05 * F.coalesce("mean_words", F.lit(0.0))
     p = T.rounded(T.sigmoid(z), 6)
-    return _documents(spark, sf_dir).select("doc_id", p.alias("probability"), F.when(p >= 0.5, "red").when(p >= 0.4, "yellow").otherwise("green").alias("zone"))
+    return spread.select("doc_id", p.alias("probability"), F.when(p >= 0.5, "red").when(p >= 0.4, "yellow").otherwise("green").alias("zone"))
 
 
 def roc_auc(spark, sf_dir):
-    return evaluation.roc_auc(_scores(spark, sf_dir))
+    return evaluation.roc_auc(scores(spark, sf_dir))
 
 
 def reliability(spark, sf_dir):
-    return evaluation.reliability(_scores(spark, sf_dir))
+    return evaluation.reliability(scores(spark, sf_dir))
 
 
 def threshold_grid(spark, sf_dir):
-    return evaluation.threshold_grid(_scores(spark, sf_dir))
+    return evaluation.threshold_grid(scores(spark, sf_dir))
 
 
 def judge_agreement(spark, sf_dir):
@@ -178,20 +187,25 @@ _SIZES = f"list_transform({SENTENCES}, lambda q: len({WORDS.replace('text,', 'q,
 _ROWS = f"SELECT doc_id, s, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)"
 _SCORE = rf"""SELECT doc_id, CAST(floor(100 * (1 - exp(-coalesce(raw, 0) / (8 * greatest(1.0, log2(greatest(n_words, 1) / 50))))) + 0.5) AS BIGINT) AS score FROM (SELECT doc_id, len({WORDS}) AS n_words FROM documents)
   LEFT JOIN (SELECT doc_id, sum(weight) AS raw FROM (SELECT doc_id, kind, lower(text) AS t, max(CAST(weight AS DOUBLE)) AS weight FROM ({FINDINGS_SQL}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)"""
+#: the score in hundredths of all labelled documents
+SCORED_SQL = f"SELECT doc_id, s.score AS hundredths, quality = 1 AS positive, lang, source, n_chars, text FROM ({_SCORE}) s JOIN labels USING (doc_id) JOIN documents USING (doc_id)"
+SCORES_SQL = f"SELECT doc_id, hundredths / 100 AS score, positive, lang FROM ({SCORED_SQL})"
 _ANSWERS = "SELECT doc_id, run, CAST(floor(n_chars / (run + 1)) AS BIGINT) % 4 AS level FROM documents, unnest([1, 2, 3]) AS r(run)"
 _P = HALF_UP("1 / (1 + exp(-z))", 6)
-ORACLE_SQL = {
-    "sentence_cv": f"""SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, CASE WHEN n > 0 THEN {HALF_UP("t / n", 4)} END AS mean_words,
+_PLAIN = lambda x: f"translate({x}, '‐‑ёЁ', '--еЕ')"
+_SPREAD = f"""SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, CASE WHEN n > 0 THEN {HALF_UP("t / n", 4)} END AS mean_words,
       CASE WHEN n > 1 AND t > 0 THEN {HALF_UP("sqrt(greatest(0.0, (q - t * t / n) / (n - 1))) / (t / n)", 4)} END AS cv
-      FROM (SELECT doc_id, len(z) AS n, CAST(coalesce(list_sum(z), 0) AS DOUBLE) AS t, CAST(coalesce(list_sum(list_transform(z, lambda x: x * x)), 0) AS DOUBLE) AS q FROM (SELECT doc_id, {_SIZES} AS z FROM documents))""",
+      FROM (SELECT doc_id, len(z) AS n, CAST(coalesce(list_sum(z), 0) AS DOUBLE) AS t, CAST(coalesce(list_sum(list_transform(z, lambda x: x * x)), 0) AS DOUBLE) AS q FROM (SELECT doc_id, {_SIZES} AS z FROM documents))"""
+ORACLE_SQL = {
+    "sentence_cv": _SPREAD,
     "word_tokens": f"SELECT lower(w) AS word, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({WORDS}) AS w FROM documents) GROUP BY 1",
     "lang_filter": "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'de'",
     "systematic_sample": "SELECT doc_id, lang FROM documents WHERE doc_id % 7 = 6",
     "split_marked": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS pos, piece FROM (SELECT doc_id, k, trim(p[k]) AS piece FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) WHERE piece <> ''",
-    "heatmap_red": "SELECT doc_id, unnest(['p' || source || '3', 'p' || source || '4']) AS piece FROM documents",
+    "heatmap_red": f"SELECT doc_id, s AS piece FROM (SELECT doc_id, unnest({SENTENCES}) AS s FROM documents) WHERE len({WORDS.replace('text,', 's,')}) % 5 >= 3",
     "jsonl_validate": "SELECT event_id, json_valid(props) AS valid, CAST(len(json_keys(props)) AS BIGINT) AS n_keys FROM events",
     "letter_share": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{Latin}')) AS BIGINT) AS latin, CAST(len(regexp_extract_all(text, '\p{Cyrillic}')) AS BIGINT) AS cyrillic FROM documents",
-    "normalize_yo": "SELECT doc_id, 'Елка-еж ' || source AS plain FROM documents",
+    "normalize_yo": f"SELECT doc_id, sha256({_PLAIN('t')}) AS plain_sha256, CAST(len(list_filter({WORDS.replace('text,', 't,')}, lambda w: {_PLAIN('w')} <> w)) AS BIGINT) AS n_changed FROM (SELECT doc_id, 'Ёлка‑ёж, ещё и кое‐что. ' || text AS t FROM documents)",
     "norm_paragraph": r"SELECT doc_id, CAST(length(c) AS BIGINT) AS n_chars, left(sha256(c), 16) AS fingerprint FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)",
     "doc_fingerprint": r"SELECT left(sha256(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'))), 16) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
     "plural_forms": "SELECT doc_id, CASE WHEN n_chars % 100 BETWEEN 11 AND 14 THEN 'знаков' WHEN n_chars % 10 = 1 THEN 'знак' WHEN n_chars % 10 BETWEEN 2 AND 4 THEN 'знака' ELSE 'знаков' END AS form FROM documents",
@@ -207,7 +221,7 @@ ORACLE_SQL = {
     "issues_distinct": f"SELECT doc_id, kind, place, text FROM (SELECT doc_id, kind, CAST(floor(place / 10) AS BIGINT) AS place, text FROM ({FINDINGS_SQL})) QUALIFY row_number() OVER (PARTITION BY doc_id, kind, place ORDER BY length(text) DESC, text) = 1",
     "doc_score": f"SELECT doc_id, score, CASE WHEN score < 15 THEN 'clean' WHEN score < 40 THEN 'light' WHEN score < 70 THEN 'marked' ELSE 'heavy' END AS label FROM ({_SCORE})",
     "fail_above": f"SELECT coalesce(bool_or(score > 90), false) AS fails, max(score) AS highest FROM ({_SCORE})",
-    "fragment_probability": f"SELECT doc_id, p AS probability, CASE WHEN p >= 0.5 THEN 'red' WHEN p >= 0.4 THEN 'yellow' ELSE 'green' END AS zone FROM (SELECT doc_id, {_P} AS p FROM (SELECT doc_id, CAST(-1.25 AS DOUBLE) + CAST(0.002 AS DOUBLE) * n_chars - CAST(0.5 AS DOUBLE) * (doc_id % 5) AS z FROM documents))",
+    "fragment_probability": f"SELECT doc_id, p AS probability, CASE WHEN p >= 0.5 THEN 'red' WHEN p >= 0.4 THEN 'yellow' ELSE 'green' END AS zone FROM (SELECT doc_id, {_P} AS p FROM (SELECT doc_id, CAST(-1.25 AS DOUBLE) + CAST(2.0 AS DOUBLE) * (1 - coalesce(cv, CAST(1.0 AS DOUBLE))) + CAST(0.05 AS DOUBLE) * coalesce(mean_words, CAST(0.0 AS DOUBLE)) AS z FROM ({_SPREAD})))",
     "roc_auc": f"""WITH s AS ({SCORES_SQL}), c AS (SELECT count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM s)
       SELECT {HALF_UP("w / (2.0 * p * n)", 6)} AS auc, p AS n_positive, n AS n_negative FROM c, (SELECT CAST(sum(CASE WHEN a.score > b.score THEN 2 WHEN a.score = b.score THEN 1 ELSE 0 END) AS DOUBLE) AS w FROM s a, s b WHERE a.positive AND NOT b.positive)""",
     "reliability": f"SELECT CAST(least(floor(score * 10), 9) AS BIGINT) AS bin, count(*) AS n, {HALF_UP('CAST(sum(floor(score * 1000 + 0.5)) AS DOUBLE) / count(*) / 1000', 6)} AS mean_score, {HALF_UP('count(*) FILTER (positive) / count(*)', 6)} AS share_positive FROM ({SCORES_SQL}) GROUP BY 1",

@@ -11,6 +11,7 @@ from ..operators import evaluation, rules
 from ..operators.rows import once
 from ..operators.rules import Rule
 from ..sources import tables as S
+from .queries import SCORED_SQL, scores
 
 PASSAGES = (
     "---\ntitle: Отчёт\n---\n# Итоги года\n\nВажно отметить, что рынок играет ключевую роль. Стоит подчеркнуть рост на 3.5 процента.\n\n- первый пункт\n- второй пункт\n",
@@ -135,9 +136,8 @@ def v_issue_growth(spark, sf_dir):
 
 
 def bias_shift_grid(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.pmod("n_chars", F.lit(1000)).alias("score"), F.col("lang").alias("grp"))
-    scores = S.table(spark, sf_dir, "labels").join(docs, "doc_id").select("grp", "score", (F.col("quality") == 1).alias("positive"))
-    return rules.shift_errors(scores, SHIFTS, 500)
+    rows = scores(spark, sf_dir, "lang").select(F.col("lang").alias("grp"), F.round(F.col("score") * 1000).cast("long").alias("score"), "positive")
+    return rules.shift_errors(rows, SHIFTS, 500)
 
 
 QUERIES = {f.__name__: f for f in (issues, lexicon_hits, issues_min_severity, tier2_cluster, hashtags, traffic_light, mask_code, visible_text, blocks, punctuation_rates, v_urls, v_code, v_headings, v_yaml, v_issue_growth, bias_shift_grid)}
@@ -198,6 +198,6 @@ ORACLE_SQL = {
     "v_headings": f"SELECT doc_id, before, after FROM {_PAIR(_SHAPE)} WHERE before <> after",
     "v_yaml": f"SELECT doc_id, before = after AS same, before <> '' AS has_header FROM {_PAIR(_HEADER)}",
     "v_issue_growth": f"SELECT doc_id, coalesce(x, 0) AS n_before, coalesce(y, 0) AS n_after, coalesce(y, 0) > coalesce(x, 0) AS grown FROM (SELECT doc_id, count(*) AS x FROM ({_FOUND}) GROUP BY doc_id) FULL JOIN (SELECT doc_id, count(*) AS y FROM ({_AFTER}) GROUP BY doc_id) USING (doc_id)",
-    "bias_shift_grid": f"""SELECT shift, CAST(sum(e) AS BIGINT) AS error, count(*) AS n_groups FROM (SELECT shift, lang, CAST(floor(abs(count(*) FILTER (n_chars % 1000 + shift >= 500) - count(*) FILTER (quality = 1)) * 1000000 / count(*)) AS BIGINT) AS e
-      FROM labels JOIN documents USING (doc_id), (SELECT unnest(range(-800, 801, 20)) AS shift) GROUP BY shift, lang) GROUP BY shift""",
+    "bias_shift_grid": f"""SELECT shift, CAST(sum(e) AS BIGINT) AS error, count(*) AS n_groups FROM (SELECT shift, lang, CAST(floor(abs(count(*) FILTER (hundredths * 10 + shift >= 500) - count(*) FILTER (positive)) * 1000000 / count(*)) AS BIGINT) AS e
+      FROM ({SCORED_SQL}), (SELECT unnest(range(-800, 801, 20)) AS shift) GROUP BY shift, lang) GROUP BY shift""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from ..functions import text as T
 from ..operators import rules, style
+from ..operators.rows import once
 from ..operators.rules import Rule
 from ..sources import tables as S
 from .queries import HALF_UP, WORDS
@@ -33,6 +34,7 @@ MARKUP = ((r"(?m)^#{1,6} ", ""), (r"\*\*([^*\n]+)\*\*", "X1"), (r"`([^`\n]+)`",
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 PASSIVE, OPENER = "(?i)(?:принято|создан|написан|утвержд[её]н|сделано)", "(?i)^(?:кроме того|также|однако|более того)"
 DEVERBAL, SHORT, VERB = "(?:ния|сти|ции|ение)$", 4, "(?i)(?:ть|ет|ит|ют|ал)$"
+TAIL = r"\S+(?:\s+\S+){0,5}$"
 DANGLING = r"(?:,|(?i:\s(?:что|и|а|но|в|на)))\s*$"
 RULES = [
     Rule("not-x-but-y", "not-x-but-y", "P1", "(?iu)не [^,.\n]{1,40}, а "),
@@ -143,9 +145,16 @@ def bullet_np_list(spark, sf_dir):
 
 
 def truncated_tail(spark, sf_dir):
-    last = F.element_at(_blocks(F.element_at(F.array(*map(F.lit, PASSAGES)), F.pmod("doc_id", F.lit(len(PASSAGES))).cast("int") + 1)), -1)
-    line = F.element_at(F.split(last, "\n"), -1)
-    return S.table(spark, sf_dir, "documents").select("doc_id", ((_kind(last) == "prose") & (_n(line) >= 8) & line.rlike("(?u)" + DANGLING)).alias("truncated"))
+    """Texts, every other one with a passage of our own behind it, whose last block is prose and whose last line of eight
+    words or more ends with a comma or a word no sentence ends with: its last six words and their place."""
+    passage = F.element_at(F.array(*map(F.lit, PASSAGES)), F.pmod("doc_id", F.lit(len(PASSAGES))).cast("int") + 1)
+    whole = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat("text", F.lit("\n\n"), passage)).otherwise(F.col("text"))
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(whole, r"\s+$", "").alias("text"))
+    rows = once(rows, b=F.element_at(_blocks(F.col("text")), -1))
+    line = F.element_at(F.split("b", "\n"), -1)
+    found = rows.where((_kind(F.col("b")) == "prose") & (_n(line) >= 8) & line.rlike("(?u)" + DANGLING))
+    tail = F.regexp_extract(line, TAIL, 0)
+    return found.select("doc_id", (F.length("text") - F.length(tail)).cast("long").alias("start"), tail.alias("tail"))
 
 
 def fp_homoglyph(spark, sf_dir):
@@ -243,7 +252,6 @@ def _language_sql(x: str) -> str:
 _plain = "text"
 for _p, _new in MARKUP:
     _plain = f"regexp_replace({_plain}, {_lit(_p)}, {_lit(_new.replace('X', chr(92)))}, 'g')"
-_LAST = f"list_filter(string_split_regex({_ONE}, {_lit(BLOCK)}), lambda b: trim(b) <> '')[-1]"
 ORACLE_SQL = {
     "paragraphs": f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_K('q')} AS kind, CAST(length(q) AS BIGINT) AS n_chars, CAST(len({_W('q')}) AS BIGINT) AS n_words FROM (SELECT doc_id, pos, b[pos + 1] AS q FROM (SELECT doc_id, b, unnest(range(len(b))) AS pos FROM (SELECT doc_id, {_BL} AS b FROM ({MARKED_SQL}))))",
     "paragraph_cv": f"SELECT doc_id, n AS n_paragraphs, mean AS mean_words, cv, coalesce(n >= 5 AND cv < 0.2, false) AS uniform FROM (SELECT doc_id, {_SP('z')} FROM (SELECT doc_id, list_filter(list_transform({_PR}, lambda b: len({_W('b')})), lambda n: n >= 15) AS z FROM ({MARKED_SQL})))",
@@ -257,7 +265,9 @@ ORACLE_SQL = {
     "transition_run": _runs_sql(_PR, f"regexp_matches(q, {_lit(OPENER)})", 3),
     "stacked_questions": _runs_sql(_SENT, r"regexp_matches(q, '\?\s*$')", 3),
     "bullet_np_list": f"SELECT * FROM (SELECT doc_id, CAST(len(i) AS BIGINT) AS n_items, CAST(len(list_filter(i, lambda x: len({_W('x')}) <= {SHORT} AND len(list_filter({_W('x')}, lambda w: regexp_matches(w, {_lit(VERB)}))) = 0)) AS BIGINT) AS n_short FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_lit(KINDS['list'])})) AS i FROM ({MARKED_SQL}))) WHERE n_items >= 5 AND n_short >= 5 AND n_short * 10 >= n_items * 8",
-    "truncated_tail": f"SELECT doc_id, ({_K('b')}) = 'prose' AND len({_W('l')}) >= 8 AND regexp_matches(l, {_lit(DANGLING)}) AS truncated FROM (SELECT doc_id, b, string_split(b, chr(10))[-1] AS l FROM (SELECT doc_id, {_LAST} AS b FROM documents))",
+    "truncated_tail": rf"""SELECT doc_id, CAST(length(text) - length(regexp_extract(l, {_lit(TAIL)})) AS BIGINT) AS start, regexp_extract(l, {_lit(TAIL)}) AS tail
+      FROM (SELECT doc_id, text, b, string_split(b, chr(10))[-1] AS l FROM (SELECT doc_id, text, {_BL}[-1] AS b FROM (SELECT doc_id, regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || {_ONE} ELSE '' END, '\s+$', '') AS text FROM documents)))
+      WHERE ({_K('b')}) = 'prose' AND len({_W('l')}) >= 8 AND regexp_matches(l, {_lit(DANGLING)})""",
     "fp_homoglyph": rf"SELECT doc_id, w AS word, translate(w, 'aceopxyABCEHKMOPTX', 'асеорхуАВСЕНКМОРТХ') AS repaired FROM (SELECT doc_id, unnest({WORDS}) AS w FROM ({MARKED_SQL})) WHERE regexp_matches(w, '\p{{Cyrillic}}') AND regexp_matches(w, '[aceopxyABCEHKMOPTX]')",
     "ignore_regions": f"SELECT doc_id, CAST(length(k) AS BIGINT) AS n_kept, CAST(length(text) - length(k) AS BIGINT) AS n_ignored FROM (SELECT doc_id, text, regexp_replace(text, {_lit(OFF)}, '', 'g') AS k FROM ({MARKED_SQL}))",
     "mask_protected": f"SELECT doc_id, sha256(array_to_string(list_transform(g, lambda x, i: x || coalesce(regexp_replace(h[i], '[^\\n]', ' ', 'g'), '')), '')) AS masked_sha256 FROM (SELECT doc_id, string_split_regex(text, {_lit(PROTECTED)}) AS g, regexp_extract_all(text, {_lit(PROTECTED)}) AS h FROM ({MARKED_SQL}))",
