@@ -1,7 +1,9 @@
-"""Column functions on spans: blanking what patterns match, and the place of an offset."""
+"""Column functions on spans: blanking what patterns match, the place of an offset, and folds that put out arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +24,37 @@ def line(text: Column, start: Column) -> Column:
 def column(text: Column, start: Column) -> Column:
     """The place of an offset in its line, from 1."""
     return F.length(F.substring_index(F.left(text, start), "\n", -1)).cast("long") + 1
+
+
+#: items of a fold between two copies of all it has put out
+BLOCK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often `use` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def folded(items: Column, state: dict[str, Column], out: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """The array (of type `out`) of what a fold over an array puts out. `step` takes the state and an item, and gives the
+    next state and an array to put out.
+
+    An array that grows in a fold is copied at every step. Here a fold runs over blocks of BLOCK items, and the array of
+    all is copied once for each block only. Null items give null.
+    """
+    none, named = F.array().cast(out), lambda s: [c.alias(n) for n, c in s.items()]
+
+    def one(s: Column, x: Column) -> Column:
+        after, made = step(s, x)
+        return F.struct(*named(after), F.concat(s["out"], made).alias("out"))
+
+    def block(s: Column, part: Column) -> Column:
+        begin = F.struct(*(s[n].alias(n) for n in state), none.alias("out"))
+        return bound(F.aggregate(part, begin, one), lambda e: F.struct(*(e[n].alias(n) for n in state), F.concat(s["out"], F.array(e["out"])).alias("out")))
+
+    def whole(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(*named(state), F.array().cast(f"array<{out}>").alias("out"))
+        return F.aggregate(F.transform(starts, lambda k: F.slice(a, k, F.lit(BLOCK))), begin, block, lambda s: F.flatten(s["out"]))
+
+    return bound(items, lambda a: F.when(a.isNotNull(), whole(a)))

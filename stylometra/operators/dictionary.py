@@ -14,6 +14,8 @@ from itertools import accumulate, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans
+
 BLANK, LETTERS, NOT_WORD = "[ \t\n\xa0]+", r"\p{L}*", r"(?:^|[^\p{L}\p{N}_])"
 #: what a phrase may hold between two words that follow each other without a blank
 WORD = re.compile(r"\w+")
@@ -222,6 +224,16 @@ def without_contained(found: Column) -> Column:
     order = lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).when(F.length(a["text"]) != F.length(b["text"]), F.signum(F.length(b["text"]) - F.length(a["text"])).cast("int")).when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(0)
     end = lambda x: x["start"] + F.length(x["text"])
     ordered = F.array_sort(found, order)
-    earlier = lambda i: F.slice(F.col("_ordered"), F.lit(1), i)
-    kept = F.filter("_ordered", lambda x, i: ~F.exists(earlier(i), lambda y: (end(y) >= end(x)) & (y["weight"] >= x["weight"])))
+    # What reaches farthest so far: a later end for every lower weight, so at most one entry for each weight.
+    front = "array<struct<weight:double,end:bigint>>"
+
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        new = F.struct(x["weight"].cast("double").alias("weight"), end(x).cast("long").alias("end"))
+        beyond = lambda y, z: (y["weight"] >= z["weight"]) & (y["end"] >= z["end"])
+        covered = F.exists(s["front"], lambda y: beyond(y, new))
+        grown = F.concat(F.filter(s["front"], lambda y: ~beyond(new, y)), F.array(new))
+        return {"front": F.when(covered, s["front"]).otherwise(grown)}, F.array(~covered)
+
+    flags = spans.folded(F.col("_ordered"), {"front": F.array().cast(front)}, "array<boolean>", step)
+    kept = spans.bound(flags, lambda on: F.filter("_ordered", lambda _, i: F.get(on, i)))
     return ordered, kept

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from .rows import once
 
 # Kinds of lines by their first signs, in the order in which they are tried.
@@ -26,7 +27,7 @@ def findings(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> Data
     """doc_id, rule, kind, severity, start, line, col, text of every match of every rule.
 
     Matches of one rule don't overlap. Texts are cut at the matches, and places, lines and columns are carried from one
-    match to the next, all in the row: linear in the text, without a shuffle, and rows of one id stay apart. Null texts
+    match to the next, all in the row (in blocks, see spans.folded), without a shuffle, and rows of one id stay apart. Null texts
     and texts without a match give no rows.
     """
     text = F.col(text_col)
@@ -40,18 +41,19 @@ def placed(text: Column, pattern: str) -> Column:
     """The matches of a pattern with their places: array of start, line, col, text."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     number = lambda x: F.lit(x).cast("long")
-    begin = F.struct(number(0).alias("at"), number(1).alias("line"), number(1).alias("col"), F.array().cast("array<struct<start:bigint,line:bigint,col:bigint,text:string>>").alias("out"))
+    begin = {"at": number(0), "line": number(1), "col": number(1)}
+    out = "array<struct<start:bigint,line:bigint,col:bigint,text:string>>"
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
     after = lambda x, col: F.when(breaks(x) > 0, F.length(F.substring_index(x, "\n", -1)) + 1).otherwise(col + F.length(x)).cast("long")
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         gap, hit = x["gap"], x["hit"]
         start, line, col = s["at"] + F.length(gap), s["line"] + breaks(gap), after(gap, s["col"])
         one = F.struct(start.alias("start"), line.alias("line"), col.alias("col"), hit.alias("text"))
-        return F.struct((start + F.length(hit)).alias("at"), (line + breaks(hit)).alias("line"), after(hit, col).alias("col"), F.concat(s["out"], F.array(one)).alias("out"))
+        return {"at": start + F.length(hit), "line": line + breaks(hit), "col": after(hit, col)}, F.array(one)
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    return F.aggregate(pairs, begin, step, lambda s: s["out"])
+    return spans.folded(pairs, begin, out, step)
 
 
 def at_least(found: DataFrame, severity: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import spans
 from ..functions import text as T
 from .rows import once
 
@@ -56,22 +57,20 @@ def diversity(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def runs(keys: Column, least: int) -> Column:
     """Runs of at least `least` equal keys in an array of strings, in the row: array of key, first_pos, n. Null ends a run."""
-    begin = F.struct(
-        F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("n"),
-        F.array().cast("array<struct<key:string,first_pos:bigint,n:bigint>>").alias("out"),
-    )
-    closed = lambda s: F.when(s["n"] >= least, F.concat(s["out"], F.array(F.struct(s["key"].alias("key"), s["first"].alias("first_pos"), s["n"].alias("n"))))).otherwise(s["out"])
+    number = lambda x: F.lit(x).cast("long")
+    out = "array<struct<key:string,first_pos:bigint,n:bigint>>"
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[dict[str, Column], Column]:
         same = F.coalesce(s["key"] == x["k"], F.lit(False))
         fresh = F.when(x["k"].isNotNull(), 1).otherwise(0).cast("long")
-        return F.struct(
-            x["k"].alias("key"), F.when(same, s["first"]).otherwise(x["i"]).alias("first"),
-            F.when(same, s["n"] + 1).otherwise(fresh).alias("n"), F.when(same, s["out"]).otherwise(closed(s)).alias("out"),
-        )
-
-    numbered = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.cast("long").alias("i")))
-    return F.aggregate(numbered, begin, step, closed)
+        run = F.array(F.struct(s["key"].alias("key"), s["first"].alias("first_pos"), s["n"].alias("n")))
+        state = {"key": x["k"], "first": F.when(same, s["first"]).otherwise(x["i"]), "n": F.when(same, s["n"] + 1).otherwise(fresh)}
+        return state, F.when(~same & (s["n"] >= least), run).otherwise(F.array().cast(out))
+
+    # A null behind the last key ends the last run.
+    ended = F.concat(keys, F.array(F.lit(None).cast("string")))
+    numbered = F.transform(ended, lambda k, i: F.struct(k.alias("k"), i.cast("long").alias("i")))
+    return spans.folded(numbered, {"key": F.lit(None).cast("string"), "first": number(0), "n": number(0)}, out, step)
 
 
 def run_rows(docs: DataFrame, keys: Column, least: int, key: str | None = None) -> DataFrame:

@@ -194,14 +194,10 @@ def interval_algebra(spark, sf_dir):
 
 def boundary_bins(spark, sf_dir):
     """Fragments of 200 characters by the share of them that marked lines (every second one) cover."""
-    lines = S.table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long")).alias("l"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,z:bigint>>").alias("out"))
-    spans = F.aggregate(F.transform("l", lambda n, i: F.struct(n.alias("n"), i.alias("i"))), begin, lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.when(x["i"] % 2 == 1, F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), (s["at"] + x["n"]).alias("z"))))).otherwise(s["out"]).alias("out")))
-    placed = lines.select(spans.alias("s")).where("s.at > 1").select("s.out", (F.col("s.at") - 1).alias("n"))
-    each = placed.select("out", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(200).cast("long"))).alias("a"))
-    end = F.least(F.col("a") + 200, F.col("n"))
-    inside = F.aggregate("out", F.lit(0).cast("long"), lambda s, x: s + F.greatest(F.lit(0), F.least(x["z"], end) - F.greatest(x["a"], F.col("a"))))
-    share = each.select((inside * 100).alias("x"), (end - F.col("a")).alias("w"))
+    sign = lambda x, i: F.regexp_replace(x, "(?s).", F.when(i % 2 == 1, "x").otherwise("."))
+    marks = F.array_join(F.transform(F.split("text", "\n"), sign), ".")
+    each = S.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(marks, F.lit(".{1,200}"), F.lit(0))).alias("p"))
+    share = each.select((F.length(F.replace("p", F.lit("."))) * 100).alias("x"), F.length("p").cast("long").alias("w"))
     name = F.when(F.col("x") <= 5 * F.col("w"), "human").when(F.col("x") >= 95 * F.col("w"), "marked").otherwise(F.concat(F.lit("part"), F.least(F.floor(F.col("x") / F.col("w") / 25), F.lit(3)).cast("string")))
     return share.groupBy(name.alias("bin")).agg(F.count("*").alias("n"), F.sum("w").alias("n_chars"))
 

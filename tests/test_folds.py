@@ -1,0 +1,68 @@
+"""Folds that put out arrays, on arrays beyond a block, and what is built on them, against plain computations."""
+
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from stylometra.functions import spans
+from stylometra.operators import dictionary, style
+from stylometra.operators.rules import placed
+
+
+def test_folded(spark):
+    lists = [None, [], [3], [*range(spans.BLOCK)], [*range(2 * spans.BLOCK + 1)], [None, 2, None]]
+    df = spark.createDataFrame([*enumerate(lists)], "k int, a array<int>")
+    step = lambda s, x: ({"sum": s["sum"] + F.coalesce(x, F.lit(0))}, F.when(s["sum"] % 3 != 0, F.array(s["sum"])).otherwise(F.array().cast("array<bigint>")))
+    got = {r["k"]: r["o"] for r in df.select("k", spans.folded(F.col("a"), {"sum": F.lit(0).cast("long")}, "array<bigint>", step).alias("o")).collect()}
+    for k, a in enumerate(lists):
+        want = None if a is None else [x for x in [0, *itertools.accumulate(y or 0 for y in a)][:-1] if x % 3]
+        assert got[k] == (want or ([] if a is not None else None))
+
+
+def test_places_of_many_matches(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["ab", "x", " ", "\n", "ab\nb"]) for _ in range(4000))
+    df = spark.createDataFrame([(0, text), (1, "none"), (2, None), (3, "")], "k int, text string")
+    got = {r["k"]: r["h"] for r in df.select("k", placed(F.col("text"), "ab(?:\nb)?").alias("h")).collect()}
+    import re
+
+    want = [(m.start(), text.count("\n", 0, m.start()) + 1, m.start() - (text.rfind("\n", 0, m.start()) + 1) + 1, m.group()) for m in re.finditer("ab(?:\nb)?", text)]
+    assert len(want) > 3 * spans.BLOCK and [tuple(x) for x in got[0]] == want and got[1] == [] and got[2] is None and got[3] == []
+
+
+def test_many_matches_of_a_long_text(spark):
+    df = spark.range(1).select(F.repeat(F.lit("ab "), 60_000).alias("text"))
+    assert df.select(F.size(placed(F.col("text"), "ab")).alias("n")).first()["n"] == 60_000
+
+
+def test_runs_of_many_keys(spark):
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "b", None]) for _ in range(n)] for n in (0, 1, 2, 700, 1500)] + [["a"] * 600, None]
+    df = spark.createDataFrame([*enumerate(lists)], "k int, a array<string>")
+    got = {r["k"]: r["o"] for r in df.select("k", style.runs(F.col("a"), 2).alias("o")).collect()}
+    for k, keys in enumerate(lists):
+        at, want = 0, []
+        for key, run in itertools.groupby(keys or []):
+            n = len([*run])
+            if key is not None and n >= 2:
+                want.append((key, at, n))
+            at += n
+        assert [tuple(x) for x in got[k] or []] == want
+
+
+def test_contained_findings_go(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(6):
+        made = [(rng.randint(0, 60 * k), "x" * rng.randint(1, 12), rng.choice([1.0, 0.5, 2.0]), "kind", rng.choice("rst")) for _ in range(150 * k)]
+        rows.append((k, made))
+    df = spark.createDataFrame(rows, "k int, f array<struct<start:int,text:string,weight:double,kind:string,rule:string>>")
+    ordered, kept = dictionary.without_contained(F.col("f"))
+    got = {r["k"]: r["o"] for r in df.select("k", ordered.alias("_ordered")).select("k", kept.alias("o"), "_ordered").collect()}
+    for k, made in rows:
+        order, want = sorted(made, key=lambda x: (x[0], -len(x[1]), x[4])), []
+        for i, x in enumerate(order):
+            if not any(y[0] + len(y[1]) >= x[0] + len(x[1]) and y[2] >= x[2] for y in order[:i]):
+                want.append(x[:3])
+        assert [tuple(x)[:3] for x in got[k]] == want
