@@ -5,7 +5,8 @@
    only can be in no match.
 2. Texts (equal ones once) meet their shared anchors, and each run of windows around a shared anchor is sent to the
    anchor's bucket as one short string, so that equal windows meet in one bucket whatever their documents.
-3. Each bucket sorts the suffixes of its distinct strings by induction. Runs of suffixes with a common prefix of LENGTH
+3. In each bucket, windows that no other has the hash of drop out; of what is left, equal strings once, each bucket sorts
+   the suffixes by induction. Runs of suffixes with a common prefix of LENGTH
    bytes are equal windows; those of documents above the run's smallest are removed.
 """
 
@@ -37,6 +38,27 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_hashes(text: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of all strings of `length` symbols, by doubling; AT_ONCE of them at once."""
+    n = len(text) - length + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for a in range(0, n, AT_ONCE):
+        part = text[a : a + AT_ONCE + length - 1]
+        power, k = {1: _HASH[part]}, 1
+        with np.errstate(over="ignore"):
+            while 2 * k <= length:
+                power[2 * k] = _mixed(power[k][:-k], power[k][k:])
+                k *= 2
+            found, done = power[k], k
+            while done < length:
+                k = 1 << ((length - done).bit_length() - 1)
+                more = power[k][done:]
+                m = min(len(more), len(found))
+                found, done = _mixed(found[:m], more[:m]), done + k
+        out[a : a + AT_ONCE] = found[: len(part) - length + 1]
+    return out
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one anchor: text number, first window, windows, anchor's place (in its text), anchor's hash.
 
@@ -56,21 +78,7 @@ def _anchors(texts: list[bytes], length: int, gram: int):
     if len(data) < length:
         none = np.empty(0, np.int64)
         return none, none, none, none, np.empty(0, np.uint64)
-    power = {1: _HASH[data]}
-    with np.errstate(over="ignore"):
-        k = 1
-        while 2 * k <= gram:
-            x = power[k]
-            power[2 * k] = _mixed(x[:-k], x[k:])
-            k *= 2
-        hashes, done = power[k], k
-        while done < gram:
-            k = 1 << ((gram - done).bit_length() - 1)
-            more = power[k][done:]
-            n = min(len(more), len(hashes))
-            hashes, done = _mixed(hashes[:n], more[:n]), done + k
-    del power
-    hashes = hashes[: len(data) - gram + 1]
+    hashes = window_hashes(data, gram)
     value = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     wide, w = length - gram + 1, 1
     least = value
@@ -132,9 +140,53 @@ def unpacked(nodes: bytes, twins: bytes, docs: bytes, counts: bytes, starts: byt
 def equal_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest document that each window of each string is in, one string after the other, and where each begins.
 
-    lowest: each string's smallest document.
+    lowest: each string's smallest document. A window whose hash no other one has is in its own string only. Runs of the
+    others are cut out, equal ones once, and so on while that leaves less to sort.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes - length + 1
+    first = np.cumsum(counts) - counts
+    joined = b"".join(strings)
+    kind = np.int32 if len(joined) < 1 << 31 else np.int64
+    there = np.repeat((starts - first).astype(kind), counts)
+    there += np.arange(len(there), dtype=kind)
+    hashes = window_hashes(np.frombuffer(joined, np.uint8), length)[there]
+    del there
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    alone = np.ones(len(order) + 1, bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=alone[1:-1])
+    shared = np.empty(len(order), bool)
+    shared[order] = ~(alone[1:] & alone[:-1])
+    del hashes, order, alone
+    flat = np.repeat(lowest, counts)
+    begins = np.zeros(len(flat), bool)
+    begins[first] = True
+    run = np.flatnonzero(shared & (begins | ~np.concatenate([[False], shared[:-1]])))
+    if not len(run):
+        return flat, first
+    last = np.flatnonzero(shared & np.concatenate([begins[1:] | ~shared[1:], [True]])) + 1
+    del begins, shared
+    of = np.searchsorted(first, run, "right") - 1
+    index: dict[bytes, int] = {}
+    at = (starts - first)[of] + run
+    name = np.array([index.setdefault(joined[a:z], len(index)) for a, z in zip(at.tolist(), (at + last - run + length - 1).tolist())], np.int64)
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, name, lowest[of])
+    rest = [*index]
+    del index, joined
+    fewer = sum(map(len, rest)) < 0.9 * int(sizes.sum())
+    found, begin = (equal_windows if fewer else sorted_windows)(rest, least, length)
+    n = last - run
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    flat[np.repeat(run, n) + inner] = found[np.repeat(begin[name], n) + inner]
+    return flat, first
+
+
+def sorted_windows(strings: list[bytes], lowest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """As equal_windows, by sorting all suffixes."""
+    sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     text = text + np.uint8(1) if not len(text) or text.max() < 255 else text.astype(np.uint16) + np.uint16(1)

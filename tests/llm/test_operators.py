@@ -302,6 +302,25 @@ def test_repeated_spans_many_buckets(spark, docs, monkeypatch):
     assert spans_digest(repeated_spans(unknown)) == plain
 
 
+def test_equal_windows_sorts_shared_ones_only(monkeypatch):
+    """Windows that no other is equal to aren't sorted, and colliding hashes change nothing."""
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(0, 256, 200, np.uint8))
+    strings = [bytes(rng.integers(0, 256, 900, np.uint8)) + passage[k : k + 80] + bytes(rng.integers(0, 256, 900, np.uint8)) for k in range(0, 120, 5)]
+    strings += [b"a" * 120, b"a" * 50, b"b" + b"a" * 70, bytes(255 for _ in range(60))]
+    lowest = np.arange(len(strings))[::-1] * 3
+    first: dict[bytes, int] = {}
+    windows = [(s[i : i + 50], n) for s, n in zip(strings, lowest.tolist()) for i in range(len(s) - 49)]
+    for w, n in windows:
+        first[w] = min(first.get(w, n), n)
+    want, sizes, plain = [first[w] for w, _ in windows], [], suffixdedup.sorted_suffixes
+    monkeypatch.setattr(suffixdedup, "sorted_suffixes", lambda text, cap: sizes.append(len(text)) or plain(text, cap))
+    assert suffixdedup.equal_windows(strings, lowest, 50)[0].tolist() == want
+    assert sum(sizes) < sum(map(len, strings)) / 5
+    monkeypatch.setattr(suffixdedup, "window_hashes", lambda text, n: np.zeros(max(len(text) - n + 1, 0), np.uint64))
+    assert suffixdedup.equal_windows(strings, lowest, 50)[0].tolist() == want
+
+
 def test_sorted_suffixes_on_disk(monkeypatch):
     """With room for a few bytes only, every queue is a mapped file; the order is the same."""
     from stylometra.llm import suffixes
