@@ -139,7 +139,8 @@ def probability(f: Column, model: Model) -> Column:
 def folds_of(samples: DataFrame, most: int = FOLDS) -> tuple[DataFrame, int]:
     """samples with group and fold, and the number of groups. Documents that share a part are one group; samples without
     document are a group of their own. Groups are dealt to at most `most` folds in the order of their names."""
-    named = samples.withColumn("doc", F.coalesce("doc", F.lit("")))
+    # written once: grouping reads documents and parts several times, and would make every sample again each time
+    named, _ = scratch.written(samples.withColumn("doc", F.coalesce("doc", F.lit(""))), "named")
     groups = linked_groups(named, "doc", "part")
     names = ranked(groups.select("group").distinct(), "group")
     n = names.count()

@@ -125,3 +125,17 @@ def test_transfer_of_too_little(spark):
     assert C.transfer_check(one).first() == (1, None, None)
     assert C.transfer_check(one.limit(0)).first() == (0, None, None)
     assert C.transfer_check(one.withColumn("y", F.lit(1)).unionByName(one.withColumns({"doc": F.lit("b"), "part": F.lit("q"), "y": F.lit(1)}))).first() == (2, None, None)
+
+
+def test_grouping_makes_samples_once(spark):
+    """Samples are made once, however often grouping reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    plain = spark.createDataFrame([(f"d{k % 7}", f"p{k % 5}", k) for k in range(60)], "doc string, part string, n int")
+    dealt, n = C.folds_of(plain.mapInArrow(counted, plain.schema))
+    assert n == 1 and dealt.count() == 60 and made.value == 60
