@@ -1,6 +1,7 @@
 """Workers put out slices, whatever a batch holds."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from stylometra.operators import rows
 
@@ -18,3 +19,13 @@ def test_batches_are_small(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows.from_texts(spark.createDataFrame([(1, "a b")], "id long, text string"), "text", "w string", lambda t: [(w,) for w in t.split()])
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows.BATCH["spark.sql.execution.arrow.maxRecordsPerBatch"]
+
+
+def test_dictionary_asks_for_small_batches(spark):
+    from stylometra.operators import dictionary
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame([(1, "one thing " * 3000)], "doc_id long, text string")
+    hits = dictionary.dictionary_hits(df, [dictionary.Entry("g", "thing")], "general", F.lit(10))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows.BATCH["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    assert hits.count() == 3000
