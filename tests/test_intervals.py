@@ -38,3 +38,14 @@ def test_rules_on_rows_of_one_id(spark):
     pairs = spark.createDataFrame([(1, ["a", "a"], ["a"]), (1, ["a"], ["b"]), (None, None, ["c"]), (2, ["z"], ["z"]), (3, None, None)], "doc_id long, b array<string>, a array<string>")
     got = evaluation.bag_changes(pairs, F.col("b"), F.col("a"), "part", "doc_id").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, "a", "missing", 1), (1, "a", "missing", 1), (1, "b", "added", 1), (None, "c", "added", 1)]))
+
+
+def test_ranges_are_those_of_placed(spark):
+    from stylometra.operators.rules import placed, ranges
+
+    texts = [("abcdefgh ij\nabcdefghi",), ("",), (None,), ("x",), ("abcdefgh",), ("\U0001f600 сорокапяти ab12 cd",), ("a1 bc " * 4000,)]
+    df = spark.createDataFrame(texts, "text string")
+    for pattern in (r"\p{L}{7,}", "[0-9a-f]+ [a-z]+"):
+        for r in df.select(placed(F.col("text"), pattern).alias("p"), ranges(F.col("text"), pattern).alias("r")).collect():
+            want = None if r["p"] is None else [(x["start"], x["start"] + len(x["text"])) for x in r["p"]]
+            assert want == (None if r["r"] is None else [(x["a"], x["z"]) for x in r["r"]])
