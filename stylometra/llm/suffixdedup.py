@@ -24,7 +24,7 @@ from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 50, 20
 #: bytes of the input files for one bucket; bytes of texts whose anchors are found at once
-BUCKET, AT_ONCE = 10 << 20, 1 << 20
+BUCKET, AT_ONCE = 10 << 20, 1 << 18
 #: tasks of a stage; where there are more buckets, a task takes several, one after the other
 TASKS = 20_000
 _HASH = np.random.default_rng(23).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
