@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions import text as T
+from . import rows as R
 from .rows import once
 from .rules import placed
 
 # Signs that have no width: zero-width ones, the soft hyphen, marks of direction, the Mongolian vowel
 # separator, tags and the selectors of ideographs.
 INVISIBLE = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}\x{200E}\x{200F}\x{061C}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{180E}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]+"
+# The same signs for Spark: a letter of a common script is told from them by the first part.
+SIGNS = rf"[\x{{AD}}\x{{61C}}\x{{180E}}-\x{{E01EF}}&&{INVISIBLE[:-1]}]+"
+# Letters of two scripts side by side; no other word has letters put into it.
+MIXED = r"\p{IsCyrillic}(?:[A-Za-z]|(?<=[A-Za-z]\p{IsCyrillic}))"
 # Latin letters and the Cyrillic ones that look like them.
 LATIN, CYRILLIC = "aeopcxykmthbAEOPCXYKMTHB", "аеорсхукмтнвАЕОРСХУКМТНВ"
 # What is no prose: a header between lines of three hyphens, fenced blocks, code in a line.
@@ -79,10 +84,20 @@ def shifts(text: Column) -> Column:
 
     One element for each run of such signs, so it is as long as the findings and not as the text.
     """
-    hits = F.transform(placed(text, INVISIBLE), lambda h: F.struct(h["start"].alias("start"), F.length(h["text"]).cast("long").alias("n")))
-    begin = F.struct(F.lit(0).cast("long").alias("gone"), F.array().cast("array<struct<at:bigint,gone:bigint>>").alias("out"))
-    step = lambda s, h: F.struct((s["gone"] + h["n"]).alias("gone"), F.concat(s["out"], F.array(F.struct((h["start"] - s["gone"]).alias("at"), (s["gone"] + h["n"]).alias("gone")))).alias("out"))
-    return F.when(text.rlike(INVISIBLE), F.aggregate(hits, begin, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<at:bigint,gone:bigint>>"))
+    gaps, signs = _sizes(F.split(text, SIGNS, -1)), _sizes(F.regexp_extract_all(text, F.lit(SIGNS), F.lit(0)))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("gone"), F.array().cast("array<struct<at:bigint,gone:bigint>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        at, gone = s["at"] + x["gap"], s["gone"] + x["sign"]
+        return F.struct(at.alias("at"), gone.alias("gone"), F.concat(s["out"], F.array(F.struct(at.alias("at"), gone.alias("gone")))).alias("out"))
+
+    # the last gap has no sign behind it
+    pairs = F.filter(F.zip_with(gaps, signs, lambda gap, sign: F.struct(gap.alias("gap"), sign.alias("sign"))), lambda x: x["sign"].isNotNull())
+    return F.when(text.rlike(SIGNS), F.aggregate(pairs, begin, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<at:bigint,gone:bigint>>"))
+
+
+def _sizes(parts: Column) -> Column:
+    return F.transform(parts, lambda x: F.length(x))
 
 
 def to_source(moved: Column, at: Column) -> Column:
@@ -109,14 +124,16 @@ def spoofed(part: Column) -> Column:
 
 
 def repaired(text: Column) -> Column:
-    """The text with look-alike letters in the script of their word; the length stays."""
+    """The text with look-alike letters in the script of their word; the length stays.
+
+    Only words of lines that have letters of two scripts side by side are looked at."""
     word = r"[\p{L}\p{N}]+"
-    parts, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
     # The word goes to the script that has more letters in it, whichever letters were the foreign ones.
     latin = lambda w: F.regexp_count(w, F.lit("[A-Za-z]")) > F.regexp_count(w, F.lit(r"\p{IsCyrillic}"))
-    mend = lambda w: F.when(spoofed(w).isNull(), w).when(latin(w), F.translate(w, CYRILLIC, LATIN)).otherwise(F.translate(w, LATIN, CYRILLIC))
-    whole = F.array_join(F.zip_with(gaps, parts, lambda gap, w: F.concat(gap, F.coalesce(mend(w), F.lit("")))), "")
-    return F.when(text.rlike(r"[A-Za-z]\p{IsCyrillic}|\p{IsCyrillic}[A-Za-z]"), whole).otherwise(text)
+    mend = lambda w: F.when(~w.rlike(MIXED) | spoofed(w).isNull(), w).when(latin(w), F.translate(w, CYRILLIC, LATIN)).otherwise(F.translate(w, LATIN, CYRILLIC))
+    whole = lambda x: F.array_join(F.zip_with(F.split(x, word, -1), F.regexp_extract_all(x, F.lit(word), F.lit(0)), lambda gap, w: F.concat(gap, F.coalesce(mend(w), F.lit("")))), "")
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(MIXED), whole(x)).otherwise(x))
+    return F.when(text.rlike(MIXED), F.array_join(lines, "\n")).otherwise(text)
 
 
 def line_kinds(lines: Column, plain: Column, short: Column) -> Column:
@@ -207,7 +224,68 @@ def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of either leads to the source by to_source(moved, place).
     """
     source = F.coalesce(F.col(text_col), F.lit(""))
-    rows = once(docs, moved=shifts(source), _v=T.plain_yo(F.regexp_replace(source, INVISIBLE, "")))
-    rows = service_parts(once(rows, plain=T.plain_yo(repaired(F.col("_v")))), "plain")
+    rows = once(docs, moved=shifts(source), _v=T.plain_yo(F.regexp_replace(source, SIGNS, "")))
+    rows = service_parts(once(rows, plain=repaired(F.col("_v"))), "plain")
     rows = once(once(rows, _m=spans.blanked(F.col("plain"), CODE)), _c=blanked_parts(F.col("_m"), F.col("service")))
     return rows.select(*docs.columns, "plain", spans.blanked(F.col("_c"), PROTECTED).alias("prose"), "service", "moved")
+
+
+def plain_matches(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """The other columns of docs beside word, plain_at and source_at: the matches (never empty) of a pattern in the plain
+    text of `prepared`, each with its place there and in the source.
+
+    Texts are cut in the row; only the words and the lengths of what is between them go to the workers, where all places
+    of a batch are sums and one search, so the work grows with the text, however many matches and signs it has. Nothing
+    is shuffled, and service parts and prose aren't made.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    taken = {"word", "plain_at", "source_at"} & {*others}
+    if taken:
+        raise ValueError(f"columns of these names are made here: {sorted(taken)}")
+    rows = once(R.small_batches(docs).select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_s")), _g=F.split("_s", SIGNS, -1))
+    signs = F.when(F.size("_g") > 1, _sizes(F.regexp_extract_all("_s", F.lit(SIGNS), F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    rows = once(rows, _v=T.plain_yo(F.array_join("_g", "")), _signs=signs)
+    rows = once(rows.select(*others, _sizes(F.col("_g")).alias("_kept"), "_signs", "_v"), _p=repaired(F.col("_v")))
+    rows = rows.select(*others, "_kept", "_signs", _sizes(F.split("_p", pattern, -1)).alias("_gaps"), F.regexp_extract_all("_p", F.lit(pattern), F.lit(0)).alias("_words"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            kept, signs, gaps, words = (b.column(len(others) + k) for k in range(4))
+            at, plain, source = _places(kept, signs, gaps, words)
+            flat = words.flatten()
+            for k in range(0, len(at), R.SLICE):
+                some = slice(k, k + R.SLICE)
+                columns = [b.column(c).take(pa.array(at[some])) for c in range(len(others))]
+                yield pa.record_batch([*columns, flat[some], pa.array(plain[some]), pa.array(source[some])], names=[*others, "word", "plain_at", "source_at"])
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(others)]]
+    return rows.mapInArrow(run, ", ".join([*schema, "word string", "plain_at bigint", "source_at bigint"]))
+
+
+def _places(kept, signs, gaps, words):
+    """Row, place in the plain text and in the source of all words of a batch, as arrays. Lists of each row: lengths of what
+    is between signs of no width, those of the signs, lengths of what is between words, and the words."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    def cut(before, pieces):
+        """How many pieces each row has, each piece's row and the length of what is before it (a row's last gap is before none)."""
+        n = np.asarray(pieces.value_lengths(), np.int64)
+        return n, np.repeat(np.arange(len(n)), n), np.delete(np.asarray(before.flatten(), np.int64), np.cumsum(n + 1) - 1)
+
+    def within(x, n):
+        """Running sums of x, from 0 in each row."""
+        sums = np.concatenate([[0], np.cumsum(x)])
+        return sums[1:] - np.repeat(sums[np.cumsum(n) - n], n)
+
+    n, row, gap = cut(gaps, words)
+    size = np.asarray(pc.utf8_length(words.flatten()), np.int64)
+    plain = within(gap + size, n) - size
+    m, sign_row, gap = cut(kept, signs)
+    at = within(gap, m)
+    # No text has 2^32 signs, so row and place are one number.
+    seen = np.searchsorted((sign_row << 32) + at, (row << 32) + plain, side="right")
+    gone = np.concatenate([[0], np.cumsum(np.asarray(signs.flatten(), np.int64))])
+    return row, plain, plain + gone[seen] - gone[(np.cumsum(m) - m)[row]]
